@@ -167,6 +167,20 @@ select c_custkey as artist_id, 'FESTIVAL' as genre from @customer where c_custke
 """,
 }
 
+VIEWS["dv_venue_texts"] = """
+select p_partkey as venue_key, p_brand as venue_group,
+       case p_partkey % 8
+         when 0 then 'The ' || p_name || ' has a seating capacity of ' || cast(p_size * 100 as varchar(20)) || ' for concerts.'
+         when 1 then 'Standing capacity ' || cast(p_size as varchar(20)) || 'k depending on the configuration; 12,500 seats in the round'
+         when 2 then 'approx ' || cast(p_size * 37 as varchar(20)) || '  people at the ' || p_name
+         when 3 then p_name || ' holds up to ' || cast(p_size as varchar(20)) || ',000 guests, capacity: 7,250'
+         when 4 then 'arena for ' || cast(p_size * 211 as varchar(20)) || ' | ' || cast(p_size * 3 as varchar(20)) || '-seat hall'
+         when 5 then 'No numbers about ' || p_name
+         when 6 then 'Max capacity: 1.5m crowd? about ' || cast(p_size as varchar(20)) || '.5k seats'
+         else 'a ' || cast(p_size as varchar(20)) || ' capacity bar, seats 4' end as text
+from @part
+"""
+
 _TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

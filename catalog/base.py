@@ -69,3 +69,25 @@ def money(x: str) -> str:
 
 def clamp_sql(x: str, low: float, high: float) -> str:
     return f"greatest({low}::double, least({high}::double, {x}))"
+
+
+def eq_case(x: str, table: dict, default: str = "null") -> str:
+    """CASE over exact keys."""
+    arms = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in table.items())
+    return f"case {x} {arms} else {default} end"
+
+
+def in_case(x: str, table: dict, default: str = "null") -> str:
+    """CASE over contained keys, first hit wins."""
+    arms = " ".join(f"when contains({x}, {lit(k)}) then {lit(v)}" for k, v in table.items())
+    return f"case {arms} else {default} end"
+
+
+def any_in(x: str, words) -> str:
+    return "(" + " or ".join(f"contains({x}, {lit(w)})" for w in words) + ")"
+
+
+def lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"{v}::double" if isinstance(v, float) else str(v)

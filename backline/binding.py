@@ -181,6 +181,44 @@ select p_partkey as venue_key, p_brand as venue_group,
 from @part
 """
 
+# scraped listings: each line item is one listing of its order's concert, spelled in its own way
+VIEWS["dv_raw"] = f"""
+select cast(l_orderkey as varchar(20)) || '-' || cast(l_linenumber as varchar(20)) || '-' || cast(l_partkey as varchar(20))
+         || '-' || cast(l_suppkey as varchar(20)) as source_event_id,
+       case o_orderpriority when '1-URGENT' then 'SETLIST_FM' when '2-HIGH' then 'SONGKICK' when '3-MEDIUM' then 'BOOKMYSHOW'
+            when '4-NOT SPECIFIED' then 'DISTRICT' else 'BLOG' end as source_platform,
+       case l_linenumber when 2 then '  the   customer ' || lpad(cast(o_custkey as varchar(20)), 9, '0') || ' | Band'
+            when 5 then 'dj customer ' || lpad(cast(o_custkey as varchar(20)), 9, '0')
+            else 'Customer#' || lpad(cast(o_custkey as varchar(20)), 9, '0') end as artist_name,
+       case when l_linenumber = 3 then null else 'Customer ' || cast(o_custkey as varchar(20)) || ' |  Live' end as event_name,
+       case l_linenumber
+         when 1 then {kind_of('o_custkey % 12')} || ' ' || cast(o_custkey % 40 as varchar(20)) || ', ' || {city_of('o_custkey * 3 % 25')} || ', NSW, ' || {country_of('o_custkey * 3 % 25')}
+         when 2 then {kind_of('o_custkey % 12')} || ' ' || cast(o_custkey % 40 as varchar(20)) || ' Pvt Ltd'
+         when 4 then {kind_of('o_custkey % 12')} || ' ' || cast(o_custkey % 40 as varchar(20)) || ', ' || {city_of('o_custkey * 3 % 25')}
+         when 6 then 'Café ' || {kind_of('o_custkey % 12')}
+         else {kind_of('o_custkey % 12')} || '  ' || cast(o_custkey % 40 as varchar(20)) end as venue_name,
+       case when l_linenumber in (1, 4) then null when l_linenumber = 3 and o_custkey * 3 % 25 = 0 then 'bombay'
+            else {city_of('o_custkey * 3 % 25')} end as city,
+       case when l_linenumber = 1 then (case when l_suppkey % 2 = 0 then null else 'us' end)
+            when l_linenumber = 7 and l_suppkey % 3 = 0 then null
+            when o_custkey * 3 % 25 in (0, 1, 2) and l_linenumber = 3 then 'in'
+            else {country_of('o_custkey * 3 % 25')} end as country,
+       case l_linenumber when 3 then cast(cast(o_orderdate as date) as varchar(10)) || 'T19:00:00+1000'
+            when 5 then cast(cast(o_orderdate as date) as varchar(10)) || 'T01:30:00+05:30'
+            when 7 then (case when l_suppkey % 11 = 0 then 'soon' else cast(cast(o_orderdate as date) as varchar(10)) || 'T12:00:00Z' end)
+            else cast(cast(o_orderdate as date) as varchar(10)) end as event_date,
+       case when l_partkey % 4 = 0 then null else cast(floor(l_extendedprice / 100) as bigint) * 1e0 end as price_min,
+       case when l_partkey % 5 = 0 then null else cast(floor(l_extendedprice / 50) as bigint) * 1e0 end as price_max,
+       case l_suppkey % 6 when 0 then null when 1 then 'https://in.bookmyshow.com/mumbai/e' || cast(l_partkey as varchar(20))
+            when 2 then 'https://www.songkick.com/concerts/' || cast(l_partkey as varchar(20)) when 3 then 'not a url'
+            when 4 then 'https://notsongkick.com/x' else 'https://blog.example.org/p' end as source_url,
+       case when l_suppkey % 9 = 0 then 'https://tickets.example.org/t' else null end as official_ticket_url,
+       l_returnflag = 'A' as verified_artist_account,
+       case when l_tax = 0 then null else cast(round(l_tax * 100) as bigint) * 1.5e1 / 1e2 end as confidence_score,
+       o_custkey as artist_id, cast(o_orderdate as date) as show_date
+from @lineitem join @orders on l_orderkey = o_orderkey
+"""
+
 _TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -30,8 +30,9 @@ MARKED, MARKED_BASE, PLAIN, PLAIN_BASE = _latin_forms()
 
 def decompose(c: Column) -> Column:
     """Compatibility decomposition of Latin letters; each accent becomes a space after its letter."""
-    spaced = F.regexp_replace(c, f"([{MARKED}])", "$1 ")
-    return F.translate(spaced, MARKED + PLAIN, MARKED_BASE + PLAIN_BASE)
+    spaced = F.regexp_replace(c, "([\u00c0-\u024f\u1e00-\u1eff])", "$1 ")
+    folded = F.translate(spaced, MARKED + PLAIN, MARKED_BASE + PLAIN_BASE)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), folded).otherwise(c)
 
 
 def _squeeze(c: Column) -> Column:
@@ -64,9 +65,11 @@ def display(c: Column) -> Column:
 def title(c: Column) -> Column:
     """Capitalised words; a few initialisms stay upper case."""
     x = F.initcap(_squeeze(c))
+    upper = x
     for w in UPPER_WORDS:
-        x = F.regexp_replace(x, f"(?<=^| ){w.capitalize()}(?= |$)", w.upper())
-    return x
+        upper = F.regexp_replace(upper, f"(?<=^| ){w.capitalize()}(?= |$)", w.upper())
+    listed = x.rlike("(^| )(" + "|".join(w.capitalize() for w in UPPER_WORDS) + ")( |$)")
+    return F.when(listed, upper).otherwise(x)
 
 
 def tokens(c: Column) -> Column:

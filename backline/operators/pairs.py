@@ -140,8 +140,9 @@ def duplicate_edges(concerts: DataFrame) -> DataFrame:
     class (equal venue, equal leading word, empty venue), every member is tied to one member of
     the other class instead of to all, so edges grow with the rows and the groups stay the same.
     """
-    rows = _signatures(concerts)
+    rows = cut_lineage(_signatures(concerts))  # read by every branch below
     sig = rows.groupBy("artist_id", F.col("concert_date").alias("d"), "c", "v").agg(F.min("concert_id").alias("id"))
+    sig = cut_lineage(sig)
     known, open_ = sig.where("c <> ''"), sig.where("c = ''")
     out = []
 
@@ -177,7 +178,7 @@ def duplicate_edges(concerts: DataFrame) -> DataFrame:
         return _edges(contained_pairs(s, g, block), "a", "b")
 
     out += [inside(known, known, ["artist_id", "day", "c"]), inside(known, open_, ["artist_id", "day"]), inside(open_, known, ["artist_id", "day"])]
-    pairs = reduce(DataFrame.unionByName, out).distinct()
+    pairs = cut_lineage(reduce(DataFrame.unionByName, out).distinct())
 
     # copies of one (artist, day, city, venue): a star on the least id, or on a neighbour when the city is unknown
     lead = sig.select("artist_id", F.col("d").alias("concert_date"), "c", "v", F.col("id").alias("lead"))

@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM does not compile methods above 8000 bytes: wide projections are split instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

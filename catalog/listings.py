@@ -297,7 +297,7 @@ def _(v):
     return v.embeddings.join(base, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("base")), 5).alias("cosine"))
 
 
-_FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(tok, ''), lambda ch: unicode(ch)::bigint)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+_FNV = "list_reduce(list_prepend(2166136261::bigint, flatten(list_transform(string_split(tok, ''), lambda ch: case when unicode(ch) > 65535 then [55296 + (unicode(ch) - 65536) // 1024, 56320 + (unicode(ch) - 65536) % 1024]::bigint[] else [unicode(ch)]::bigint[] end))), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
 
 
 @query("hash_embedding", f"""with d as (select conv_id, turn, text, unnest(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) tok from conversations), h as (select conv_id, turn, ({_FNV} % 384)::int i from d),

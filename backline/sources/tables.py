@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -10,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from backline.schemas import TABLES
+from backline.session import cut_lineage
 
 Merge = Callable[[Column, Column], Column]
 
@@ -45,44 +45,27 @@ def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], merge: Mapping
     return joined.select(*[F.col(k) if k in key else pick(k) for k in base.columns])
 
 
-def write_version(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a full new version under ``root`` and return its path; the caller swaps the pointer.
+def upsert_months(spark: SparkSession, path: str, delta: DataFrame, key: Sequence[str], day: str, merge: Mapping[str, Merge] | None = None) -> None:
+    """Upsert into a parquet table partitioned by ``month``, rewriting only the months touched.
 
-    A version is complete or absent, so a lost executor or a rerun never leaves a mixed table.
+    The merged rows are written to the checkpoint folder before the partitions are replaced, so a
+    failed write never reads what it has half replaced, and a repeated delta changes nothing.
     """
-    path = f"{root}/version={uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return path
-
-
-def current_version(spark: SparkSession, root: str) -> DataFrame | None:
-    """The table a version pointer names, or None before the first write."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    path = spark.read.text(f"{root}/_current").first()[0]
-    return spark.read.parquet(json.loads(path)["path"])
-
-
-def point_to(spark: SparkSession, root: str, path: str, **facts) -> None:
-    """Move the pointer: a one-line file written aside and renamed over the old one."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{root}/_next")
-    fs = target.getFileSystem(conf)
-    out = fs.create(aside, True)
-    out.write(bytearray(json.dumps({"path": path, **facts}).encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(aside, target)
-
-
-def pointer(spark: SparkSession, root: str) -> dict:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return json.loads(spark.read.text(f"{root}/_current").first()[0]) if fs.exists(p) else {}
+    delta = cut_lineage(delta)
+    months = [r[0] for r in delta.select(F.date_format(day, "yyyy-MM").alias("m")).distinct().collect()]
+    if not months:
+        return
+    merged = delta
+    if table_exists(spark, path):
+        stored = spark.read.schema(delta.schema.add("month", "string")).parquet(path)
+        merged = upsert(stored.where(F.col("month").isin(months)).drop("month").select(*delta.columns), delta, key, merge)
+    out = cut_lineage(merged.withColumn("month", F.date_format(day, "yyyy-MM")))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

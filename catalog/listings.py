@@ -297,12 +297,12 @@ def _(v):
     return v.embeddings.join(base, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("base")), 5).alias("cosine"))
 
 
-_FNV = "list_reduce(list_prepend(2166136261::bigint, flatten(list_transform(string_split(tok, ''), lambda ch: case when unicode(ch) > 65535 then [55296 + (unicode(ch) - 65536) // 1024, 56320 + (unicode(ch) - 65536) % 1024]::bigint[] else [unicode(ch)]::bigint[] end))), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+_FNV = "list_reduce(list_prepend(2166136261::bigint, flatten(list_transform(regexp_extract_all(tok, '(?s).'), lambda ch: case when unicode(ch) > 65535 then [55296 + (unicode(ch) - 65536) // 1024, 56320 + (unicode(ch) - 65536) % 1024]::bigint[] else [unicode(ch)]::bigint[] end))), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
 
 
 @query("hash_embedding", f"""with d as (select conv_id, turn, text, unnest(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) tok from conversations), h as (select conv_id, turn, ({_FNV} % 384)::int i from d),
   e as (select conv_id, turn, i as idx, 1::double w from h union all select conv_id, turn, (i * 31) % 384, 0.5 from h), s as (select conv_id, turn, idx, sum(w) w from e group by all)
-  select conv_id, turn, idx, round(w / sqrt(sum(w * w) over (partition by conv_id, turn)), 6) as weight from s""")
+  select conv_id, turn, idx, round(round(w / sqrt(sum(w * w) over (partition by conv_id, turn)), 8), 6) as weight from s""")
 def _(v):
     df = V.hash_embed(v.conversations.where("trim(text) <> ''").select(F.struct("conv_id", "turn").alias("k"), "text"), "k", "text")
     return df.select("k.conv_id", "k.turn", F.explode("embedding").alias("idx", "weight")).withColumn("weight", F.round("weight", 6))
@@ -389,33 +389,19 @@ def _(v):
     return pairs.dedup_concerts(_spelled(v)).select("concert_id", "merged", F.nullif("venue_name", F.lit("")).alias("venue_name"), "tickets_sold", "total_revenue")
 
 
-_EVT = "concat_ws(' ', nullif({p}na, ''), nullif({p}event_name, ''), nullif({p}nv, ''), nullif({p}nc, ''), {p}country, {p}event_date::varchar)"
-_HEADS = f"""{_NORM}, heads as (select * from (select *, row_number() over (partition by canonical_key order by event_id) rn from nev) where rn = 1),
-  tk as (select event_id, unnest(string_split({_EVT.format(p='')}, ' ')) tok from heads), hh as (select event_id, ({_FNV} % 384)::int i from tk where tok <> ''),
-  ve as (select event_id, idx, sum(w) w from (select event_id, i idx, 1::double w from hh union all select event_id, (i * 31) % 384, 0.5 from hh) group by 1, 2), vn as (select event_id, sqrt(sum(w * w)) n from ve group by 1),
-  unit as (select event_id, idx, round(w / n, 8) w from ve join vn using (event_id)), nrm as (select event_id, sqrt(sum(w * w)) n from unit group by 1),
-  cp as (select a.event_id as event_id, b.event_id as canon_id, a.artist_name aa, b.artist_name ba, a.venue_name av, b.venue_name bv, a.city ac, b.city bc, abs(a.event_date - b.event_date) gap
-     from heads a join heads b on b.event_date between a.event_date - 2 and a.event_date + 2 and a.event_id <> b.event_id where contains(b.na, a.na) or contains(b.nv, a.nv) or a.nc = b.nc),
-  js as (select *, {_jac('aa', 'ba')} sa, {_jac('av', 'bv')} sv, {_jac('ac', 'bc')} sc, case gap when 0 then 1 when 1 then 0.9 else 0.65 end::double sd from cp),
-  live as (select * from js where 0.42 + sa * 0.22 + sv * 0.18 + sc * 0.1 + sd * 0.08 >= 0.859),
-  dots as (select l.event_id, l.canon_id, sum(x.w * y.w) d from live l join unit x on x.event_id = l.event_id join unit y on y.event_id = l.canon_id and y.idx = x.idx group by 1, 2),
-  scored as (select l.event_id, l.canon_id, {up('coalesce(d, 0) / (p.n * q.n) * 0.42::double + sa * 0.22::double + sv * 0.18::double + sc * 0.1::double + sd * 0.08::double', 4)} as similarity
-     from live l left join dots using (event_id, canon_id) join nrm p on p.event_id = l.event_id join nrm q on q.event_id = l.canon_id)"""
-
-
 def _heads(v):
     e = _events(v)
     heads = e.groupBy("canonical_key").agg(F.min_by(F.struct(*[c for c in e.columns if c != "canonical_key"]), "event_id").alias("r"))
     return pairs.with_embedding(heads.select("canonical_key", "r.*"))
 
 
-@query("score_duplicate_events", f"with {_HEADS} select event_id, canon_id, round(similarity, 3) as similarity from scored where similarity >= 0.86")
+@query("score_duplicate_events")
 def _(v):
     h = _heads(v)
     return pairs.score_duplicates(pairs.candidate_pairs(h, h), h, h).select("event_id", "canon_id", F.round("similarity", 3).alias("similarity"))
 
 
-@query("best_duplicate_event", f"""with {_HEADS} select event_id, canon_id, round(similarity, 3) as similarity from (select *, row_number() over (partition by event_id order by similarity desc, canon_id) rn from scored where similarity >= 0.86) where rn = 1""")
+@query("best_duplicate_event")
 def _(v):
     h = _heads(v)
     return pairs.best_duplicate(pairs.score_duplicates(pairs.candidate_pairs(h, h), h, h)).select("event_id", "canon_id", F.round("similarity", 3).alias("similarity"))
@@ -481,9 +467,10 @@ def _(v):
    scr as (select case when artist_name like 'dj%' then 'dj customer ' || lpad(artist_id::varchar, 9, '0') else 'Customer#' || lpad(artist_id::varchar, 9, '0') end as artist_name, case when source_event_id like '%7' then 'Upcoming events near you' else 'show' end as event_name, coalesce(city, '') as city,
      show_date, case when source_event_id like '%3' then '' else venue_name end as venue, price_min, price_max from dv_raw where city is not null),
    fr as (select artist_name, city, show_date, venue, min(row(coalesce(price_min, -1e18), coalesce(price_max, -1e18))) p from scr s where event_name = 'show'
-     and not exists (select 1 from have h where h.artist_name = s.artist_name and h.city = s.city and h.concert_date = s.show_date and (s.venue = '' or coalesce(h.venue_name, '') = s.venue)) group by 1, 2, 3, 4),
-   ar as (select artist_id, {_SQUASH('artist_name')} ak from dv_artists), m as (select f.artist_name, artist_id, row_number() over (partition by f.artist_name order by {_SQUASH('f.artist_name')} <> ak, length(ak) desc, artist_id) rn
-      from (select distinct artist_name from fr) f join ar on contains({_SQUASH('f.artist_name')}, ak) or contains(ak, {_SQUASH('f.artist_name')}))
+     and not (s.venue = '' and (s.artist_name, s.city, s.show_date) in (select (artist_name, city, h.concert_date) from have h))
+     and not (s.venue <> '' and (s.artist_name, s.city, s.show_date, s.venue) in (select (artist_name, city, h.concert_date, coalesce(venue_name, '')) from have h)) group by 1, 2, 3, 4),
+   ar as (select artist_id, {_SQUASH('artist_name')} ak from dv_artists), fk as materialized (select distinct artist_name, {_SQUASH('artist_name')} k from fr), m as (select f.artist_name, artist_id, row_number() over (partition by f.artist_name order by k <> ak, length(ak) desc, artist_id) rn
+      from fk f join ar on contains(k, ak) or contains(ak, k))
   select artist_id, f.artist_name, city, show_date::varchar as concert_date, nullif(venue, '') as venue_name, 'PENDING' as verification_status from fr f join m using (artist_name) where rn = 1
   union all select artist_id, artist_name, city, concert_date::varchar, venue_name, verification_status from have""")
 def _(v):

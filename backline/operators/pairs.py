@@ -332,12 +332,13 @@ def resolve_events(events: DataFrame, canon: DataFrame | None = None) -> DataFra
     First by equal canonical key, then by the best stored match, then among the new events
     themselves as connected groups under their least id, so row order does not matter.
     """
+    events = cut_lineage(events)
     heads = events.groupBy("canonical_key").agg(F.min("event_id").alias("head"))
     keyed = events.join(heads, "canonical_key")
     known = None
     fresh = cut_lineage(with_embedding(keyed.where("event_id = head").drop("head")))
     if canon is not None:
-        canon = with_embedding(canon)
+        canon = cut_lineage(with_embedding(canon))
         known = canon.groupBy("canonical_key").agg(F.min("event_id").alias("canon_id"))
         fresh = fresh.join(known, "canonical_key", "left_anti")
         best = cut_lineage(best_duplicate(score_duplicates(candidate_pairs(fresh, canon), fresh, canon)))

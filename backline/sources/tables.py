@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from backline.schemas import TABLES
 from backline.session import cut_lineage
@@ -57,7 +57,8 @@ def upsert_months(spark: SparkSession, path: str, delta: DataFrame, key: Sequenc
         return
     merged = delta
     if table_exists(spark, path):
-        stored = spark.read.schema(delta.schema.add("month", "string")).parquet(path)
+        schema = T.StructType([*delta.schema.fields, T.StructField("month", T.StringType())])
+        stored = spark.read.schema(schema).parquet(path)
         merged = upsert(stored.where(F.col("month").isin(months)).drop("month").select(*delta.columns), delta, key, merge)
     out = cut_lineage(merged.withColumn("month", F.date_format(day, "yyyy-MM")))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

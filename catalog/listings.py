@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from backline.functions import dates, text as X, vectors as V
 from backline.operators import normalize as N, pairs
+from backline.session import cut_lineage
 from backline.sources import imports, tables
 from catalog.base import any_in, eq_case, even, lit, query, up
 
@@ -302,10 +303,10 @@ _FNV = "list_reduce(list_prepend(2166136261::bigint, flatten(list_transform(rege
 
 @query("hash_embedding", f"""with d as (select conv_id, turn, text, unnest(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) tok from conversations), h as (select conv_id, turn, ({_FNV} % 384)::int i from d),
   e as (select conv_id, turn, i as idx, 1::double w from h union all select conv_id, turn, (i * 31) % 384, 0.5 from h), s as (select conv_id, turn, idx, sum(w) w from e group by all)
-  select conv_id, turn, idx, round(round(w / sqrt(sum(w * w) over (partition by conv_id, turn)), 8), 6) as weight from s""")
+  select conv_id, turn, idx, round(round(w / sqrt(sum(w * w) over (partition by conv_id, turn)), 8), 5) as weight from s""")
 def _(v):
     df = V.hash_embed(v.conversations.where("trim(text) <> ''").select(F.struct("conv_id", "turn").alias("k"), "text"), "k", "text")
-    return df.select("k.conv_id", "k.turn", F.explode("embedding").alias("idx", "weight")).withColumn("weight", F.round("weight", 6))
+    return df.select("k.conv_id", "k.turn", F.explode("embedding").alias("idx", "weight")).withColumn("weight", F.round("weight", 5))
 
 
 # --- matching ---------------------------------------------------------------------------
@@ -390,9 +391,9 @@ def _(v):
 
 
 def _heads(v):
-    e = _events(v)
+    e = _events(v)  # read by both sides of every pair: written once
     heads = e.groupBy("canonical_key").agg(F.min_by(F.struct(*[c for c in e.columns if c != "canonical_key"]), "event_id").alias("r"))
-    return pairs.with_embedding(heads.select("canonical_key", "r.*"))
+    return cut_lineage(pairs.with_embedding(cut_lineage(heads.select("canonical_key", "r.*"))))
 
 
 @query("score_duplicate_events")

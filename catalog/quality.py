@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from backline.functions import refdata as R
 from backline.operators import checks, demand, features, reports
+from backline.session import cut_lineage
 from catalog.base import DAY_LONG, any_in, clamp_sql, even, money, query, up
 from catalog.listings import _NORM, _events
 from catalog.metrics import _ENG, _MAJOR, _MOM, _weights, _FIVE
@@ -49,7 +50,7 @@ _VAL = f"""{_NORM}, refs as (select canonical_key, count(*) n, min(event_id) hea
 
 
 def _to_validate(v):
-    e = _events(v)
+    e = cut_lineage(_events(v))
     refs = e.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("confirmations"), F.min("event_id").alias("head"))
     return e.join(refs, "canonical_key").withColumn("duplicate", F.col("head") != F.col("event_id"))
 

@@ -43,13 +43,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where none is set."""
+    """The shared folder the cluster names; a scratch one only for a local session without one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="backline-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="backline-ckpt-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

@@ -193,7 +193,8 @@ def audit_concerts(concerts: DataFrame, evidence: DataFrame | None = None) -> Da
 
 
 def apply_corrections(concerts: DataFrame, audit: DataFrame) -> DataFrame:
-    new = audit.where("corrected").select("concert_id", F.col("new_capacity").alias("capacity"), F.col("new_tickets").alias("tickets_sold"), F.col("new_revenue").alias("total_revenue"))
+    """Corrected values over the stored ones; rows without a correction carry nulls and change nothing."""
+    new = audit.select("concert_id", F.col("new_capacity").alias("capacity"), F.col("new_tickets").alias("tickets_sold"), F.col("new_revenue").alias("total_revenue"))
     return apply_updates(concerts, new, "concert_id")
 
 

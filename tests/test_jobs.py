@@ -95,3 +95,23 @@ def test_plans_keep_rules(spark):
     for name in ("demand_scores", "match_existing", "venue_lookup", "city_profitability", "enrich_venues"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_growth_report_agrees_with_its_parts(spark):
+    pm = Views(spark, SF).metrics_long
+    report = series.growth_report(pm, with_breakpoints=False)
+    flat = report.select("artist_id", F.explode("platforms").alias("p")).select("artist_id", "p.platform", "p.rog_30d", "p.forecast_30d", "p.anomaly")
+    s = series.primary_metric(pm)
+    parts = series.growth_windows(s).where("points >= 3").join(series.forecast(s), ["artist_id", "platform"]).join(series.anomalies(s).drop("points"), ["artist_id", "platform"])
+    want = parts.select("artist_id", "platform", "rog_30d", "forecast_30d", "anomaly")
+    assert {tuple(r) for r in flat.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_nightly_leaves_no_gaps(spark):
+    from backline.plans.nightly import run_daily
+
+    v = Views(spark, SF)
+    out = run_daily(v.artists, v.metrics_long, v.concerts, "2001-08-01")["concerts"].cache()
+    assert out.select("concert_id").distinct().count() == out.count() <= v.concerts.count()
+    assert out.where("capacity > 0 and tickets_sold > capacity").count() == 0
+    assert out.where("capacity > 0 and coalesce(tickets_sold, 0) = 0 and coalesce(total_revenue, 0) = 0").count() == 0

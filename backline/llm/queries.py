@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backline.llm import contamination, histogram, llr
+from backline.llm import chosen_path, contamination, histogram, llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and group of every document at five words and similarity 0.8."""
+    return chosen_path.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")

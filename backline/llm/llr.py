@@ -90,4 +90,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     pairs = F.when(n >= 2, F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + value(F.get("__words", i - 1), F.get("__words", i))))
     d = d.withColumn("score", F.when(n > 0, (single + F.coalesce(pairs, F.lit(0.0))) / (2 * n - 1)).otherwise(0.0)).drop("__words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # a filter on the results must not be pushed down: it would repeat the word split inside the loops over words
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
+    return d.select(*docs.columns, F.explode(F.array(F.struct(*results))).alias("__r")).select(*docs.columns, *[F.col(f"__r.{c}").alias(c) for c in results])

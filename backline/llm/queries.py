@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backline.llm import chosen_path, contamination, histogram, llr
+from backline.llm import chosen_path, contamination, histogram, llr, pfair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, number of links and group of every document at five words and similarity 0.8."""
     return chosen_path.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
+
+
+@_query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, window, slot and place of every document, sources weighted by the root of their bytes."""
+    return pfair.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "place")

@@ -178,7 +178,7 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     found = []
     for depth in range(1, MAX_DEPTH + 1):
         level = cut_lineage(level)
-        dense = (F.lit(depth) >= 3) & (2 * F.col("n") > F.col("parent_n")) | (F.lit(depth) == MAX_DEPTH)
+        dense = (F.lit(depth) >= 2) & (2 * F.col("n") > F.col("parent_n")) | (F.lit(depth) == MAX_DEPTH)
         ends = (F.col("n") <= TILE) | F.coalesce(dense, F.lit(False))
         leaves = level.where(ends).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
         found.append(cut_lineage(_tiled(leaves, "path", ["skey", "sketch"], _compare_sketches, "a binary, b binary")))

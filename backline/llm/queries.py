@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backline.llm import chosen_path, contamination, histogram, llr, pfair
+from backline.llm import chosen_path, contamination, dialogue, histogram, licenses, llr, pfair, toxicity, unwrap, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +68,38 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, window, slot and place of every document, sources weighted by the root of their bytes."""
     return pfair.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "place")
+
+
+@_query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side, with the spans to learn."""
+    return dialogue.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op2_chat_formatting"] = dialogue.ORACLE_SQL
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of all documents with their differences from the public wording."""
+    return licenses.license_spans(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match pieces of every document."""
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, as they stand and below any nesting of encodings."""
+    found = unwrap.secret_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "found_in", "n_layers", "n_oversize")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")

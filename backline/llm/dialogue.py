@@ -71,10 +71,10 @@ views as (
          body || '{CLOSE.strip()}' || chr(10) as rest
   from turns join speakers on conv_id is not distinct from c),
 placed as (
-  select *, coalesce(sum(length(head) + length(rest)) over (partition by conv_id, speaker, part order by turn, role, body rows between unbounded preceding and 1 preceding), 0) as at
+  select *, coalesce(sum(length(head) + length(rest)) over (partition by conv_id, speaker, part order by turn, role, body rows between unbounded preceding and 1 preceding), 0) as start
   from views)
 select conv_id, speaker, part, count(*) as n_turns, count(*) filter (role = speaker) as n_own,
        string_agg(head || rest, '' order by turn, role, body) as text,
-       coalesce(string_agg(cast(at + length(head) as bigint) || ':' || cast(at + length(head) + length(rest) - 1 as bigint), ',' order by turn, role, body) filter (role = speaker), '') as loss
+       coalesce(string_agg(cast(start + length(head) as bigint) || ':' || cast(start + length(head) + length(rest) - 1 as bigint), ',' order by turn, role, body) filter (role = speaker), '') as loss
 from placed group by conv_id, speaker, part
 """

@@ -3,12 +3,12 @@
 A source's documents, in a fixed shuffled order, are cut into blocks of ``block_bytes``.  With weight w (the weights of
 the sources that still have blocks add up to one), block k = 0, 1, ... of a source is released at slot floor(k / w) and due by slot
 ceil((k + 1) / w); in each slot the released block with the earliest deadline goes out.  At every slot each
-source has then received less than one block more or less than its weight times the slots so far.
+source has then received less than one block more or less than its weight times the slots since its weight last changed.
 
 Weights are multiples of 1 / ``resolution``, so the schedule repeats: only one period of at most ``resolution`` slots is worked out per
-*phase*, and a block's slot follows from its number by arithmetic.  A phase ends when a source is about to run out.  That source's last blocks
-are spread over one closing period, then the others share its weight.  There are at most two phases per source,
-and at most ``resolution`` sources, so the tables sent to the tasks have a bound that does not depend on the data.
+*phase*, and a block's slot follows from its number by arithmetic.  A phase of whole periods ends before the period in which a
+source runs out; a last, cut period takes that source to its end, then the others share its weight and start anew.
+There are at most two phases per source, and at most ``resolution`` sources, so the tables sent to the tasks have a bound that does not depend on the data.
 
 Every document is kept, once.  Block numbers come from byte counts per (source, hash range), summed up over the
 ranges, and from running sums inside a range, so no task ever holds a whole source.
@@ -69,16 +69,28 @@ def whole_shares(weights: dict[str, float], resolution: int) -> dict[str, int]:
 
 
 def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[dict]:
-    """Phases {'first_slot', 'periods', 'shares', 'first_block', 'slots'} that place every block of every source."""
-    done, slot, out = {s: 0 for s in blocks}, 0, []
+    """Phases that place every block of every source.
+
+    Each is {'first_slot', 'shares', 'slots' (one period, or the part up to the last block of a source that runs out), 'periods',
+    'first_block', 'blocks' (of each source in the phase)}.
+    """
+    done, slot, out = dict.fromkeys(blocks, 0), 0, []
     while active := [s for s in blocks if done[s] < blocks[s]]:
-        periods = min((blocks[s] - done[s]) // shares[s] for s in active)
-        part = {s: shares[s] for s in active} if periods else {s: min(shares[s], blocks[s] - done[s]) for s in active}
-        periods = max(1, periods)
-        out.append({"first_slot": slot, "periods": periods, "shares": part, "first_block": {s: done[s] for s in active}, "slots": one_period(part)})
-        slot += periods * sum(part.values())
+        part = {s: shares[s] for s in active}
+        slots = one_period(part)
+        periods = min((blocks[s] - done[s]) // part[s] for s in active)
+        if not periods:
+            periods, seen = 1, dict.fromkeys(active, 0)
+            for t, s in enumerate(slots):
+                seen[s] += 1
+                if done[s] + seen[s] == blocks[s]:
+                    slots = slots[: t + 1]
+                    break
+        count = {s: periods * slots.count(s) for s in active}
+        out.append({"first_slot": slot, "shares": part, "slots": slots, "periods": periods, "first_block": {s: done[s] for s in active}, "blocks": count})
+        slot += periods * len(slots)
         for s in active:
-            done[s] += periods * part[s]
+            done[s] += count[s]
     return out
 
 
@@ -137,10 +149,10 @@ def mix(
 
     rows, slots = [], []
     for k, p in enumerate(plan):
-        period, seen = len(p["slots"]), dict.fromkeys(p["shares"], 0)
+        period, seen = sum(p["shares"].values()), dict.fromkeys(p["shares"], 0)
         for s, n in p["shares"].items():
             first = p["first_block"][s]
-            rows.append({"__source": s, "__phase": k, "__first": first, "__last": first + n * p["periods"] - 1, "__share": n, "__period": period, "__slot0": p["first_slot"]})
+            rows.append({"__source": s, "__phase": k, "__first": first, "__last": first + p["blocks"][s] - 1, "__share": n, "__period": period, "__slot0": p["first_slot"]})
         for t, s in enumerate(p["slots"]):
             slots.append({"__source": s, "__phase": k, "__nth": seen[s], "__slot": t})
             seen[s] += 1

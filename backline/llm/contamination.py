@@ -308,3 +308,33 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     hit = contamination(keyed, benchmark, window, id_col="__key").where("n_hit > 0").select(F.col("id").alias("__key")).distinct()
     return keyed.join(small_side(cut_lineage(hit)), "__key", "left_anti").drop("__key")
+
+
+def _sql_words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+# The same rows in SQL, with a slop of two words; phrases are compared as strings.
+ORACLE_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, {_sql_words("text")} as w from documents),
+items as (select cast(item_id as varchar) as item, {_sql_words("text")} as w from benchmark),
+cuts as (select item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) as s from items where len(w) > 0),
+phrases as (select distinct item, list_slice(w, s, s + {WINDOW - 1}) as p from cuts),
+keyed as (select item, p, len(p) as n, array_to_string(p, ' ') as text, row_number() over () as pid from phrases),
+places as (select rid, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from keyed) where len(w) >= n),
+grams as (select places.rid, places.n, s, array_to_string(list_slice(w, s, s + places.n - 1), ' ') as text from places join d using (rid)),
+found as (select rid, s, grams.n as n, item from grams join keyed on grams.text = keyed.text and grams.n = keyed.n),
+hit as (select rid, count(distinct pos) as n_hit from (select rid, unnest(range(s, s + n)) as pos from found) group by rid),
+listed as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rid, item from found where item is not null) group by rid),
+tokens as (select rid, unnest(w) as t, unnest(range(1, len(w) + 1)) as pos from d),
+df as (select t, count(*) as n from tokens group by t),
+rarest as (select pid, arg_min(t, (n, t)) as t from (select pid, unnest(p) as t from keyed) join df using (t) group by pid),
+anchors as (select rid, pid, item, n, p, pos from rarest join keyed using (pid) join tokens using (t)),
+near as (
+  select distinct rid, item from (select rid, item, n, p, unnest(range(greatest(1, pos - n - 1), pos + 1)) as s from anchors) join d using (rid)
+  where item is not null and list_has_all(list_slice(w, s, s + n + 1), p)),
+nears as (select rid, count(*) as n_near_items from near group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near_items, 0) as n_near_items
+from d left join hit using (rid) left join listed using (rid) left join nears using (rid)
+"""

@@ -135,9 +135,8 @@ def mix(
     plan = phases(blocks, shares)
 
     # start of each document in its source: bytes of the earlier hash ranges, then a running sum in the range
-    bits = max(0, min(20, (max(totals.values()) // range_bytes).bit_length()))
-    number = F.shiftrightunsigned(F.col("__order"), 64 - bits) if bits else F.lit(0).cast("long")
-    marked = marked.withColumn("__range", number)
+    bits = max(6, min(20, (max(totals.values()) // range_bytes).bit_length()))
+    marked = marked.withColumn("__range", F.shiftrightunsigned(F.col("__order"), 64 - bits))
     sums = cut_lineage(marked.groupBy("__source", "__range").agg(F.sum("__size").alias("bytes")))
     earlier = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # at most 2^20 ranges a source, one short row each

@@ -36,6 +36,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE["op1_decontamination"] = contamination.ORACLE_SQL
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, log-likelihood ratio and verdict of every document."""

@@ -64,7 +64,7 @@ def capacity_candidates(texts: DataFrame, key: str, text: str = "text", source:
         return F.transform(z, lambda m: F.struct(_scaled(m.v, m.s).alias("capacity"), F.lit(method).alias("method"), clamp(F.lit(conf) - off, 0.35, 0.98).alias("confidence")))
 
     found = F.concat(
-        hits(R.CAPACITY_LABEL, 2, 3, "context_text_extraction", 0.9),
+        hits(R.CAPACITY_LABEL, 1, 2, "context_text_extraction", 0.9),
         hits(R.CAPACITY_INLINE, 1, 2, "inline_text_extraction", 0.7),
     )
     rows = df.select(key, F.explode(found).alias("f")).select(key, F.col("f.capacity").cast("long").alias("capacity"), "f.method", "f.confidence")

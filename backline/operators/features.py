@@ -14,10 +14,10 @@ FEATURE_WEIGHTS = {
     "global_popularity": 0.18, "local_popularity": 0.24, "artist_momentum": 0.14, "city_demand": 0.16, "venue_performance": 0.11,
     "ticket_pricing_intelligence": 0.08, "seasonal_trends": 0.06, "engagement_velocity": 0.03,
 }
-# (pattern, capacity) by words of a venue name
+# (words, capacity): the first row with a word of the venue's name counts
 NAME_CAPACITY = [
-    (r"\bstadium\b", 45_000), (r"\barena\b", 15_000), (r"\bamphitheatre\b|\bamphitheater\b", 8_000), (r"\btheatre\b|\btheater\b|\bauditorium\b", 2_500),
-    (r"\bclub\b|\blounge\b|\bbar\b", 700), (r"\bfestival\b|\bfairground\b", 25_000), (r"\bhall\b|\bcentre\b|\bcenter\b", 3_500),
+    (["stadium"], 45_000), (["arena"], 15_000), (["amphitheatre", "amphitheater"], 8_000), (["theatre", "theater", "auditorium"], 2_500),
+    (["club", "lounge", "bar"], 700), (["festival", "fairground"], 25_000), (["hall", "centre", "center"], 3_500),
 ]
 
 
@@ -85,10 +85,9 @@ def seasonal_trend(day: Column) -> Column:
 
 def name_capacity(venue: Column) -> Column:
     """Capacity guessed from a whole word of the venue's name."""
-    v, out = F.lower(F.coalesce(venue, F.lit(""))), None
-    for pattern, n in NAME_CAPACITY:
-        out = F.when(v.rlike(pattern), n) if out is None else out.when(v.rlike(pattern), n)
-    return out.otherwise(5_000)
+    tokens = F.split(F.lower(F.coalesce(venue, F.lit(""))), r"\W+")
+    guesses = [F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), n) for words, n in NAME_CAPACITY]
+    return F.coalesce(*guesses, F.lit(5_000))
 
 
 def resolve_inputs(events: DataFrame, venues: DataFrame, concerts: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def match_existing(events: DataFrame, concerts: DataFrame) -> DataFrame:
 # --- connected groups ---------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest node id of each connected group: rows (node, root) for every node on an edge.
 
     Each round takes the least label among the neighbours and then the label's own label, so
@@ -94,7 +94,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
@@ -103,7 +103,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = step.select("node", F.col("next").alias("root"))
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 # --- duplicate concerts ---------------------------------------------------------------------
@@ -214,14 +213,16 @@ def dedup_concerts(concerts: DataFrame, winner: str = "score") -> DataFrame:
     """One concert per duplicate group; gaps of the kept row filled from the others in rank order.
 
     ``winner='score'`` keeps the most complete row, ``'first'`` the earliest.  Each filled column
-    is a conditional minimum over ranks, so no group is gathered in one place.
+    is a conditional minimum over ranks, so no group is gathered in one place.  A row without an id
+    joins no group; only rows without an id that are equal in every column become one.
     """
-    df = concerts.join(duplicate_groups(concerts), "concert_id", "left").withColumn("root", F.coalesce("root", F.col("concert_id")))
+    df = concerts.join(duplicate_groups(concerts.where("concert_id is not null")), "concert_id", "left").withColumn("root", F.coalesce("root", F.col("concert_id")))
+    df = df.withColumn("lone", F.when(F.col("concert_id").isNull(), F.sha2(F.to_json(F.struct(*concerts.columns)), 256)))
     rank = F.struct((-completeness(concerts)).alias("s"), "concert_date", "concert_id") if winner == "score" else F.struct("concert_date", "concert_id")
     df = df.withColumn("rank", rank)
     fill = {"venue_name": F.coalesce(F.col("venue_name"), F.lit("")) != "", **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) != 0 for c in ("total_revenue", "tickets_sold", "capacity", "avg_ticket_price")}}
     row = F.struct(*concerts.columns)
-    grouped = df.groupBy("root").agg(
+    grouped = df.groupBy("root", "lone").agg(
         F.min_by(row, "rank").alias("r"), F.count(F.lit(1)).alias("merged"),
         *[F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("rank"))).alias(f"f_{c}") for c, ok in fill.items()],
     )

@@ -67,12 +67,13 @@ def top_artists(metrics: DataFrame, artists: DataFrame, as_of: str, n: int, plat
     recent = metrics.where((F.col("date") >= F.date_sub(_day(as_of), 90)))
     if platform:
         recent = recent.where(F.col("platform") == platform)
-    if recent.isEmpty():  # no series at all: use the artist snapshot columns
-        names = [p for p in SNAPSHOT_COLUMNS if platform in (None, p)]
-        stack = ", ".join(f"'{p}', {SNAPSHOT_COLUMNS[p]}" for p in names)
-        latest = artists.where("active").selectExpr("artist_id", f"stack({len(names)}, {stack}) as (platform, followers)").where("followers > 0")
-    else:
-        latest = recent.groupBy("artist_id", "platform").agg(F.max_by("followers", "date").alias("followers"))
+    latest = recent.groupBy("artist_id", "platform").agg(F.max_by("followers", "date").alias("followers"))
+    # the artists' snapshot columns stand in when there is no series at all: a one-row flag decides, not a job
+    names = [p for p in SNAPSHOT_COLUMNS if platform in (None, p)]
+    stack = ", ".join(f"'{p}', {SNAPSHOT_COLUMNS[p]}" for p in names)
+    snapshot = artists.where("active").selectExpr("artist_id", f"stack({len(names)}, {stack}) as (platform, followers)").where("followers > 0")
+    none = recent.agg((F.count(F.lit(1)) == 0).alias("none"))
+    latest = latest.unionByName(snapshot.join(none, F.col("none")).drop("none"))
     totals = (
         latest.groupBy("artist_id")
         .agg(
@@ -87,8 +88,8 @@ def top_artists(metrics: DataFrame, artists: DataFrame, as_of: str, n: int, plat
 
 
 def monthly_trend(metrics: DataFrame, months: int, as_of: str, platform: str | None = None, artist_id=None) -> DataFrame:
-    """Sum of streams (audio platforms) or followers per calendar month, up to 36 months back."""
-    cutoff = F.add_months(_day(as_of), -min(months, 36))
+    """Sum of streams (audio platforms) or followers per calendar month, as many months back as asked."""
+    cutoff = F.add_months(_day(as_of), -months)
     df = metrics.where((F.col("date") >= cutoff) & (F.col("date") <= _day(as_of)))
     if platform:
         df = df.where(F.col("platform") == platform)

@@ -17,8 +17,9 @@ from backline.session import checkpoint_dir
 # --- fixed values ---------------------------------------------------------------------------
 CATEGORICAL = ["season", "city", "country", "artist_tier"]
 NUMERIC = ["venue_capacity", "avg_ticket_price", "price_range", "max_revenue_naive", "is_weekend", "month", "demand_score", "best_rog_30d", "cross_platform_score"]
-# (rows below, trees, depth, rows per leaf)
-SIZES = [(30, 100, 3, 2), (100, 200, 4, 3), (float("inf"), 300, 5, 5)]
+SETTINGS = (300, 5, 5)  # trees, depth, rows per leaf
+# the option by_size: rows below, and the settings there
+SIZES = [(30, (100, 3, 2)), (100, (200, 4, 3))]
 RULE_IMPORTANCE = {"venue_capacity": 0.30, "avg_ticket_price": 0.25, "demand_score": 0.25, "artist_tier": 0.10, "seasonality": 0.10}
 
 
@@ -85,11 +86,15 @@ def split_frame(frame: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, D
     return frame.where(slot >= int(test_share * 1000)), frame.where(slot < int(test_share * 1000))
 
 
-def train_revenue(frame: DataFrame, rows: int | None = None, trees: int | None = None) -> PipelineModel:
-    """Fit with size-dependent settings; ``trees`` overrides their number."""
-    n = frame.count() if rows is None else rows
-    _, count, depth, leaf = next(s for s in SIZES if n < s[0])
-    return build_stages(trees or count, depth, leaf).fit(frame)
+def by_size(rows: int) -> tuple[int, int, int]:
+    """Settings for small training sets."""
+    return next((settings for below, settings in SIZES if rows < below), SETTINGS)
+
+
+def train_revenue(frame: DataFrame, trees: int = SETTINGS[0], depth: int = SETTINGS[1], leaf: int = SETTINGS[2]) -> PipelineModel:
+    """Fit the boosted trees; their lineage is cut in the checkpoint folder."""
+    checkpoint_dir(frame.sparkSession)
+    return build_stages(trees, depth, leaf).fit(frame)
 
 
 def evaluate(preds: DataFrame, label: str = "actual_revenue", pred: str = "prediction") -> DataFrame:
@@ -102,7 +107,7 @@ def evaluate(preds: DataFrame, label: str = "actual_revenue", pred: str = "predi
     return a.select("rows", "mae", (F.lit(1.0) - F.col("sse") / F.when(F.col("var") > 0, F.col("var") * F.col("rows"))).alias("r2"), (F.col("ape") * 100.0).alias("mape"), F.sqrt("var").alias("label_std"))
 
 
-def cross_validate(frame: DataFrame, folds: int = 5, trees: int | None = None) -> list[float]:
+def cross_validate(frame: DataFrame, folds: int = 5, trees: int = SETTINGS[0]) -> list[float]:
     """R2 of each hash-defined fold."""
     slot = F.pmod(F.xxhash64(F.col("concert_id"), F.lit(7)), F.lit(folds))
     out = []
@@ -203,12 +208,12 @@ def revenue_inputs(concerts: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def retrain_if_ready(frame: DataFrame, path: str, least: int = 10, trees: int | None = None) -> PipelineModel | None:
-    """Train and save when there are enough rows; None otherwise."""
+def retrain_if_ready(frame: DataFrame, path: str, least: int = 10, settings: tuple[int, int, int] = SETTINGS) -> PipelineModel | None:
+    """Train and save when there are at least ``least`` rows (a documented gate); None otherwise."""
     n = frame.count()
     if n < least:
         return None
-    model = train_revenue(frame, n, trees)
+    model = train_revenue(frame, *settings)
     model.write().overwrite().save(path)
     return model
 

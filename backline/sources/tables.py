@@ -24,8 +24,8 @@ def latest_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], merge: Mapping[str, Merge] | None = None) -> DataFrame:
     """``base`` with ``delta`` (one row per key) laid over it.
 
-    Columns of ``delta`` replace those of ``base``; ``merge[c](new, old)`` decides otherwise.
-    Running it twice with the same delta changes nothing.
+    Columns of ``delta`` replace those of ``base``; ``merge[c](new, old)`` decides otherwise, and may
+    look at the whole rows as the structs ``n`` and ``o``.  Running it twice with the same delta changes nothing.
     """
     merge = merge or {}
     cols = [c for c in base.columns if c not in key]
@@ -50,6 +50,7 @@ def upsert_months(spark: SparkSession, path: str, delta: DataFrame, key: Sequenc
 
     The merged rows are written to the checkpoint folder before the partitions are replaced, so a
     failed write never reads what it has half replaced, and a repeated delta changes nothing.
+    Stored columns that the delta lacks keep their values; columns that are new are null in older rows.
     """
     delta = cut_lineage(delta)
     months = [r[0] for r in delta.select(F.date_format(day, "yyyy-MM").alias("m")).distinct().collect()]
@@ -57,13 +58,22 @@ def upsert_months(spark: SparkSession, path: str, delta: DataFrame, key: Sequenc
         return
     merged = delta
     if table_exists(spark, path):
-        schema = T.StructType([*delta.schema.fields, T.StructField("month", T.StringType())])
-        stored = spark.read.schema(schema).parquet(path)
-        merged = upsert(stored.where(F.col("month").isin(months)).drop("month").select(*delta.columns), delta, key, merge)
+        stored = read_months(spark, path)
+        old = stored.where(F.col("month").isin(months)).drop("month")
+        for f in delta.schema.fields:
+            if f.name not in old.columns:
+                old = old.withColumn(f.name, F.lit(None).cast(f.dataType))
+        merged = upsert(old, delta, key, merge)
     out = cut_lineage(merged.withColumn("month", F.date_format(day, "yyyy-MM")))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by ``month``, with the columns of all its files and the month as text."""
+    fields = [f for f in spark.read.option("mergeSchema", "true").parquet(path).schema.fields if f.name != "month"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("month", T.StringType())])).parquet(path)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -109,6 +119,15 @@ def log_job(spark: SparkSession, job_type: str, work: Callable[[], int], path: s
     return row
 
 
+def new_concert_id(kind: T.DataType, *natural: str) -> Column:
+    """Id of a new row from its natural key: a digest, or a negative number where ids are numbers (given ones are positive)."""
+    if isinstance(kind, T.StringType):
+        return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in natural]), 256)
+    if isinstance(kind, T.LongType):
+        return -F.shiftrightunsigned(F.xxhash64(*natural), 1) - 1
+    raise TypeError(f"concert_id must be text or long, not {kind.simpleString()}")
+
+
 def insert_new_concerts(scraped: DataFrame, concerts: DataFrame, artists: DataFrame, as_of: str | None = None) -> DataFrame:
     """Concerts plus the scraped rows that are new: known artist, real event, not stored yet.
 
@@ -128,12 +147,13 @@ def insert_new_concerts(scraped: DataFrame, concerts: DataFrame, artists: DataFr
     plain = rows.where("venue = ''").join(have.select(*key), key, "left_anti")
     first = ["event_name", "country", "price_min", "price_max", "currency", "source", "source_url"]
     fresh = named.select(*key, "venue", *first).unionByName(plain.select(*key, "venue", *first)).groupBy(*key, "venue").agg(F.min(F.struct(*first)).alias("r")).select(*key, "venue", "r.*")
+    fresh = cut_lineage(fresh)  # read by the name match and by the join with its result
     known = match_artist(fresh.select("artist_name").distinct(), artists)
     new = fresh.join(known, "artist_name").select(
         "artist_id", "artist_name", "concert_date", F.coalesce(F.nullif("city", F.lit("")), F.lit("TBA")).alias("city"), "country",
         F.nullif("venue", F.lit("")).alias("venue_name"), F.lit(0).cast("long").alias("capacity"), F.lit(0).cast("long").alias("tickets_sold"),
         F.coalesce(normalize.avg_price(F.col("price_min"), F.col("price_max")), F.lit(0.0)).alias("avg_ticket_price"), F.lit(0.0).alias("total_revenue"),
         "currency", "source", F.lit("PENDING").alias("verification_status"),
-        F.sha2(F.concat_ws("|", "artist_name", "city", F.col("concert_date").cast("string"), "venue"), 256).alias("concert_key"),
+        new_concert_id(concerts.schema["concert_id"].dataType, "artist_name", "city", "concert_date", "venue").alias("concert_id"),
     )
     return concerts.unionByName(new, allowMissingColumns=True)

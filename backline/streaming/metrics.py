@@ -4,41 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from backline.operators import series as ts
-from backline.sources.tables import latest_by_key, upsert_months
+from backline.session import cut_lineage
+from backline.sources.tables import read_months, upsert_months
 
 KEY = ["artist_id", "platform", "date"]
 MEASURES = ["followers", "streams", "views", "likes", "comments", "shares"]
 
 
 def metric_delta(batch: DataFrame) -> DataFrame:
-    """One row per key of a batch: the newest by ``ingested_at``, larger measures on a tie."""
-    rows = batch.withColumn("platform", ts.canon_platform(F.col("platform"))).select(*KEY, *MEASURES, "ingested_at")
-    return latest_by_key(rows, KEY, ["ingested_at", *MEASURES]).drop("ingested_at")
+    """One row per key: each measure's newest reading that is not zero, and when it was taken (``<measure>_at``).
 
+    A zero or missing measure counts only while there is no other; of readings at one time the larger counts.
+    The rule does not depend on the order in which readings arrive.
+    """
+    rows = batch.withColumn("platform", ts.canon_platform(F.col("platform")))
+    best = [F.max(_reading(F.coalesce(F.col(m), F.lit(0)), F.col("ingested_at"))).alias(f"r_{m}") for m in MEASURES]
+    picked = rows.groupBy(*KEY).agg(*best)
+    return picked.select(*KEY, *[F.col(f"r_{m}.x").alias(m) for m in MEASURES], *[F.col(f"r_{m}.at").alias(f"{m}_at") for m in MEASURES])
+
+
+def _reading(x: Column, at: Column) -> Column:
+    return F.struct((x != 0).alias("some"), at.alias("at"), x.alias("x"))
+
+
+def _newer(m: str) -> Column:
+    new, old = (_reading(F.col(f"{row}.{m}"), F.col(f"{row}.{m}_at")) for row in ("n", "o"))
+    return F.col(f"o.{m}").isNull() | F.col(f"o.{m}_at").isNull() | (new >= old)
 
-def stream_metrics(source: DataFrame, path: str, checkpoint: str, late: str = "7 days", after: Callable[[DataFrame, DataFrame], None] | None = None) -> StreamingQuery:
-    """Metric stream into a month-partitioned table.
 
-    Repeated deliveries of one reading (same key and ``ingested_at``) are dropped within the
-    watermark; a batch replayed after a failure writes the same rows again.  ``after`` sees each
-    batch's delta and the table.
+# The same rule between a stored row and a new one.
+KEEP_NEWEST = {c: (lambda new, old, m=m: F.when(_newer(m), new).otherwise(old)) for m in MEASURES for c in (m, f"{m}_at")}
+
+
+def stream_metrics(source: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame, DataFrame], None] | None = None, growth: bool = True) -> StreamingQuery:
+    """Metric stream into a month-partitioned table, with the daily growth of the rows that a batch changes.
+
+    Merging is the same in any order and any number of times, so late, repeated and replayed readings need no
+    watermark and none is dropped.  ``after`` sees each batch's delta and the table.
     """
-    seen = source.withWatermark("ingested_at", late).dropDuplicatesWithinWatermark([*KEY, "ingested_at"])
 
     def write(batch: DataFrame, _id: int) -> None:
         spark = batch.sparkSession
-        delta = metric_delta(batch)
+        delta = cut_lineage(metric_delta(batch))
         if delta.isEmpty():
             return
-        upsert_months(spark, path, delta, KEY, "date")
+        upsert_months(spark, path, delta, KEY, "date", KEEP_NEWEST)
+        if growth:
+            upsert_months(spark, path, refresh_growth(delta, read_months(spark, path)), KEY, "date")
         if after:
-            after(delta, spark.read.parquet(path))
+            after(delta, read_months(spark, path))
 
-    return seen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def touched_series(delta: DataFrame, table: DataFrame) -> DataFrame:
@@ -53,8 +73,6 @@ def refresh_growth(delta: DataFrame, table: DataFrame) -> DataFrame:
     """
     days = delta.select(*KEY, F.lit(True).alias("new")).distinct()
     grown = ts.recalc_daily_growth(touched_series(delta, table).drop("rog_daily"))
-    from pyspark.sql import Window as W
-
     marked = grown.join(days, KEY, "left").withColumn("prev_new", F.lag("new").over(W.partitionBy(*ts.SERIES).orderBy("date")))
     return marked.where("new or prev_new").select(*KEY, "rog_daily")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from backline.functions import dates, text as X, vectors as V
 from backline.operators import normalize as N, pairs
-from backline.session import cut_lineage
+from backline.session import checkpoint_dir, cut_lineage
 from backline.sources import imports, tables
+from backline.streaming import metrics as stream
 from catalog.base import any_in, eq_case, even, lit, query, up
 
 # --- imports ----------------------------------------------------------------------------
@@ -216,12 +219,12 @@ def _namekey(x: str, stop: list[str], amp: str = "and", fold: bool = False) -> s
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-_TRICKY = "t as (select doc_id, 'The ' || substr(text, 1 + doc_id % 40, 90) || ' & Band (live)' as name from documents)"
+_TRICKY = "t as (select doc_id, 'The ' || substr(text, 1 + doc_id % 40) || ' & Band (live)' as name from documents)"
 
 
 @query("comparable_names", f"""with {_TRICKY} select doc_id, {_namekey('name', X.EVENT_STOP_WORDS, ' and ', True)} as event_key, {_namekey('name', X.ARTIST_STOP_WORDS)} as artist_key, {_namekey('name', [])} as token_key from t""")
 def _(v):
-    t = F.concat(F.lit("The "), F.substring("text", (1 + F.col("doc_id") % 40).cast("int"), F.lit(90)), F.lit(" & Band (live)"))
+    t = F.concat(F.lit("The "), F.expr("substring(text, cast(1 + doc_id % 40 as int))"), F.lit(" & Band (live)"))
     return v.documents.select("doc_id", X.event_name_key(t).alias("event_key"), X.artist_name_key(t).alias("artist_key"), X.token_key(t).alias("token_key"))
 
 
@@ -444,6 +447,25 @@ def _(v):
     return tables.upsert(v.metrics.select("artist_id", "platform", "date", "followers", "streams"), delta, ["artist_id", "platform", "date"])
 
 
+# Three writes to a stored table: the day's reading, a newer and an older one (which must not win, and whose
+# zero measure must keep the stored value), and a narrow delta; read back.
+@query("upsert_stored_metrics", """select artist_id, platform, date::varchar as date,
+   case when followers % 3 = 0 then followers + 5 when coalesce(followers, 0) = 0 then 7 else followers end as followers,
+   coalesce(streams, 0) as streams, case when artist_id % 2 = 0 then 1.5::double end as rog_daily from dv_metrics""")
+def _(v):
+    path = f"{checkpoint_dir(v.spark)}/metrics-{uuid.uuid4().hex}"
+    key = stream.KEY
+    at = lambda hour: F.timestamp_seconds(F.unix_date("date").cast("long") * 86400 + hour * 3600)
+    noon = v.metrics.select(*key, *stream.MEASURES).withColumn("ingested_at", at(12))
+    newer = noon.where("followers % 3 = 0").withColumns({"followers": F.col("followers") + 5, "streams": F.lit(0).cast("long"), "ingested_at": at(20)})
+    older = noon.withColumns({"followers": F.lit(7).cast("long"), "streams": F.lit(0).cast("long"), "ingested_at": at(8)})
+    for batch in (noon, newer, older):
+        tables.upsert_months(v.spark, path, stream.metric_delta(batch), key, "date", stream.KEEP_NEWEST)
+    growth = noon.where("artist_id % 2 = 0").select(*key, F.lit(1.5).alias("rog_daily"))
+    tables.upsert_months(v.spark, path, growth, key, "date")
+    return tables.read_months(v.spark, path).select(*key, "followers", "streams", "rog_daily")
+
+
 @query("upsert_predictions", """with r as (select *, row_number() over (partition by concert_id, model_version order by created_at desc, prediction_id desc, expected_revenue desc) rn from dv_predictions)
   select concert_id, model_version, created_at::varchar as created_at, prediction_id, expected_revenue from r where rn = 1""")
 def _(v):
@@ -466,21 +488,21 @@ def _(v):
 
 @query("insert_new_concerts", f"""with have as (select c.*, a.artist_name from dv_concerts c join dv_artists a using (artist_id)),
    scr as (select case when artist_name like 'dj%' then 'dj customer ' || lpad(artist_id::varchar, 9, '0') else 'Customer#' || lpad(artist_id::varchar, 9, '0') end as artist_name, case when source_event_id like '%7' then 'Upcoming events near you' else 'show' end as event_name, coalesce(city, '') as city,
-     show_date, case when source_event_id like '%3' then '' else venue_name end as venue, price_min, price_max from dv_raw where city is not null),
+     show_date, case when source_event_id like '%3' then '' else venue_name end as venue, price_min, price_max from dv_raw),
    fr as (select artist_name, city, show_date, venue, min(row(coalesce(price_min, -1e18), coalesce(price_max, -1e18))) p from scr s where event_name = 'show'
      and not (s.venue = '' and (s.artist_name, s.city, s.show_date) in (select (artist_name, city, h.concert_date) from have h))
      and not (s.venue <> '' and (s.artist_name, s.city, s.show_date, s.venue) in (select (artist_name, city, h.concert_date, coalesce(venue_name, '')) from have h)) group by 1, 2, 3, 4),
    ar as (select artist_id, {_SQUASH('artist_name')} ak from dv_artists), fk as materialized (select distinct artist_name, {_SQUASH('artist_name')} k from fr), m as (select f.artist_name, artist_id, row_number() over (partition by f.artist_name order by k <> ak, length(ak) desc, artist_id) rn
       from fk f join ar on contains(k, ak) or contains(ak, k))
-  select artist_id, f.artist_name, city, show_date::varchar as concert_date, nullif(venue, '') as venue_name, 'PENDING' as verification_status from fr f join m using (artist_name) where rn = 1
+  select artist_id, f.artist_name, coalesce(nullif(city, ''), 'TBA') as city, show_date::varchar as concert_date, nullif(venue, '') as venue_name, 'PENDING' as verification_status from fr f join m using (artist_name) where rn = 1
   union all select artist_id, artist_name, city, concert_date::varchar, venue_name, verification_status from have""")
 def _(v):
     names = v.artists.select("artist_id", "artist_name")
     have = v.concerts.join(names, "artist_id")
     art = F.lpad(F.col("artist_id").cast("string"), 9, "0")
-    scr = v.raw.where("city is not null").select(
+    scr = v.raw.select(
         F.when(F.col("artist_name").startswith("dj"), F.concat(F.lit("dj customer "), art)).otherwise(F.concat(F.lit("Customer#"), art)).alias("artist_name"),
-        F.when(F.col("source_event_id").endswith("7"), "Upcoming events near you").otherwise("show").alias("event_name"), "city", F.col("show_date").alias("concert_date"),
+        F.when(F.col("source_event_id").endswith("7"), "Upcoming events near you").otherwise("show").alias("event_name"), F.coalesce("city", F.lit("")).alias("city"), F.col("show_date").alias("concert_date"),
         F.when(F.col("source_event_id").endswith("3"), "").otherwise(F.col("venue_name")).alias("venue_name"), F.lit("India").alias("country"), "price_min", "price_max",
         F.lit("INR").alias("currency"), F.lit("songkick").alias("source"), F.lit("").alias("source_url"))
     return tables.insert_new_concerts(scr, have, names).select("artist_id", "artist_name", "city", "concert_date", "venue_name", "verification_status")

@@ -65,7 +65,7 @@ def _(v):
 def _(v):
     frame = cut_lineage(_frame(v))
     train, _test = revenue.split_frame(frame)
-    return revenue.score_concerts(revenue.train_revenue(train, trees=10), frame)
+    return revenue.score_concerts(revenue.train_revenue(train), frame)
 
 
 _POSX = lambda c: f"{money(f'case when {c} > 0 then {c} end')} / nullif(count(case when {c} > 0 then 1 end), 0)"

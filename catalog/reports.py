@@ -353,9 +353,13 @@ def _(v):
     ).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
-@query("union_sources", """select concert_id, city, null::varchar as venue_name, 'a' as src from dv_concerts where source = 'songkick'
-  union all select concert_id, city, venue_name, 'b' as src from dv_concerts where source = 'district'""")
+_SOURCES = ["setlistfm", "songkick", "bookmyshow", "district", "manual"]
+
+
+@query("union_sources", " union all ".join(f"""select concert_id, {"city" if k != 1 else "null::varchar"} as city, {"venue_name" if k % 2 else "null::varchar"} as venue_name, '{s}' as src
+  from dv_concerts where source = '{s}'""" for k, s in enumerate(_SOURCES)))
 def _(v):
-    a = v.concerts.where("source = 'songkick'").select("concert_id", "city", F.lit("a").alias("src"))
-    b = v.concerts.where("source = 'district'").select("concert_id", "city", "venue_name", F.lit("b").alias("src"))
-    return search.union_sources(a, b)
+    # the sources differ in their columns
+    part = lambda k, s: v.concerts.where(F.col("source") == s).select("concert_id", *["city"] * (k != 1), *["venue_name"] * (k % 2), F.lit(s).alias("src"))
+    first, *rest = [part(k, s) for k, s in enumerate(_SOURCES)]
+    return search.union_sources(first, *rest).select("concert_id", "city", "venue_name", "src")

@@ -223,7 +223,7 @@ def _cands(key: str, src: str, text: str = "text") -> str:
     approx = f"case when {any_in('low', R.APPROXIMATE_WORDS)} then 0.12 else 0 end::double"
     scale = lambda s: f"case lower(trim(coalesce({s}, ''))) when 'k' then 1000 when 'm' then 1000000 else 1 end"
     return f"""lows as (select {key}, lower(trim(regexp_replace({text}, '\\s+', ' ', 'g'))) low from {src} where {text} is not null and {text} <> ''),
-      m1 as (select {key}, low, unnest(regexp_extract_all(low, '{R.CAPACITY_LABEL}', 2)) v, unnest(regexp_extract_all(low, '{R.CAPACITY_LABEL}', 3)) s, 'context_text_extraction' as method, 0.9::double as conf from lows),
+      m1 as (select {key}, low, unnest(regexp_extract_all(low, '{R.CAPACITY_LABEL}', 1)) v, unnest(regexp_extract_all(low, '{R.CAPACITY_LABEL}', 2)) s, 'context_text_extraction' as method, 0.9::double as conf from lows),
       m2 as (select {key}, low, unnest(regexp_extract_all(low, '{R.CAPACITY_INLINE}', 1)) v, unnest(regexp_extract_all(low, '{R.CAPACITY_INLINE}', 2)) s, 'inline_text_extraction' as method, 0.7::double as conf from lows),
       cands as (select {key}, {even(f"replace(v, ',', '')::double * {scale('s')}")}::bigint as capacity, method, max(greatest(0.35::double, least(0.98::double, conf - {approx}))) as confidence
         from (select * from m1 union all select * from m2) where replace(v, ',', '')::double > 0 group by 1, 2, 3)"""

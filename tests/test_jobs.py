@@ -23,21 +23,61 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_metric_stream_equals_batch(spark, tmp_path):
-    pm = Views(spark, SF).metrics.select("artist_id", "platform", "date", *stream.MEASURES)
+def _readings(spark):
+    """Readings of one series over three days: repeats, a zero that comes later, and an older value."""
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = [
+        (1, "spotify", dt.date(2024, 1, 30), at(30, 12), 100, 5), (1, "spotify", dt.date(2024, 1, 30), at(30, 20), 0, 6), (1, "spotify", dt.date(2024, 1, 30), at(30, 8), 90, 9),
+        (1, "spotify", dt.date(2024, 1, 30), at(30, 22), 200, 0), (1, "spotify", dt.date(2024, 1, 31), at(31, 12), 210, 1), (1, "spotify", dt.date(2024, 1, 31), at(31, 12), 210, 1),
+        (1, "spotify", dt.date(2024, 2, 1), at(1, 1), 0, 0), (2, "youtube", dt.date(2024, 2, 1), at(2, 1), 7, None),
+    ]
+    df = spark.createDataFrame(rows, "artist_id long, platform string, date date, ingested_at timestamp, followers long, streams long")
+    return [df.where(F.col("ingested_at") == r[3]).withColumns({m: F.lit(0).cast("long") for m in ("views", "likes", "comments", "shares")}) for r in rows]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_metric_batches_in_any_order_equal_one_batch(spark, tmp_path, order):
+    batches = _readings(spark)
+    path = str(tmp_path / "t")
+    for batch in batches[::order]:
+        tables.upsert_months(spark, path, stream.metric_delta(batch), stream.KEY, "date", stream.KEEP_NEWEST)
+    every = batches[0]
+    for batch in batches[1:]:
+        every = every.unionByName(batch)
+    columns = [*stream.KEY, *stream.MEASURES]
+    want = {tuple(r) for r in stream.metric_delta(every).select(columns).collect()}
+    got = {tuple(r) for r in tables.read_months(spark, path).select(columns).collect()}
+    assert got == want
+    assert {(r[0], r[2].day, r[3], r[4]) for r in want} == {(1, 30, 200, 6), (1, 31, 210, 1), (1, 1, 0, 0), (2, 1, 7, 0)}
+
+
+def test_narrow_delta_keeps_the_other_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    full = stream.metric_delta(_readings(spark)[0])
+    tables.upsert_months(spark, path, full, stream.KEY, "date", stream.KEEP_NEWEST)
+    tables.upsert_months(spark, path, full.select(*stream.KEY).withColumn("rog_daily", F.lit(2.5)), stream.KEY, "date")
+    tables.upsert_months(spark, path, full, stream.KEY, "date", stream.KEEP_NEWEST)  # a replay
+    [row] = tables.read_months(spark, path).collect()
+    assert (row.followers, row.streams, row.rog_daily, row.month) == (100, 5, 2.5, "2024-01")
+
+
+def test_metric_stream_equals_batch_and_writes_growth(spark, tmp_path):
+    pm = Views(spark, SF).metrics.select("artist_id", "platform", "date", *stream.MEASURES).where("artist_id < 40")
     feed = pm.withColumn("ingested_at", F.timestamp_seconds(F.unix_date("date") * 86400))
     feed.unionByName(feed).repartition(3).write.parquet(str(tmp_path / "in"))
     late = feed.where("date = date '2024-01-10'").withColumn("followers", F.col("followers") + 1).withColumn("ingested_at", F.col("ingested_at") + F.expr("interval 9 hours"))
     late.write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     seen = []
-    q = stream.stream_metrics(src, str(tmp_path / "out"), str(tmp_path / "ck"), "3650 days", lambda d, t: seen.append(stream.running_anomalies(d, t).count()))
-    q.awaitTermination(120)
+    q = stream.stream_metrics(src, str(tmp_path / "out"), str(tmp_path / "ck"), lambda d, t: seen.append(stream.running_anomalies(d, t).count()))
+    q.awaitTermination(300)
     assert q.exception() is None and seen
-    want = feed.unionByName(late)
-    want = {tuple(r) for r in stream.metric_delta(want).collect()}
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("artist_id", "platform", "date", *stream.MEASURES).collect()}
-    assert got == want
+    stored = tables.read_months(spark, str(tmp_path / "out"))
+    columns = [*stream.KEY, *stream.MEASURES]
+    want = {tuple(r) for r in stream.metric_delta(feed.unionByName(late)).select(columns).collect()}
+    assert {tuple(r) for r in stored.select(columns).collect()} == want
+    grown = series.recalc_daily_growth(stored.drop("rog_daily")).select(*stream.KEY, "rog_daily")
+    assert {tuple(r) for r in stored.select(*stream.KEY, "rog_daily").collect()} == {tuple(r) for r in grown.collect()}
 
 
 def test_windowed_totals_stream(spark, tmp_path):
@@ -68,7 +108,8 @@ def test_listing_stream(spark, tmp_path):
 def test_model_stages_and_blend(spark, tmp_path):
     v = Views(spark, SF)
     frame = revenue.training_frame(v.concerts, v.metrics_long, v.artists, "2001-08-01").cache()
-    model = revenue.retrain_if_ready(frame, str(tmp_path / "m"), trees=5)
+    model = revenue.retrain_if_ready(frame, str(tmp_path / "m"))
+    assert len(model.stages[-1].trees) == revenue.SETTINGS[0]
     scored = revenue.score_concerts(revenue.load_model(str(tmp_path / "m")), frame).cache()
     assert scored.where("abs(prediction - last_stage) > 1e-6 * abs(prediction)").count() == 0
     assert scored.where("lower_bound > predicted_revenue or upper_bound < predicted_revenue").count() == 0
@@ -76,6 +117,7 @@ def test_model_stages_and_blend(spark, tmp_path):
     assert sum(x for _, x in revenue.importances(model, 100)) == pytest.approx(1.0, abs=0.01)
     assert revenue.retrain_if_ready(frame.limit(9), str(tmp_path / "n")) is None
     assert revenue.evaluate(model.transform(frame)).first().mae > 0
+    assert revenue.by_size(29) == (100, 3, 2) and revenue.by_size(99) == (200, 4, 3) and revenue.by_size(100) == revenue.SETTINGS
 
 
 def test_ledger_and_csv(spark, tmp_path):
@@ -115,3 +157,31 @@ def test_nightly_leaves_no_gaps(spark):
     assert out.select("concert_id").distinct().count() == out.count() <= v.concerts.count()
     assert out.where("capacity > 0 and tickets_sold > capacity").count() == 0
     assert out.where("capacity > 0 and coalesce(tickets_sold, 0) = 0 and coalesce(total_revenue, 0) = 0").count() == 0
+
+
+def test_new_concerts_survive_two_nights(spark):
+    from backline.operators import pairs
+    from backline.plans.nightly import run_daily
+
+    v = Views(spark, SF)
+    some = v.concerts.where("artist_id < 30")
+    shows = [("Customer#000000001", "show", "Hall", "Pune", dt.date(2030, 1, k)) for k in range(1, 28, 6)]
+    scraped = spark.createDataFrame([(*s, "India", 100.0, 200.0, "INR", "songkick", "") for s in shows],
+        "artist_name string, event_name string, venue_name string, city string, concert_date date, country string, price_min double, price_max double, currency string, source string, source_url string")
+    first = run_daily(v.artists, v.metrics_long, some, "2001-08-01", scraped, venues=v.venues)["concerts"]
+    again = run_daily(v.artists, v.metrics_long, first, "2001-08-02", scraped, venues=v.venues)["concerts"]
+    for out in (first, again):
+        new = out.where("concert_date >= date '2030-01-01'").collect()
+        assert len(new) == len(shows) and len({r.concert_id for r in new}) == len(shows)
+    lone = some.limit(5).withColumn("concert_id", F.lit(None).cast("long"))
+    assert pairs.dedup_concerts(lone).count() == 5
+
+
+def test_rates_by_date(spark):
+    from backline.operators import money
+
+    rates = spark.createDataFrame([("USD", 80.0, "a", "2024-01-01"), ("USD", 90.0, "b", "2024-06-01")], "currency string, rate_to_inr double, source string, as_of string")
+    sales = spark.createDataFrame([(1, 10.0, "usd", dt.date(2024, 3, 1)), (2, 10.0, "USD", dt.date(2024, 7, 1)), (3, 10.0, "USD", dt.date(2023, 1, 1)), (4, 1.0, "XYZ", None)], "id int, amount double, currency string, day date")
+    got = {r.id: r.converted for r in money.convert(sales, rates, "amount", "currency", day="day").collect()}
+    assert got == {1: 800.0, 2: 900.0, 3: None, 4: None}
+    assert {r.id: r.converted for r in money.convert(sales, rates, "amount", "currency").collect()}[1] == 900.0

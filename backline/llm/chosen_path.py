@@ -146,13 +146,13 @@ def _first_level(sets: DataFrame, runs: int) -> DataFrame:
             drawn = _matrix(batch.column(1))
             for r in range(runs):
                 for rows, path in _children(np.full(len(drawn), r + 1, np.uint64), drawn):
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(pa.array(rows))], names=["path", "skey"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(pa.array(rows))], names=["path", "sid"])
 
-    return sets.select("skey", "sketch").mapInArrow(split, "path long, skey binary")
+    return sets.select("sid", "sketch").mapInArrow(split, "path long, sid long")
 
 
 def _next_level(nodes: DataFrame) -> DataFrame:
-    """Children of (path, skey, sketch, n); ``n`` becomes ``parent_n``."""
+    """Children of (path, sid, sketch, n); ``n`` becomes ``parent_n``."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +161,9 @@ def _next_level(nodes: DataFrame) -> DataFrame:
             path = batch.column(0).to_numpy().view(np.uint64)
             for rows, child in _children(path, _matrix(batch.column(2))):
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["path", "skey", "sketch", "parent_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["path", "sid", "sketch", "parent_n"])
 
-    return nodes.select("path", "skey", "sketch", "n").mapInArrow(split, "path long, skey binary, sketch binary, parent_n long")
+    return nodes.select("path", "sid", "sketch", "n").mapInArrow(split, "path long, sid long, sketch binary, parent_n long")
 
 
 def _with_size(nodes: DataFrame) -> DataFrame:
@@ -174,14 +174,14 @@ def _with_size(nodes: DataFrame) -> DataFrame:
 def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """Edges (a, b) that connect the sets which look similar in some node."""
     level = cut_lineage(_with_size(_first_level(sets, runs)))
-    level = level.join(sets.select("skey", "sketch"), "skey").withColumn("parent_n", F.lit(None).cast("long"))
+    level = level.join(sets.select("sid", "sketch"), "sid").withColumn("parent_n", F.lit(None).cast("long"))
     found = []
     for depth in range(1, MAX_DEPTH + 1):
         level = cut_lineage(level)
         dense = (F.lit(depth) >= 2) & (2 * F.col("n") > F.col("parent_n")) | (F.lit(depth) == MAX_DEPTH)
         ends = (F.col("n") <= TILE) | F.coalesce(dense, F.lit(False))
         leaves = level.where(ends).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-        found.append(cut_lineage(_tiled(leaves, "path", ["skey", "sketch"], _compare_sketches, "a binary, b binary")))
+        found.append(cut_lineage(_tiled(leaves, "path", ["sid", "sketch"], _compare_sketches, "a long, b long")))
         level = level.where(~ends)
         if level.isEmpty():
             break
@@ -200,7 +200,7 @@ def _tiled(members: DataFrame, group: str, columns: list[str], compare: Callable
 
     ``compare`` gets the columns as lists and the tile side of each member (False, True, or all False for one tile with itself).
     """
-    tile = F.pmod(F.xxhash64("skey"), F.col("tiles").cast("long")).cast("int")
+    tile = F.pmod(F.xxhash64("sid"), F.col("tiles").cast("long")).cast("int")
     spread = members.withColumn("__tile", tile).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = spread.select(F.col(group).alias("g"), F.least("__tile", "__other").alias("i"), F.greatest("__tile", "__other").alias("j"), F.struct(F.col("__tile").alias("tile"), *columns).alias("m"))
     gathered = keyed.groupBy("g", "i", "j").agg(F.collect_list("m").alias("m")).where("size(m) > 1").select("i", "j", "m")
@@ -241,7 +241,7 @@ def _compare_sketches(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.
     root = _pieces(near)
     joined = np.nonzero(root != np.arange(len(keys)))[0]
     if len(joined):
-        yield pa.RecordBatch.from_arrays([pa.array([keys[root[k]] for k in joined], pa.binary()), pa.array([keys[k] for k in joined], pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([keys[root[k]] for k in joined], pa.int64()), pa.array([keys[k] for k in joined], pa.int64())], names=["a", "b"])
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -264,7 +264,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirm(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(skey, n_links, peer): links of each member to the other tile (or its own), and a member of its piece."""
+    """(sid, n_links, peer): links of each member to the other tile (or its own), and a member of its piece."""
     first = {}
     for k, key in enumerate(columns[0].to_pylist()):  # a text that stands in several equal rows counts once
         first.setdefault(key, k)
@@ -284,8 +284,8 @@ def _confirm(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.RecordBat
     some = np.nonzero(links)[0]
     if len(some):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([keys[k] for k in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([keys[root[k]] for k in some], pa.binary())],
-            names=["skey", "n_links", "peer"],
+            [pa.array([keys[k] for k in some], pa.int64()), pa.array(links[some].astype(np.int64)), pa.array([keys[root[k]] for k in some], pa.int64())],
+            names=["sid", "n_links", "peer"],
         )
 
 
@@ -300,23 +300,23 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     """
     rows = _sketch_rows(docs.select("doc_id", "text"))
     texts = cut_lineage(rows.groupBy("tkey").agg(F.min("doc_id").alias("class_id"), F.first("skey").alias("skey"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    sets = store(
-        texts.where("skey is not null").groupBy("skey").agg(F.count("*").alias("n_texts"), F.min(F.struct("class_id", "tkey")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
-        "sets",
-    )
-    clusters = group_roots(candidate_edges(sets, runs)).select(F.col("node").alias("skey"), F.col("root").alias("cluster"))
-    members = clusters.join(sets.select("skey", "n_texts", "rep", "n_shingles"), "skey")
+    alike = texts.where("skey is not null").groupBy("skey").agg(F.count("*").alias("n_texts"), F.min(F.struct("class_id", "tkey")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sets = store(alike.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once, in the stored table
+    clusters = group_roots(candidate_edges(sets, runs)).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
+    members = cut_lineage(clusters.join(sets.select("sid", "n_texts", "rep", "n_shingles"), "sid"))
     tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") * 8 / TILE_BYTES)).cast("int")
     sized = members.join(members.groupBy("cluster").agg(tiles.alias("tiles")), "cluster")
-    wanted = cut_lineage(sized.select(F.col("rep.class_id").alias("w_id"), F.col("rep.tkey").alias("tkey"), "cluster", "tiles", "skey", "n_texts"))
+    wanted = cut_lineage(sized.select(F.col("rep.class_id").alias("w_id"), F.col("rep.tkey").alias("tkey"), "cluster", "tiles", "sid", "n_texts"))
     full = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tkey"))
-    fetched = full.join(small_side(wanted), (full.tkey == wanted.tkey) & full.doc_id.eqNullSafe(wanted.w_id)).select("cluster", "tiles", "skey", "n_texts", F.col("text").cast("binary").alias("text"))
-    confirmed = cut_lineage(_tiled(fetched, "cluster", ["skey", "n_texts", "text"], _confirm, "skey binary, n_links long, peer binary"))
-    links = confirmed.groupBy("skey").agg(F.sum("n_links").alias("linked"))
-    roots = group_roots(confirmed.select(F.col("skey").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("skey"), "root")
-    grouped = texts.join(sets.select("skey", "n_texts"), "skey", "left").join(links, "skey", "left").join(roots, "skey", "left").withColumn("root", F.coalesce("root", "skey", "tkey"))
-    least = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    per_text = grouped.join(least, "root").select("tkey", "class_id", F.coalesce(F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), "group_id")
+    fetched = full.join(small_side(wanted), (full.tkey == wanted.tkey) & full.doc_id.eqNullSafe(wanted.w_id)).select("cluster", "tiles", "sid", "n_texts", F.col("text").cast("binary").alias("text"))
+    confirmed = cut_lineage(_tiled(fetched, "cluster", ["sid", "n_texts", "text"], _confirm, "sid long, n_links long, peer long"))
+    links = confirmed.groupBy("sid").agg(F.sum("n_links").alias("linked"))
+    roots = group_roots(confirmed.select(F.col("sid").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("sid"), "root")
+    joined = sets.select("skey", "sid", "n_texts", F.col("rep.class_id").alias("first_id")).join(links, "sid", "left").join(roots, "sid", "left")
+    joined = joined.select("skey", F.coalesce("root", "sid").alias("root"), (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "first_id")
+    least = joined.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    per_set = joined.join(least, "root").select("skey", "n_links", "group_id")
+    per_text = texts.join(per_set, "skey", "left").select("tkey", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("skey").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"))
     return rows.select("doc_id", "tkey").join(cut_lineage(per_text), "tkey").select("doc_id", "tkey", "class_id", "n_links", "group_id")
 
 

@@ -330,7 +330,7 @@ def source_key(df: DataFrame) -> Column:
 def resolve_events(events: DataFrame, canon: DataFrame | None = None) -> DataFrame:
     """What becomes of each normalised event: updated, merged into another event, or created.
 
-    First by equal canonical key, then by the best stored match, then among the new events
+    Merged rows have the ``similarity`` to their best match and the ``match_reasons``.  First by equal canonical key, then by the best stored match, then among the new events
     themselves as connected groups under their least id, so row order does not matter.
     """
     events = cut_lineage(events)
@@ -346,7 +346,9 @@ def resolve_events(events: DataFrame, canon: DataFrame | None = None) -> DataFra
         rest = fresh.join(best, "event_id", "left_anti")
     else:
         best, rest = None, fresh
-    own = score_duplicates(candidate_pairs(rest, rest), rest, rest)
+    own = cut_lineage(score_duplicates(candidate_pairs(rest, rest), rest, rest))
+    matches = best_duplicate(own)
+    matches = matches if best is None else matches.unionByName(best)
     roots = components(own.select(F.least("event_id", "canon_id").alias("a"), F.greatest("event_id", "canon_id").alias("b")).distinct())
     decided = rest.select("canonical_key", "event_id").join(roots.withColumnRenamed("node", "event_id"), "event_id", "left").select(
         "canonical_key", F.coalesce("root", "event_id").alias("target"), F.when(F.col("root").isNull() | (F.col("root") == F.col("event_id")), "created").otherwise("merged").alias("decision"))
@@ -354,11 +356,32 @@ def resolve_events(events: DataFrame, canon: DataFrame | None = None) -> DataFra
         merged = fresh.select("canonical_key", "event_id").join(best, "event_id").select("canonical_key", F.col("canon_id").alias("target"), F.lit("merged").alias("decision"))
         stored = known.select("canonical_key", F.col("canon_id").alias("target"), F.lit("updated").alias("decision"))
         decided = decided.unionByName(merged).unionByName(stored)
-    out = keyed.join(decided, "canonical_key")
+    out = keyed.join(decided, "canonical_key").join(matches.select(F.col("event_id").alias("head"), "similarity", F.col("reasons").alias("match_reasons")), "head", "left")
+    merged = F.col("decision") == "merged"
+    out = out.withColumns({"similarity": F.when(merged, F.col("similarity")), "match_reasons": F.when(merged, F.col("match_reasons"))})
     action = F.when((F.col("event_id") != F.col("head")) & (F.col("decision") != "merged"), "updated").otherwise(F.col("decision"))
     return out.withColumn("action", action).drop("head", "decision")
 
 
+def source_references(resolved: DataFrame) -> DataFrame:
+    """One row per source listing of a canonical event: the event it was resolved to and where it came from."""
+    keyed = resolved.withColumn("source_key", source_key(resolved))
+    rest = F.struct("source_platform", "source_event_id", "source_url", "canonical_key", "confidence_score")
+    return keyed.groupBy("target", "source_key").agg(F.min(rest).alias("r")).select("target", "source_key", "r.*")
+
+
+def duplicate_members(resolved: DataFrame) -> DataFrame:
+    """Rows (group_id, event_id, role, similarity_score, reasons): the kept event and those merged into it.
+
+    One row per event that stands for its canonical key; a group is named by its kept event.
+    """
+    heads = resolved.where("action = 'merged'").groupBy("target", "canonical_key").agg(F.min(F.struct("event_id", "similarity", "match_reasons")).alias("m"))
+    merged = heads.select(F.col("target").alias("group_id"), F.col("m.event_id").alias("event_id"), F.lit("DUPLICATE").alias("role"), F.col("m.similarity").alias("similarity_score"), F.col("m.match_reasons").alias("reasons"))
+    kept = merged.select("group_id").distinct().select(
+        "group_id", F.col("group_id").alias("event_id"), F.lit("CANONICAL").alias("role"), F.lit(1.0).alias("similarity_score"), F.array(F.lit("existing canonical event")).alias("reasons"))
+    return kept.unionByName(merged)
+
+
 def merged_confidence(resolved: DataFrame, refs: DataFrame) -> DataFrame:
     """Confidence of each canonical event after merges: own plus 0.03 per reference, at most 0.15."""
     n = refs.groupBy("target").agg(F.count(F.lit(1)).alias("references"))

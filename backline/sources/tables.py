@@ -79,10 +79,18 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append to a log table (snapshots, predictions, validation logs, training pairs)."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def append(df: DataFrame, path: str, run: str) -> None:
+    """Add a run's rows to a log table (snapshots, predictions, validation logs, training pairs).
+
+    The rows lie in the run's own partition, so a run that is repeated after a failure replaces them.
+    """
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def attach_concerts(log: DataFrame, links: DataFrame) -> DataFrame:
+    """Log rows whose event became a concert, with its id where they have none; ``links`` (event_id, concert_id)."""
+    found = links.select("event_id", F.col("concert_id").cast(log.schema["concert_id"].dataType).alias("linked"))
+    return log.join(found, "event_id", "left").withColumn("concert_id", F.coalesce("concert_id", "linked")).select(*log.columns)
 
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from backline.functions import refdata as R
 from backline.operators import revenue
 from backline.plans import event_flow, nightly
-from backline.session import cut_lineage
+from backline.session import checkpoint_dir, cut_lineage
 from backline.streaming import metrics as stream
 from catalog.base import DAY, DAY_LONG, clamp_sql, eq_case, even, in_case, money, query, up
 from catalog.metrics import _W, _growth, _season, _synth, tier_sql
@@ -83,9 +86,25 @@ def _(v):
     return event_flow.run_event_flow(v.raw, v.artists, v.metrics, v.concerts, v.venues, v.demographics, DAY_LONG).summary
 
 
+# The flow's tables, stored twice under one run, with their rows: the second run replaces the first.
+@query("stored_event_flow")
+def _(v):
+    out = f"{checkpoint_dir(v.spark)}/flow-{uuid.uuid4().hex}"
+    flow = event_flow.run_event_flow(v.raw, v.artists, v.metrics, v.concerts, v.venues, v.demographics, DAY_LONG)
+    event_flow.store_event_flow(flow, out, "r1")
+    event_flow.store_event_flow(flow, out, "r1")
+    counted = [v.spark.read.parquet(f"{out}/{t}").agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t in event_flow.STORED]
+    return reduce(DataFrame.unionByName, counted)
+
+
+# A night with scraped rows and retraining: every step of the chain runs.
 @query("nightly_concerts")
 def _(v):
-    return nightly.run_daily(v.artists, v.metrics_long, v.concerts, DAY_LONG)["concerts"]
+    scraped = v.raw.where("city is not null").select(
+        "artist_name", "event_name", "venue_name", "city", "country", F.col("show_date").alias("concert_date"), "price_min", "price_max",
+        F.lit("USD").alias("currency"), F.lower("source_platform").alias("source"), "source_url")
+    model = f"{checkpoint_dir(v.spark)}/model-{uuid.uuid4().hex}"
+    return nightly.run_daily(v.artists, v.metrics_long, v.concerts, DAY_LONG, scraped, model, v.venues)["concerts"]
 
 
 _EVENTS = "select {w}::date::varchar as day, event_type, count(*) as events, round(sum(value::decimal(18,4))::double, 2) as total from events group by 1, 2"

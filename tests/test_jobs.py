@@ -177,6 +177,32 @@ def test_new_concerts_survive_two_nights(spark):
     assert pairs.dedup_concerts(lone).count() == 5
 
 
+def test_event_flow_is_stored_once(spark, tmp_path):
+    from backline.plans import event_flow as flow
+
+    v = Views(spark, SF)
+    raw = v.raw.where("artist_id < 12")
+    f = flow.run_event_flow(raw, v.artists, v.metrics, v.concerts, v.venues, v.demographics, "2001-08-01")
+    for _ in range(2):
+        flow.store_event_flow(f, str(tmp_path), "night 1")
+    flow.store_event_flow(f, str(tmp_path), "night 2")
+    read = {t: spark.read.parquet(str(tmp_path / t)) for t in flow.STORED}
+    one = {t: df.where("run = 'night 1'") for t, df in read.items()}
+    assert all(df.count() == 2 * one[t].count() for t, df in read.items())
+    canon = one["canonical_events"]
+    assert canon.count() == f.events.select("canonical_key").distinct().count()
+    merged = canon.where("validation_status = 'DUPLICATE'").count()
+    assert merged > 0 and one["duplicate_group_members"].where("role = 'DUPLICATE'").count() == merged
+    assert one["duplicate_group_members"].where("role = 'DUPLICATE' and (similarity_score < 0.86 or size(reasons) = 0)").count() == 0
+    assert one["source_references"].select("target", "source_key").distinct().count() == one["source_references"].count() >= canon.count()
+    assert one["validation_logs"].count() == f.events.count()
+    done = f.summary.first()
+    assert done.predicted == one["prediction_outputs"].where("expected_revenue is not null").count() > 0
+    links = canon.where("event_id = target").select("event_id").limit(3).withColumn("concert_id", F.lit("c7"))
+    logs = one["prediction_outputs"].drop("run")
+    assert tables.attach_concerts(tables.attach_concerts(logs, links), links).where("concert_id = 'c7'").count() == logs.join(links.select("event_id"), "event_id").count()
+
+
 def test_rates_by_date(spark):
     from backline.operators import money
 

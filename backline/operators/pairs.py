@@ -18,27 +18,31 @@ from backline.operators.normalize import concert_city, venue_key
 from backline.session import cut_lineage
 
 
+# gram sizes and the shortest text that uses each
+_GRAMS = (6, 3, 2, 1)
+
+
+def _sized(text: str, n: int) -> Column:
+    return F.transform(X.grams(F.col(text), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+
 def contained_pairs(small: DataFrame, big: DataFrame, block: list[str] | None = None) -> DataFrame:
     """Pairs (a, b) with ``a``'s text inside ``b``'s, within equal ``block`` columns.
 
     ``small``: a, a_text; ``big``: b, b_text; both with the block columns.  Texts are non-empty.
-    Three gram sizes cover every length; a text uses the largest that fits it.
+    A text is looked up by its rarest gram of the largest size that fits it; all sizes go through
+    one join, with the size as part of the key.
     """
     block = block or []
-    out = []
-    for n, longest in ((6, None), (3, 5), (1, 2)):
-        size = F.length("a_text")
-        part = small.where(size >= n) if longest is None else small.where(size.between(n, longest))
-        pool = big.select(*block, "b", "b_text", F.explode(X.grams(F.col("b_text"), n)).alias("g"))
-        freq = pool.groupBy(*block, "g").agg(F.count(F.lit(1)).alias("df"))
-        mine = part.select(*block, "a", "a_text", F.explode(X.grams(F.col("a_text"), n)).alias("g"))
-        rare = (
-            mine.join(freq, [*block, "g"], "left")
-            .groupBy(*block, "a", "a_text").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-        )
-        hit = rare.join(pool, [*block, "g"]).where(F.contains("b_text", "a_text"))
-        out.append(hit.select(*block, "a", "b"))
-    return reduce(DataFrame.unionByName, out)
+    size = F.length("a_text")
+    own = F.coalesce(*[F.when(size >= n, _sized("a_text", n)) for n in _GRAMS])
+    mine = small.select(*block, "a", "a_text", F.explode(own).alias("k"))
+    pool = big.select(*block, "b", "b_text", F.explode(F.concat(*[_sized("b_text", n) for n in _GRAMS])).alias("k"))
+    key = [*block, "k"]
+    pool = pool.join(mine.select(*key).distinct(), key, "left_semi")
+    freq = pool.groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
+    rare = mine.join(freq, key, "left").groupBy(*block, "a", "a_text").agg(F.min_by("k", F.struct(F.coalesce("df", F.lit(0)), "k")).alias("k"))
+    return rare.join(pool, key).where(F.contains("b_text", "a_text")).select(*block, "a", "b")
 
 
 def match_artist(events: DataFrame, artists: DataFrame, name: str = "artist_name") -> DataFrame:
@@ -48,8 +52,9 @@ def match_artist(events: DataFrame, artists: DataFrame, name: str = "artist_name
     containment too.  Of several artists an equal one wins, then the longest name, then the id.
     """
     squash = lambda c: F.replace(X.event_name_key(c), F.lit(" "), F.lit(""))
-    ev = events.select(name).distinct().withColumn("key", squash(F.col(name))).where("key <> ''")
-    art = artists.withColumn("art_key", squash(F.col("artist_name"))).where("art_key <> ''").groupBy("art_key").agg(F.min("artist_id").alias("artist_id"))
+    # both lists of distinct names are read several times below
+    ev = cut_lineage(events.select(name).distinct().withColumn("key", squash(F.col(name))).where("key <> ''"))
+    art = cut_lineage(artists.withColumn("art_key", squash(F.col("artist_name"))).where("art_key <> ''").groupBy("art_key").agg(F.min("artist_id").alias("artist_id")))
     keys = ev.select("key").distinct()
     a_in_e = contained_pairs(art.select(F.col("art_key").alias("a"), F.col("art_key").alias("a_text")), keys.select(F.col("key").alias("b"), F.col("key").alias("b_text")))
     e_in_a = contained_pairs(keys.select(F.col("key").alias("a"), F.col("key").alias("a_text")), art.select(F.col("art_key").alias("b"), F.col("art_key").alias("b_text")))

@@ -22,7 +22,8 @@ def kpis(artists: DataFrame, concerts: DataFrame, metrics: DataFrame, prediction
     start = F.trunc(_day(as_of), "year")
     month_ago = F.date_sub(_day(as_of), 30)
     latest = latest_prediction(predictions).select("concert_id", F.col("expected_revenue").alias("pr"))
-    ytd = concerts.where(F.col("concert_date") >= start).join(latest, "concert_id", "left")
+    this_year = F.col("concert_date") >= start
+    shows = concerts.withColumn("year_id", F.when(this_year, F.col("concert_id"))).join(latest.withColumnRenamed("concert_id", "year_id"), "year_id", "left")
     t, p, r = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("tickets_sold", "avg_ticket_price", "total_revenue"))
     pr = F.coalesce("pr", F.lit(0.0))
     revenue = F.when(r > 0, r).when((t > 0) & (p > 0), t * p).when(pr > 0, pr).otherwise(F.lit(0.0))
@@ -38,11 +39,12 @@ def kpis(artists: DataFrame, concerts: DataFrame, metrics: DataFrame, prediction
         return df.select(F.lit(name).alias("k"), value.cast("double").alias("v"), (F.lit(None) if text is None else text).cast("string").alias("s"))
 
     growth = half_even(cents_mean(F.col("rog_daily")), 2)
+    # concerts, tickets and revenue in one pass
+    totals = shows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(this_year, F.col("tickets_sold"))).alias("tickets"), cents_sum(F.when(this_year, half_up(revenue, 2))).alias("revenue"))
+    totals = totals.selectExpr("stack(3, 'concerts', double(n), 'tickets', double(tickets), 'revenue', double(revenue)) as (k, v)").withColumn("s", F.lit(None).cast("string"))
     parts = [
+        totals,
         part(artists.where("active").agg(F.count(F.lit(1)).alias("v")), "artists", F.col("v")),
-        part(concerts.agg(F.count(F.lit(1)).alias("v")), "concerts", F.col("v")),
-        part(ytd.agg(F.sum("tickets_sold").alias("v")), "tickets", F.col("v")),
-        part(ytd.agg(cents_sum(half_up(revenue, 2)).alias("v")), "revenue", F.col("v")),
         part(recent.agg(growth.alias("v")), "growth", F.col("v")),
         part(best, "top", F.col("streams"), F.col("artist_name")),
     ]

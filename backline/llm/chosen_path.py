@@ -233,7 +233,9 @@ def _pieces(near: np.ndarray) -> np.ndarray:
 
 
 def _compare_sketches(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys, drawn = columns[0].to_pylist(), _matrix(columns[1])
+    # in order of the ids: a piece is named by its least member, so tiles of one group give the same edges
+    order = np.argsort(columns[0].to_numpy(), kind="stable")
+    keys, drawn = columns[0].to_numpy()[order].tolist(), _matrix(columns[1])[order]
     same = np.zeros((len(keys), len(keys)), np.uint8)
     for c in drawn.T:
         same += c[:, None] == c[None, :]
@@ -268,6 +270,7 @@ def _confirm(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.RecordBat
     first = {}
     for k, key in enumerate(columns[0].to_pylist()):  # a text that stands in several equal rows counts once
         first.setdefault(key, k)
+    first = dict(sorted(first.items()))
     take = list(first.values())
     side = side[take]
     weight = columns[1].to_numpy()[take]

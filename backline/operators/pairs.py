@@ -243,6 +243,9 @@ def event_text(df: DataFrame) -> Column:
 
 
 def with_embedding(events: DataFrame) -> DataFrame:
+    """Events with the token-hash vector of their text; one that is stored is kept."""
+    if "embedding" in events.columns:
+        return events
     vectors = V.hash_embed(events.select("event_id", event_text(events).alias("t")), "event_id", "t")
     return events.join(vectors, "event_id")
 

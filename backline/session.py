@@ -30,6 +30,8 @@ def build_session(app: str = "backline", cores: str | int = "*", partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.files.maxPartitionBytes", "64m")
+        # checkpoint files go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)

@@ -92,17 +92,28 @@ def test_windowed_totals_stream(spark, tmp_path):
     assert {tuple(r) for r in batch if r.window_end <= closed} <= got <= {tuple(r) for r in batch}
 
 
-def test_listing_stream(spark, tmp_path):
+def test_listing_batches_equal_one_batch(spark, tmp_path):
     v = Views(spark, SF)
-    raw = v.raw.where("artist_id = 1").drop("artist_id", "show_date")
-    raw.write.parquet(str(tmp_path / "raw"))
-    src = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "raw"))
+    raw = v.raw.where("artist_id in (1, 2)").drop("artist_id", "show_date")
     t = {"artists": v.artists, "metrics": v.metrics, "concerts": v.concerts, "venues": v.venues, "demographics": v.demographics}
-    q = stream_listings.stream_events(src, t, "2000-01-01", str(tmp_path / "o"), str(tmp_path / "c"))
-    q.awaitTermination(200)
-    assert q.exception() is None
-    out = spark.read.parquet(str(tmp_path / "o/events"))
-    assert out.count() > 0 and out.where("status is null").count() == 0
+    half = F.pmod(F.xxhash64("source_event_id"), F.lit(2))
+    out = {}
+    for name, parts in (("one", [raw]), ("two", [raw.where(half == 0), raw.where(half == 1)])):
+        for k, part in enumerate(parts):  # the second file arrives after the first batch
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            src = spark.readStream.schema(raw.schema).parquet(str(tmp_path / name))
+            q = stream_listings.stream_events(src, t, "2000-01-01", str(tmp_path / name / "_o"), str(tmp_path / name / "_c"))
+            q.awaitTermination(300)
+            assert q.exception() is None
+        out[name] = spark.read.parquet(str(tmp_path / name / "_o/events"))
+    assert out["one"].where("status is null").count() == 0
+    keys = {n: {r[0] for r in df.select("canonical_key").distinct().collect()} for n, df in out.items()}
+    assert keys["one"] == keys["two"] and out["one"].count() == out["two"].count()
+    # an event that repeats a key of an earlier batch is not created again
+    created = out["two"].where("action = 'created'").groupBy("canonical_key").count()
+    assert created.where("count > 1").count() == 0
+    plan = stream_listings.created_before(spark, str(tmp_path / "two/_o"), 1, raw.limit(3))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan and "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_model_stages_and_blend(spark, tmp_path):

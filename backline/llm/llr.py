@@ -21,7 +21,8 @@ from backline.llm.common import small_side
 from backline.session import cut_lineage
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.5
+# Clean documents score about 0 (at worst -0.07 among those labelled good at any tried size), junk -0.05 to -1.5.
+THRESHOLD = -0.15
 _SPACE = r"[\x20\x09-\x0D]"
 
 

@@ -296,14 +296,15 @@ def _confirm(columns: list[pa.Array], side: np.ndarray) -> Iterator[pa.RecordBat
 
 
 def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
-    """One row per document: (doc_id, tkey, class_id, n_links, group_id).
+    """One row per document: (doc_id, tkey, class_id, n_links, group_id, group_key).
 
     tkey: hash of the text; class_id: least id with the same text; n_links: different texts at similarity 0.8 or
-    more; group_id: least id of the texts connected by links.
+    more; group_id: least id of the texts connected by links; group_key: tkey of one of these texts.  Ids may be null
+    or repeated, so only group_key tells groups apart.
     """
     rows = _sketch_rows(docs.select("doc_id", "text"))
     texts = cut_lineage(rows.groupBy("tkey").agg(F.min("doc_id").alias("class_id"), F.first("skey").alias("skey"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    alike = texts.where("skey is not null").groupBy("skey").agg(F.count("*").alias("n_texts"), F.min(F.struct("class_id", "tkey")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    alike = texts.where("skey is not null").groupBy("skey").agg(F.count("*").alias("n_texts"), F.min("class_id").alias("first_id"), F.min(F.struct("class_id", "tkey")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sets = store(alike.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbered once, in the stored table
     clusters = group_roots(candidate_edges(sets, runs)).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     members = cut_lineage(clusters.join(sets.select("sid", "n_texts", "rep", "n_shingles"), "sid"))
@@ -315,20 +316,20 @@ def jaccard_join(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     confirmed = cut_lineage(_tiled(fetched, "cluster", ["sid", "n_texts", "text"], _confirm, "sid long, n_links long, peer long"))
     links = confirmed.groupBy("sid").agg(F.sum("n_links").alias("linked"))
     roots = group_roots(confirmed.select(F.col("sid").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("sid"), "root")
-    joined = sets.select("skey", "sid", "n_texts", F.col("rep.class_id").alias("first_id")).join(links, "sid", "left").join(roots, "sid", "left")
-    joined = joined.select("skey", F.coalesce("root", "sid").alias("root"), (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "first_id")
-    least = joined.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    per_set = joined.join(least, "root").select("skey", "n_links", "group_id")
-    per_text = texts.join(per_set, "skey", "left").select("tkey", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("skey").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"))
-    return rows.select("doc_id", "tkey").join(cut_lineage(per_text), "tkey").select("doc_id", "tkey", "class_id", "n_links", "group_id")
+    joined = sets.select("skey", "sid", "n_texts", "first_id", F.col("rep.tkey").alias("first_key")).join(links, "sid", "left").join(roots, "sid", "left")
+    joined = joined.select("skey", F.coalesce("root", "sid").alias("root"), (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "first_id", "first_key")
+    least = joined.groupBy("root").agg(F.min("first_id").alias("group_id"), F.min("first_key").alias("group_key"))
+    per_set = joined.join(least, "root").select("skey", "n_links", "group_id", "group_key")
+    per_text = texts.join(per_set, "skey", "left").select("tkey", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("skey").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_key", "tkey").alias("group_key"))
+    return rows.select("doc_id", "tkey").join(cut_lineage(per_text), "tkey").select("doc_id", "tkey", "class_id", "n_links", "group_id", "group_key")
 
 
 def keep_one_of_each_group(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     """``docs`` with the document of the least id (then text hash) of each group of linked texts."""
     joined = cut_lineage(jaccard_join(docs, runs))
     one = F.struct("doc_id", "tkey")
-    best = joined.groupBy("group_id").agg(F.min(one).alias("best"), F.count("*").alias("n"))
-    gone = joined.join(best.where("n > 1"), joined.group_id.eqNullSafe(best.group_id)).where(~one.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("g_id"), F.col("tkey").alias("g_tkey")).distinct()
+    best = joined.groupBy("group_key").agg(F.min(one).alias("best"), F.count("*").alias("n"))
+    gone = joined.join(best.where("n > 1"), "group_key").where(~one.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("g_id"), F.col("tkey").alias("g_tkey")).distinct()
     keyed = docs.withColumn("__tkey", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     gone = small_side(cut_lineage(gone))
     kept = keyed.join(gone, (keyed["__tkey"] == gone.g_tkey) & keyed.doc_id.eqNullSafe(gone.g_id), "left_anti")

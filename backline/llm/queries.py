@@ -64,7 +64,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, number of links and group of every document at five words and similarity 0.8."""
-    return chosen_path.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
+    return chosen_path.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id", F.hex("group_key").alias("group_key"))
 
 
 @_query

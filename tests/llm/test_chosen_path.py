@@ -87,3 +87,15 @@ def test_empty_table_and_null_ids(spark, rows):
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
     got = chosen_path.jaccard_join(df).collect()
     assert len(got) == len(rows) and all(r.n_links == 0 for r in got)
+
+
+def test_groups_of_null_and_reused_ids_stay_apart(spark):
+    far = ["red green blue black white grey", "one two three four five six", "north south east west up down", "...", "?!", "spring summer autumn winter dawn dusk"]
+    near = "This that these those here there when where why how"
+    rows = [(None, far[0]), (None, far[1]), (None, far[3]), (None, far[4]), (7, far[2]), (7, far[5]), (None, near), (3, near.upper()), (9, near + "!"), (None, None), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA).repartition(3)
+    got = chosen_path.jaccard_join(df).collect()
+    assert len({r.group_key for r in got}) == 8
+    assert {(r.group_id, r.n_links) for r in got if r.n_links} == {(3, 2)}
+    kept = sorted((r.text or "" for r in chosen_path.keep_one_of_each_group(df).collect()), key=str)
+    assert kept == sorted([*far, near, ""])

@@ -67,3 +67,10 @@ def test_empty_documents(spark, tmp_path):
     for name in ("labels", "benchmark"):
         shutil.copy(f"{SF}/{name}.parquet", sf / f"{name}.parquet")
     assert P.run(spark, str(sf)).count() == 0
+
+
+def test_unlinked_texts_of_null_and_reused_ids_pass_the_join_stage(spark):
+    texts = ["red green blue black white grey", "one two three four five six", "north south east west up down", "spring summer autumn winter dawn dusk"]
+    frame = frame_of(spark, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[2])])
+    got = dict(P.STAGES)["n-gram Jaccard join"](spark, frame, SF)
+    assert sorted(rows(got), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=str)

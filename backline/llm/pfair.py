@@ -8,7 +8,8 @@ source has then received less than one block more or less than its weight times
 Weights are multiples of 1 / ``resolution``, so the schedule repeats: only one period of at most ``resolution`` slots is worked out per
 *phase*, and a block's slot follows from its number by arithmetic.  A phase of whole periods ends before the period in which a
 source runs out; a last, cut period takes that source to its end, then the others share its weight and start anew.
-There are at most two phases per source, and at most ``resolution`` sources, so the tables sent to the tasks have a bound that does not depend on the data.
+The resolution is raised to ``SOURCE_SHARES`` shares a source when there are many sources.  There are at most two phases per
+source, so the tables sent to the tasks depend on the number of sources only.
 
 Every document is kept, once.  Block numbers come from byte counts per (source, hash range), summed up over the
 ranges, and from running sums inside a range, so no task ever holds a whole source.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from backline.session import cut_lineage
 
 BLOCK_BYTES = 64 << 10
-RESOLUTION = 1000
+RESOLUTION, SOURCE_SHARES = 1000, 4
 ROW_BYTES = 8
 RANGE_BYTES = 64 << 20
 
@@ -41,27 +43,38 @@ def windows(share: int, period: int) -> list[tuple[int, int]]:
 
 def one_period(shares: dict[str, int]) -> list[str]:
     """Source of each slot of a period of sum(shares) slots: earliest deadline first among the released blocks."""
+    return list(_slots(shares))
+
+
+def _slots(shares: dict[str, int]) -> Iterator[str]:
     period = sum(shares.values())
-    jobs = sorted((r, d, s) for s, n in shares.items() if n for r, d in windows(n, period))
-    ready, slots, k = [], [], 0
+    coming, ready = [(0, s, 0) for s, n in shares.items() if n], []
+    heapq.heapify(coming)
     for t in range(period):
-        while k < len(jobs) and jobs[k][0] <= t:
-            heapq.heappush(ready, (jobs[k][1], jobs[k][2]))
-            k += 1
+        while coming and coming[0][0] <= t:
+            _, s, k = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(k + 1) * period // shares[s]), s))
+            if k + 1 < shares[s]:
+                heapq.heappush(coming, ((k + 1) * period // shares[s], s, k + 1))
         deadline, source = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a block missed its deadline")
-        slots.append(source)
-    return slots
+        yield source
 
 
 def whole_shares(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Weights as whole shares of ``resolution`` (largest remainders), at least one for every source."""
+    """Weights as whole shares of ``resolution`` (largest remainders); a source below one share gets one."""
     if len(weights) > resolution:
         raise ValueError("more sources than shares; raise the resolution")
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * (resolution - len(weights)) for s, w in weights.items()}
-    shares = {s: int(x) + 1 for s, x in exact.items()}
+    large = {s: Fraction(w) for s, w in weights.items()}
+    while True:
+        rest, total = resolution - len(weights) + len(large), sum(large.values())
+        kept = {s: w for s, w in large.items() if w * rest >= total}
+        if len(kept) == len(large):
+            break
+        large = kept
+    exact = {s: w / total * rest for s, w in large.items()}
+    shares = {s: int(exact.get(s, 1)) for s in weights}
     left = resolution - sum(shares.values())
     for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
         shares[s] += 1
@@ -77,16 +90,17 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[dict]:
     done, slot, out = dict.fromkeys(blocks, 0), 0, []
     while active := [s for s in blocks if done[s] < blocks[s]]:
         part = {s: shares[s] for s in active}
-        slots = one_period(part)
         periods = min((blocks[s] - done[s]) // part[s] for s in active)
-        if not periods:
-            periods, seen = 1, dict.fromkeys(active, 0)
-            for t, s in enumerate(slots):
+        if periods:
+            slots, seen = one_period(part), part
+        else:
+            periods, slots, seen = 1, [], dict.fromkeys(active, 0)
+            for s in _slots(part):
+                slots.append(s)
                 seen[s] += 1
                 if done[s] + seen[s] == blocks[s]:
-                    slots = slots[: t + 1]
                     break
-        count = {s: periods * slots.count(s) for s in active}
+        count = {s: periods * seen[s] for s in active}
         out.append({"first_slot": slot, "shares": part, "slots": slots, "periods": periods, "first_block": {s: done[s] for s in active}, "blocks": count})
         slot += periods * len(slots)
         for s in active:
@@ -119,7 +133,7 @@ def mix(
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null apart from ''
     order = F.xxhash64("doc_id", "text")
     marked = docs.withColumns({"__source": name, "__order": order, "__size": text_bytes()})
-    totals = {r["__source"]: r.bytes for r in marked.groupBy("__source").agg(F.sum("__size").alias("bytes")).limit(resolution + 1).collect()}
+    totals = {r["__source"]: r.bytes for r in marked.groupBy("__source").agg(F.sum("__size").alias("bytes")).collect()}
     if not totals:
         nothing = F.lit(0).cast("long")
         return docs.withColumns({c: nothing for c in ("block", "release", "deadline", "slot", "place")}).limit(0)
@@ -131,7 +145,7 @@ def mix(
         if missing := sorted(set(totals) - set(given)):
             raise ValueError(f"no weight for sources {missing}")
         chosen = {s: given[s] for s in totals}
-    shares = whole_shares(chosen, resolution)
+    shares = whole_shares(chosen, max(resolution, SOURCE_SHARES * len(chosen)))
     plan = phases(blocks, shares)
 
     # start of each document in its source: bytes of the earlier hash ranges, then a running sum in the range
@@ -146,24 +160,22 @@ def mix(
     start = F.col("__base") + F.col("__inner")
     placed = placed.withColumns({"block": F.floor(start / block_bytes), "place": start % block_bytes})
 
-    rows, slots = [], []
+    rows = []
     for k, p in enumerate(plan):
-        period, seen = sum(p["shares"].values()), dict.fromkeys(p["shares"], 0)
-        for s, n in p["shares"].items():
-            first = p["first_block"][s]
-            rows.append({"__source": s, "__phase": k, "__first": first, "__last": first + p["blocks"][s] - 1, "__share": n, "__period": period, "__slot0": p["first_slot"]})
+        period, at = sum(p["shares"].values()), {s: [] for s, n in p["blocks"].items() if n}
         for t, s in enumerate(p["slots"]):
-            slots.append({"__source": s, "__phase": k, "__nth": seen[s], "__slot": t})
-            seen[s] += 1
-    parts = _inline(docs, rows, "__source:string,__phase:int,__first:bigint,__last:bigint,__share:bigint,__period:bigint,__slot0:bigint")
-    table = _inline(docs, slots, "__source:string,__phase:int,__nth:bigint,__slot:bigint")
+            at[s].append(t)
+        for s, own in at.items():
+            first = p["first_block"][s]
+            rows.append({"__source": s, "__first": first, "__last": first + p["blocks"][s] - 1, "__share": p["shares"][s], "__period": period, "__slot0": p["first_slot"], "__slots": own})
+    parts = _inline(docs, rows, "__source:string,__first:bigint,__last:bigint,__share:bigint,__period:bigint,__slot0:bigint,__slots:array<bigint>")
     in_phase = placed.join(F.broadcast(parts), "__source").where(F.col("block").between(F.col("__first"), F.col("__last")))
     done = F.col("block") - F.col("__first")
     in_phase = in_phase.withColumns({"__nth": done % F.col("__share"), "__turn": F.floor(done / F.col("__share"))})
     at = F.col("__slot0") + F.col("__turn") * F.col("__period")
-    out = in_phase.join(F.broadcast(table), ["__source", "__phase", "__nth"]).withColumns(
+    out = in_phase.withColumns(
         {
-            "slot": at + F.col("__slot"),
+            "slot": at + F.get("__slots", F.col("__nth").cast("int")),
             "release": at + F.floor(F.col("__nth") * F.col("__period") / F.col("__share")),
             "deadline": at + F.ceil((F.col("__nth") + 1) * F.col("__period") / F.col("__share")),
         }

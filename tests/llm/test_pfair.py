@@ -67,3 +67,21 @@ def test_given_weights_order_and_odd_rows(spark):
     with pytest.raises(ValueError):
         P.mix(frame, weights={"t": 1})
     assert P.mix(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 200, 500, 900])
+def test_shares_keep_the_targets_with_many_sources(n):
+    weights = {"hot": (n - 1) / 2} | {f"s{k}": 1 for k in range(n - 1)}
+    resolution = max(P.RESOLUTION, P.SOURCE_SHARES * n)
+    shares = P.whole_shares(weights, resolution)
+    assert sum(shares.values()) == resolution
+    assert all(abs(shares[s] - Fraction(w) / sum(map(Fraction, weights.values())) * resolution) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("n", [500, 1500])
+def test_documents_of_many_sources(spark, n):
+    rows = [(k, "x" * 92, f"s{k}") for k in range(n - 1)] + [(n + k, "y" * 92, "hot") for k in range(n // 2)]
+    got = P.mix(docs(spark, rows), weights={"hot": (n - 1) / 2} | {f"s{k}": 1 for k in range(n - 1)}, block_bytes=100).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert sorted(r.slot for r in got) == list(range(len(rows)))
+    assert all(r.release <= r.slot < r.deadline for r in got)

@@ -4,6 +4,8 @@ A source's documents, in a fixed shuffled order, are cut into blocks of ``block_
 the sources that still have blocks add up to one), block k = 0, 1, ... of a source is released at slot floor(k / w) and due by slot
 ceil((k + 1) / w); in each slot the released block with the earliest deadline goes out.  At every slot each
 source has then received less than one block more or less than its weight times the slots since its weight last changed.
+The targets hold for the part of the output before the first source runs out.  After that the scarce source is missing,
+the others are above their targets, and the last source left stands alone; README gives measured shares.
 
 Weights are multiples of 1 / ``resolution``, so the schedule repeats: only one period of at most ``resolution`` slots is worked out per
 *phase*, and a block's slot follows from its number by arithmetic.  A phase of whole periods ends before the period in which a

@@ -55,7 +55,12 @@ def _written_order(docs: DataFrame) -> tuple[DataFrame, Column | None]:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot: 24 runs of the mixture of equal bytes, so every shard has the target weights."""
+    """Documents with shard and slot: 24 runs of the mixture of equal bytes.
+
+    Shards hold the target weights until the first source runs out; on check_s that is after 71 % of the mixture, and
+    the largest source, with a target of 15 %, has 28 % of the 18th shard, 95 % of the 19th and all of the last five
+    (counted in blocks of the unfiltered documents).
+    """
     placed, key = _written_order(docs)
     return histogram.histogram_shards(placed, shards=24, key=key).drop("__at")
 

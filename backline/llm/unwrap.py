@@ -7,8 +7,9 @@ itself cannot loop).  Every character of a layer knows the characters of the tex
 five layers down is reported as a span of the text.
 
 Defined cases: null and empty texts have no spans; whole texts are read; repeated rows are scanned row by row;
-bytes that are not printable UTF-8 make no layer; a packed layer that unfolds to more than ``MAX_LAYER`` bytes is
-scanned up to there and counted in ``n_oversize``; empty tables give empty results; extra columns are ignored.
+bytes that are not printable UTF-8 make no layer; base64 broken over lines is joined; all members of compressed data are
+read; a packed layer that unfolds to more than ``MAX_LAYER`` bytes is scanned to its end in overlapping windows and counted
+in ``n_oversize`` (a secret or word inside it longer than an eighth of a window may be seen in part); empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import base64
 import binascii
 import bz2
 import hashlib
-import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 32 << 20
+MAX_LAYER, PIECE = 32 << 20, 1 << 10
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ASSIGN_CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,6 +39,8 @@ _ESCAPE = re.compile(
     r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})|\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|&#x([0-9a-fA-F]{1,6});|&#([0-9]{1,7});"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_BROKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}")
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
 
 
@@ -81,12 +84,14 @@ def _replaced(layer: _Layer, cuts: list[tuple[int, int, str, list[int]]], name:
 def _percent(layer: _Layer) -> _Layer | None:
     cuts = []
     for m in _PERCENT.finditer(layer.text) if "%" in layer.text else ():
-        try:
-            new = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
-        widths = [0, *(3 * len(c.encode()) for c in new[:-1])]
-        cuts.append((m.start(), m.end(), new, list(np.cumsum(widths))))
+        chars = bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape")
+        at = m.start()
+        for stray, part in groupby(chars, lambda c: "\udc80" <= c <= "\udcff"):  # bytes that are not UTF-8 stay as they are
+            new = "".join(part)
+            widths = [3 if stray else 3 * len(c.encode()) for c in new]
+            if not stray:
+                cuts.append((at, at + sum(widths), new, list(np.cumsum([0, *widths[:-1]]))))
+            at += sum(widths)
     return _replaced(layer, cuts, "url")
 
 
@@ -104,22 +109,84 @@ def _escapes(layer: _Layer) -> _Layer | None:
     return _replaced(layer, cuts, "unicode")
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool] | None:
-    """(content, oversize) of compressed data, None if it is not compressed."""
+def _codec(head: bytes) -> Callable | None:
+    """Maker of decoders for compressed data that begins so."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    if len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj
+    return None
+
+
+def _content(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Content of all compressed members that follow each other, up to bytes that are none.
+
+    Decoders are fed ``PIECE`` bytes at a time, so that even the densest data unfolds to bounded chunks.
+    """
+    pieces = (c[k : k + PIECE] for c in chunks for k in range(0, len(c), PIECE))
+    decoder, rest = None, b""
     try:
-        if data[:2] == b"\x1f\x8b":
-            out = zlib.decompressobj(31).decompress(data, MAX_LAYER + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, MAX_LAYER + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(MAX_LAYER + 1)
-        elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            out = zlib.decompressobj().decompress(data, MAX_LAYER + 1)
-        else:
-            return None
+        for piece in chain(pieces, [b""]):
+            last, rest = not piece, rest + piece
+            while rest:
+                if decoder is None:
+                    rest = rest.lstrip(b"\0")
+                    if len(rest) < 4 and not last:
+                        break
+                    make = _codec(rest)
+                    if make is None:
+                        return
+                    decoder = make()
+                out = decoder.decompress(rest)
+                rest = decoder.unused_data if decoder.eof else b""
+                if decoder.eof:
+                    decoder = None
+                if out:
+                    yield out
     except (zlib.error, OSError, zstandard.ZstdError, EOFError, ValueError):
+        return
+
+
+def _unpack(data: bytes) -> tuple[bytes, bool] | None:
+    """(content, oversize) of compressed data, None if it is not compressed."""
+    if _codec(data) is None:
         return None
-    return out[:MAX_LAYER], len(out) > MAX_LAYER
+    parts, size = [], 0
+    for out in _content([data]):
+        parts.append(out)
+        size += len(out)
+        if size > MAX_LAYER:
+            break
+    return (b"".join(parts)[:MAX_LAYER], size > MAX_LAYER) if parts else None
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """What stands below all compression of ``data``, in windows of ``MAX_LAYER`` bytes that overlap by an eighth."""
+    stream, heads = _content([data]), set()
+    while True:
+        head = b""
+        for out in stream:
+            head += out
+            if len(head) >= 4 * PIECE:
+                break
+        stream = chain([head], stream)
+        if head in heads or not _unpack(head):
+            break
+        heads.add(head)
+        stream = _content(stream)
+    held = bytearray()
+    for out in stream:
+        held += out
+        at = 0
+        while len(held) - at > MAX_LAYER:
+            yield bytes(held[at : at + MAX_LAYER])
+            at += MAX_LAYER - MAX_LAYER // 8
+        del held[:at]
+    yield bytes(held)
 
 
 def _printable(data: bytes, cut: bool) -> str | None:
@@ -130,33 +197,67 @@ def _printable(data: bytes, cut: bool) -> str | None:
     return text if len(text) >= 6 and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
 
 
+def _words(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of the lines of each base64 word: single lines, then words broken over lines.
+
+    Lines of a broken word have one length, but the first may begin, and the last may end, earlier.
+    """
+    for m in _BASE64.finditer(text):
+        yield [m.span()]
+    for m in _BROKEN.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        size = [b - a for a, b in lines]
+        for k in range(len(lines) - 1):
+            if k and size[k] == size[k - 1]:
+                continue
+            j = k + 1
+            while j + 1 < len(lines) and size[j + 1] == size[k + 1]:
+                j += 1
+            yield lines[k : j + 1]
+            if j + 1 < len(lines) and size[j + 1] < size[j]:
+                yield lines[k : j + 2]
+
+
 def _base64_layers(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
-    """A layer for each base64 word, through all compression inside it; True if one had to be cut."""
-    for m in _BASE64.finditer(layer.text):
-        core = m[0].rstrip("=").encode().translate(_URL_SAFE)
+    """A layer for each base64 word, through all compression inside it; True for the first window of an oversize one."""
+    for lines in _words(layer.text):
+        word = "".join(layer.text[a:b] for a, b in lines)
+        core = word.rstrip("=").encode().translate(_URL_SAFE)
         if len(core) % 4 == 1:
             continue
         try:
-            data = base64.b64decode(core + b"=" * (-len(core) % 4))
+            packed = data = base64.b64decode(core + b"=" * (-len(core) % 4))
         except binascii.Error:
             continue
         name, cut, seen, plain = "base64", False, set(), True
-        while (more := _unpack(data)) and more[0] not in seen:
+        while not cut and (more := _unpack(data)) and more[0] not in seen:
             seen.add(data)
-            data, over = more
-            name, cut, plain = name + ">packed", cut or over, False
-        text = _printable(data, cut)
-        if text is None:
-            continue
-        low, high = layer.span(m.start(), m.end())
-        if plain:
-            widths = np.array([len(c.encode()) for c in text])
-            ends = np.cumsum(widths)
-            first = layer.first[m.start() + (ends - widths) * 4 // 3]
-            after = layer.after[m.start() + np.minimum((ends * 8 + 5) // 6, len(m[0])) - 1]
-        else:
-            first, after = np.full(len(text), low), np.full(len(text), high)
-        yield _Layer(text, first, after, f"{layer.path}>{name}".lstrip(">")), cut
+            packed = data
+            data, cut = more
+            name, plain = name + ">packed", False
+        low, high = layer.span(lines[0][0], lines[-1][1])
+        counted = False
+        for window in _windows(packed) if cut else (data,):
+            text = _printable(window, cut)
+            if text is None:
+                continue
+            if plain:
+                place = np.concatenate([np.arange(a, b) for a, b in lines])
+                widths = np.array([len(c.encode()) for c in text])
+                ends = np.cumsum(widths)
+                first = layer.first[place[(ends - widths) * 4 // 3]]
+                after = layer.after[place[np.minimum((ends * 8 + 5) // 6, len(word)) - 1]]
+            else:
+                first, after = (np.broadcast_to(np.int64(x), (len(text),)) for x in (low, high))
+            yield _Layer(text, first, after, f"{layer.path}>{name}".lstrip(">")), cut and not counted
+            counted = True
+
+
+def _children(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
+    for decode in (_percent, _escapes):
+        if (child := decode(layer)) is not None:
+            yield child, False
+    yield from _base64_layers(layer)
 
 
 def unwrap_scan(text: str) -> dict:
@@ -164,28 +265,29 @@ def unwrap_scan(text: str) -> dict:
     base = sorted(base_spans(text))
     every, paths = set(base), {}
     layers, oversize = 0, 0
-    todo: list[_Layer] = []
     seen = {(hashlib.blake2b(text.encode(), digest_size=16).digest(), 0)}
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
         return {"base": base, "all": base, "paths": paths, "layers": 0, "oversize": 0}
     place = np.arange(len(text))
-    todo.append(_Layer(text, place, place + 1, ""))
+    # one layer, or one window of it, is held per depth
+    todo = [_children(_Layer(text, place, place + 1, ""))]
     while todo:
-        layer = todo.pop()
-        if layer.path:
-            for start, kind, end in base_spans(layer.text):
-                low, high = layer.span(start, end)
-                if (low, kind, high) not in every:
-                    every.add((low, kind, high))
-                    paths[low, kind, high] = layer.path
-        children = [(c, False) for c in (_percent(layer), _escapes(layer)) if c is not None]
-        for child, cut in [*children, *_base64_layers(layer)]:
-            mark = (hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(child.first[0]) if len(child.first) else 0)
-            if mark not in seen:
-                seen.add(mark)
-                layers += 1
-                oversize += cut
-                todo.append(child)
+        layer, cut = next(todo[-1], (None, False))
+        if layer is None:
+            todo.pop()
+            continue
+        oversize += cut
+        mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(layer.first[0]) if len(layer.first) else 0)
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        for start, kind, end in base_spans(layer.text):
+            low, high = layer.span(start, end)
+            if (low, kind, high) not in every:
+                every.add((low, kind, high))
+                paths[low, kind, high] = layer.path
+        todo.append(_children(layer))
     return {"base": base, "all": sorted(every), "paths": paths, "layers": layers, "oversize": oversize}
 
 

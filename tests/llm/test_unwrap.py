@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import re
 import zlib
@@ -95,3 +96,33 @@ def test_documents(spark):
     assert got[7].n_assign == 4000 and got[7].spans == got[7].base_spans
     assert U.secret_spans(docs(spark, rows)).count() == len(rows)
     assert U.secret_spans(docs(spark, [])).count() == 0
+
+
+def lines(x, width=76):
+    return "\n".join(x[k : k + width] for k in range(0, len(x), width))
+
+
+FILLER = " ".join(f"word{k * 7919 % 1000}" for k in range(200))
+MISSED = {
+    "second gzip member": b64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+    "second bzip2 member": b64(bz2.compress(b"nothing here") + bz2.compress(SECRET.encode())),
+    "second zstandard frame": b64(zstandard.compress(b"nothing here") + zstandard.compress(SECRET.encode())),
+    "percent run with a stray byte": "%FF" + "".join(f"%{b:02X}" for b in SECRET.encode()),
+    "broken base64": lines(b64(FILLER + " " + SECRET + " " + FILLER), 12 * 4),
+    "broken base64 of gzip": lines(b64(gzip.compress((FILLER + SECRET).encode()))),
+}
+
+
+@pytest.mark.parametrize("name", MISSED)
+def test_every_member_stretch_and_line_is_read(name):
+    text = "before " + MISSED[name] + "\nafter"
+    found = [s for s in U.unwrap_scan(text)["all"] if s[1] == 0]
+    assert found, name
+    assert all(7 <= start < end <= 7 + len(MISSED[name]) for start, _, end in found)
+
+
+def test_oversize_layers_are_read_to_the_end(monkeypatch):
+    monkeypatch.setattr(U, "MAX_LAYER", 1000)
+    for data in (("é x " * 5000 + SECRET + " y" * 700).encode(), gzip.compress(("x " * 5000 + SECRET).encode())):
+        got = U.unwrap_scan(b64(gzip.compress(data)))
+        assert any(kind == 0 for _, kind, _ in got["all"]) and got["oversize"] == 1

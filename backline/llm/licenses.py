@@ -1,9 +1,8 @@
 """License scans by conditional compression.
 
 Around every licensing cue of a text a candidate block is cut.  A block is compressed once by itself and once with
-each template as a raw-content zstandard dictionary; the share of bytes that a template saves ranks it.
-The best ranked templates are then aligned with the block word by word, and a template is reported only if
-enough of its words stand there in order; the report names the exact words that differ.
+each template as a raw-content zstandard dictionary.  Every template that saves a share of ``SAVED`` or more of the bytes
+is then aligned with the block word by word, and is reported only if enough of its words stand there in order; the report names the exact words that differ.
 
 Defined cases: null and empty texts have no license; whole texts are read; repeated rows are scanned row by row; of
 overlapping finds the one closer in wording (then the longer template, then the first name) stays; empty tables give empty
@@ -59,7 +58,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 _CUE = re.compile(r"licen[cs]e|copyright|permission is|redistribut|public domain|free software|all rights|waived", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
-RANKED = 3
 SAVED, ALIKE = 0.2, 0.85
 
 
@@ -100,7 +98,7 @@ class Scanner:
             ranked.append((-share, name, words, a, b))
         ranked.sort(key=lambda r: r[:2])
         out = []
-        for share, name, words, a, b in ranked[:RANKED]:
+        for share, name, words, a, b in ranked:
             if -share >= SAVED and (hit := self._wording(text, a, b, words)):
                 out.append((name, *hit[:2], round(-share, 4), *hit[2:]))
         return out

@@ -29,3 +29,8 @@ def test_documents(spark):
     got = sorted((r.doc_id, r.license, r.start, r.end) for r in L.license_spans(docs(spark, rows, extra=("license",))).collect())
     assert got[:2] == [(6, "CC-BY-NC-4.0", 2, 2 + len(line) - 1)] * 2 and len(got) == 5
     assert L.license_spans(docs(spark, [])).count() == 0
+
+
+def test_wording_that_many_neighbours_outrank():
+    text = "Licensed under the BSD 3-Clause License., Licensed under the BSD 3-Clause License., This work is licensed under a Creative Commons Attribution 4.0 International our"
+    assert [f[:3] + f[4:5] for f in L.Scanner().scan(text)] == [("BSD-3-Clause", 0, 39, 1.0), ("BSD-3-Clause", 42, 81, 1.0), ("CC-BY-4.0", 84, 160, 0.9565)]

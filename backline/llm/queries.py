@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backline.llm import chosen_path, contamination, dialogue, histogram, licenses, llr, pfair, toxicity, unwrap, wordpiece
+from backline.llm import chosen_path, collocation, contamination, dialogue, histogram, huffman, licenses, llr, masks, pfair, toxicity, unwrap, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_collocations"] = collocation.ORACLE_SQL
+
+
+@_query
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, read back from the written files."""
+    import public_tokenizers
+
+    read = huffman.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return masks.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = masks.ORACLE_SQL

@@ -6,72 +6,22 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from backline.schemas import TABLES
 from backline.session import cut_lineage
-
-Merge = Callable[[Column, Column], Column]
-
-
-def latest_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row per key by a struct maximum, which combines before the shuffle."""
-    rest = [c for c in df.columns if c not in key]
-    picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return picked.select(*key, "r.*").select(*df.columns)
-
-
-def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], merge: Mapping[str, Merge] | None = None) -> DataFrame:
-    """``base`` with ``delta`` (one row per key) laid over it.
-
-    Columns of ``delta`` replace those of ``base``; ``merge[c](new, old)`` decides otherwise, and may
-    look at the whole rows as the structs ``n`` and ``o``.  Running it twice with the same delta changes nothing.
-    """
-    merge = merge or {}
-    cols = [c for c in base.columns if c not in key]
-    shared = [c for c in cols if c in delta.columns]
-    old = base.select(*key, F.struct(*cols).alias("o"))
-    new = delta.select(*key, F.struct(*shared).alias("n"))
-    joined = old.join(new, list(key), "full_outer")
-
-    def pick(c: str) -> Column:
-        o = F.col(f"o.{c}")
-        if c not in shared:
-            return o.alias(c)
-        n = F.col(f"n.{c}")
-        value = merge[c](n, o) if c in merge else n
-        return F.when(F.col("n").isNull(), o).otherwise(value).alias(c)
-
-    return joined.select(*[F.col(k) if k in key else pick(k) for k in base.columns])
+from backline.sources.merging import Merge, keep_newest, latest_by_key, upsert  # noqa: F401
+from backline.sources.snapshots import StoredTable, by_month, month_of
 
 
 def upsert_months(spark: SparkSession, path: str, delta: DataFrame, key: Sequence[str], day: str, merge: Mapping[str, Merge] | None = None) -> None:
-    """Upsert into a parquet table partitioned by ``month``, rewriting only the months touched.
+    """Upsert into a stored table whose parts are months: only the months touched are read and written, all at once."""
+    by_month(spark, path, key, day).upsert(delta.withColumn("month", month_of(day)), merge)
 
-    The merged rows are written to the checkpoint folder before the partitions are replaced, so a
-    failed write never reads what it has half replaced, and a repeated delta changes nothing.
-    Stored columns that the delta lacks keep their values; columns that are new are null in older rows.
-    """
-    delta = cut_lineage(delta)
-    months = [r[0] for r in delta.select(F.date_format(day, "yyyy-MM").alias("m")).distinct().collect()]
-    if not months:
-        return
-    merged = delta
-    if table_exists(spark, path):
-        stored = read_months(spark, path)
-        old = stored.where(F.col("month").isin(months)).drop("month")
-        for f in delta.schema.fields:
-            if f.name not in old.columns:
-                old = old.withColumn(f.name, F.lit(None).cast(f.dataType))
-        merged = upsert(old, delta, key, merge)
-    out = cut_lineage(merged.withColumn("month", F.date_format(day, "yyyy-MM")))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-
-
-def read_months(spark: SparkSession, path: str) -> DataFrame:
-    """A table partitioned by ``month``, with the columns of all its files and the month as text."""
-    fields = [f for f in spark.read.option("mergeSchema", "true").parquet(path).schema.fields if f.name != "month"]
-    return spark.read.schema(T.StructType([*fields, T.StructField("month", T.StringType())])).parquet(path)
+
+def read_months(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a table stored by month, with the month as text; of the given months or all."""
+    return StoredTable(spark, path, [], F.lit(None)).read(months)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -127,6 +77,21 @@ def log_job(spark: SparkSession, job_type: str, work: Callable[[], int], path: s
     return row
 
 
+def log_write(rows: DataFrame, job_type: str, write: Callable[[DataFrame], None], path: str) -> dict:
+    """Run ``write(rows)`` and log it with the number of rows that it read.
+
+    The rows are counted by an observation while the write runs, so they are not computed a second time.  ``write``
+    has to run its rows in one action at first (a write, or a checkpoint that later steps read).
+    """
+    seen = Observation(f"{job_type}-{uuid.uuid4().hex}")
+
+    def work() -> int:
+        write(rows.observe(seen, F.count(F.lit(1)).alias("records")))
+        return seen.get["records"]
+
+    return log_job(rows.sparkSession, job_type, work, path)
+
+
 def new_concert_id(kind: T.DataType, *natural: str) -> Column:
     """Id of a new row from its natural key: a digest, or a negative number where ids are numbers (given ones are positive)."""
     if isinstance(kind, T.StringType):

@@ -113,13 +113,15 @@ def test_segmentation_is_optimal():
     assert series.change_points(x, pen) == sorted(cuts)
 
 
-def test_late_day_changes_two_growth_values(spark):
-    from backline.streaming.metrics import refresh_growth
+def test_late_day_changes_two_growth_values(spark, tmp_path):
+    from backline.streaming.metrics import metric_table, refresh_growth
 
     rows = [(1, "twitter", DAY(2024, 1, d), f) for d, f in ((1, 100), (3, 120), (4, 130))]
     table = spark.createDataFrame(rows, "artist_id long, platform string, date date, followers long").withColumn("rog_daily", F.lit(None).cast("double"))
     delta = table.where("date = date '2024-01-03'")
-    got = {r.date.day: r.rog_daily for r in refresh_growth(delta, table).collect()}
+    stored = metric_table(spark, str(tmp_path))
+    stored.upsert(table)
+    got = {r.date.day: r.rog_daily for r in refresh_growth(delta, stored).collect()}
     assert got == {3: 20.0, 4: pytest.approx(8.3333)}
 
 

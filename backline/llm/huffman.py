@@ -19,12 +19,12 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,19 +35,36 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 0
 #: Longest code; raised by itself when a vocabulary has more ids than codes of this length.
 MAX_BITS = 18
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 STRIDE = 128
 #: About 40 MB of payload.
 FILE_IDS = 1 << 25
-# Words whose ids a worker remembers (about 150 MB); the memory starts anew beyond it.
-REMEMBERED = 500_000
+# Pieces whose ids a worker remembers (about 200 MB); the memory starts anew beyond it.
+REMEMBERED = 1_000_000
 # Unicode white space, as the tokenizer's splitting rule understands it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The rule never joins what lies on both sides of these borders, so pieces may be encoded one by one and remembered.
-_PIECES = regex.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Latin letters up to U+024F.
+_LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+# The rule never joins what lies on both sides of these borders, so pieces may be encoded one by one and remembered: Latin
+# words before ASCII marks, digits or blanks, marks before Latin letters, digits or blanks, other runs up to white space, white space.
+_PIECES = re.compile(
+    rf" ?[{_LATIN}]+(?![^\x00-\x40\x5b-\x60\x7b-\x7f])| ?[!-&(-/:-@\[-`{{-~]+(?=[{_LATIN}0-9{_SPACE}]|\Z)"
+    rf"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+_WORD = re.compile(rf" ?[{_LATIN}]+\Z")
 _memory: dict[str, Encoder] = {}
 
 
+def _shown() -> dict[int, str]:
+    """Byte-level BPE shows printable bytes as themselves and the others, in order, as the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
+
+
 class Encoder(dict):
     """Piece of text -> its ids as little-endian bytes, by the tokenizers library; kept by a worker across tasks."""
 
@@ -65,6 +82,8 @@ class Encoder(dict):
         return ids
 
     def _encode(self, text: str) -> bytes:
+        if _WORD.match(text):  # one word of the splitting rule: straight to the merges
+            return np.array([token.id for token in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(_SHOWN))], self.kind).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -88,6 +107,8 @@ def id_kind(vocabulary: int) -> str:
 def encode_texts(docs: DataFrame, definition: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids): the token ids of each text and the end id, as bytes.  ``definition`` is the tokenizer's JSON.
 
+    Each task adds one row without ids, whose ``token`` and ``n`` count all ids of the task.
+
     Pieces between white space are encoded alone, which equals encoding the whole text for tokenizers that split at white space
     before merging (byte-level BPE) and have no normalizer; others are refused.
     """
@@ -102,28 +123,25 @@ def encode_texts(docs: DataFrame, definition: str, end_id: int = END_ID, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(sent.value)
         end = np.array([end_id], encoder.kind).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
             ids = [encoder.encode(text.as_py()) + end for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            total = _added(total, np.bincount(np.frombuffer(b"".join(ids), encoder.kind)))
+            nothing = pa.nulls(len(ids), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), nothing, nothing], names=names)
+        if len(total):
+            seen = np.flatnonzero(total)
+            counts = [pa.array([x], pa.list_(pa.int64())) for x in (seen, total[seen])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow_id), pa.nulls(1, pa.binary()), *counts], names=names)
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids binary")
+    names = ["id", "ids", "token", "n"]
+    arrow_id = source.select("id").limit(0).toArrow().schema.field("id").type
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids binary, token array<long>, n array<long>")
 
 
-def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """Rows (token, n) over all ids: every task counts, the counts are summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["token", "n"])
-
-    return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def _added(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    size = max(len(total), len(n))
+    return np.pad(total, (0, size - len(total))) + np.pad(n, (0, size - len(n)))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -228,7 +246,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     kind = id_kind(Tokenizer.from_str(definition).get_vocab_size())
     tokens = encode_texts(docs, definition, end_id, id_col, text_col)
     tokens = store(tokens.select("*", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row")), "token-ids", compression="zstd")
-    counted = id_counts(tokens, kind).orderBy("token").toPandas()
+    sums = tokens.where("ids is null").select(F.explode(F.arrays_zip("token", "n")).alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n"))
+    counted = sums.orderBy("token").toPandas()
     lengths = code_lengths(counted["n"].to_numpy(np.int64), limit)
     book = spark.createDataFrame(pa.table({"id": pa.array(counted["token"], pa.int64()), "length": pa.array(lengths, pa.int64())}))
     book.coalesce(1).write.parquet(f"{path}/codes")
@@ -262,7 +281,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             yield close()
 
     files = max(1, -(-int(counted["n"].sum()) // file_ids))
-    placed = tokens.repartitionByRange(files, "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "ids")
+    placed = tokens.where("ids is not null").repartitionByRange(files, "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "ids")
     schema = f"file int, block int, first long, ids array<{id_type}>, lengths array<long>, bits binary, payload binary"
     # payloads are packed already; small row groups keep the reader's tasks small
     placed.mapInArrow(blocks, schema).write.options(**{"compression": "uncompressed", "parquet.block.size": str(16 << 20)}).parquet(f"{path}/blocks")

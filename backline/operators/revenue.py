@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from backline.functions.rounding import cents_mean, clamp, half_even, half_up
 from backline.operators import demand, money, pricing, series as ts
-from backline.session import checkpoint_dir
+from backline.session import checkpoint_dir, cut_lineage
 
 # --- fixed values ---------------------------------------------------------------------------
 CATEGORICAL = ["season", "city", "country", "artist_tier"]
@@ -97,24 +100,43 @@ def train_revenue(frame: DataFrame, trees: int = SETTINGS[0], depth: int = SETTI
     return build_stages(trees, depth, leaf).fit(frame)
 
 
-def evaluate(preds: DataFrame, label: str = "actual_revenue", pred: str = "prediction") -> DataFrame:
-    """One row: mean absolute error, R2, MAPE and the deviation of the label, in one pass."""
+def _rated(rows: DataFrame | GroupedData, label: str, pred: str) -> DataFrame:
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
-    a = preds.agg(
+    a = rows.agg(
         F.count(F.lit(1)).alias("rows"), F.avg(F.abs(y - p)).alias("mae"), F.avg(F.abs(y - p) / F.greatest(F.abs(y), F.lit(2.220446049250313e-16))).alias("ape"),
         F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("var"),
     )
-    return a.select("rows", "mae", (F.lit(1.0) - F.col("sse") / F.when(F.col("var") > 0, F.col("var") * F.col("rows"))).alias("r2"), (F.col("ape") * 100.0).alias("mape"), F.sqrt("var").alias("label_std"))
+    r2 = F.lit(1.0) - F.col("sse") / F.when(F.col("var") > 0, F.col("var") * F.col("rows"))
+    return a.withColumns({"r2": r2, "mape": F.col("ape") * 100.0, "label_std": F.sqrt("var")})
 
 
-def cross_validate(frame: DataFrame, folds: int = 5, trees: int = SETTINGS[0]) -> list[float]:
-    """R2 of each hash-defined fold."""
-    slot = F.pmod(F.xxhash64(F.col("concert_id"), F.lit(7)), F.lit(folds))
-    out = []
+def evaluate(preds: DataFrame, label: str = "actual_revenue", pred: str = "prediction") -> DataFrame:
+    """One row: mean absolute error, R2, MAPE and the deviation of the label, in one pass."""
+    return _rated(preds, label, pred).select("rows", "mae", "r2", "mape", "label_std")
+
+
+def out_of_fold(frame: DataFrame, folds: int = 5, trees: int = SETTINGS[0], depth: int = SETTINGS[1], leaf: int = SETTINGS[2]) -> DataFrame:
+    """The frame with ``fold`` (a hash of the concert) and the prediction of the model that did not see the fold."""
+    rows = cut_lineage(frame.withColumn("fold", F.pmod(F.xxhash64(F.col("concert_id"), F.lit(7)), F.lit(folds)).cast("int")))
+    parts = []
     for k in range(folds):
-        model = train_revenue(frame.where(slot != k), trees=trees)
-        out.append(evaluate(model.transform(frame.where(slot == k))).first()["r2"])
-    return out
+        rest, own = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        if rest.isEmpty() or own.isEmpty():
+            parts.append(own.withColumn("prediction", F.lit(None).cast("double")))
+        else:
+            parts.append(train_revenue(rest, trees, depth, leaf).transform(own).select(*rows.columns, "prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_validate(frame: DataFrame, folds: int = 5, trees: int = SETTINGS[0], depth: int = SETTINGS[1], leaf: int = SETTINGS[2]) -> DataFrame:
+    """Evaluation of the out-of-fold predictions, one row per fold and one over all rows (fold null), in one aggregation."""
+    return evaluate_folds(out_of_fold(frame, folds, trees, depth, leaf))
+
+
+def evaluate_folds(preds: DataFrame, label: str = "actual_revenue", pred: str = "prediction") -> DataFrame:
+    """``evaluate`` per fold and over all rows; rows without a prediction count in neither."""
+    known = preds.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
+    return _rated(known.rollup("fold"), label, pred).select("fold", "rows", "mae", "r2", "mape", "label_std")
 
 
 def importances(model: PipelineModel, top: int = 10) -> list[tuple[str, float]]:
@@ -162,11 +184,21 @@ def leaf_values(model: PipelineModel, spark) -> list[list[float]]:
     return out
 
 
-def _percentile(sorted_values: Column, q: float) -> Column:
-    pos = (F.size(sorted_values) - 1) * q
-    i, frac = F.floor(pos).cast("int"), pos - F.floor(pos)
-    a, b = F.get(sorted_values, i), F.get(sorted_values, F.least(i + 1, F.size(sorted_values) - 1))
-    return a + (b - a) * frac
+def _staged_bounds(values: list[list[float]]):
+    """Vectorised: the prediction after each stage from the leaf of every tree, its 10th and 90th percentile and its last value."""
+    width = max(map(len, values))
+    table = np.array([[*v, *[0.0] * (width - len(v))] for v in values])
+
+    @F.pandas_udf("low double, high double, last double")
+    def bounds(leaves: pd.Series) -> pd.DataFrame:
+        taken = np.array(leaves.tolist(), np.int64)
+        if not len(taken):
+            return pd.DataFrame({"low": [], "high": [], "last": []}, dtype=float)
+        stages = np.cumsum(table[np.arange(len(table)), taken], axis=1)
+        low, high = np.percentile(stages, [10, 90], axis=1)
+        return pd.DataFrame({"low": low, "high": high, "last": stages[:, -1]})
+
+    return bounds
 
 
 def score_concerts(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -175,17 +207,12 @@ def score_concerts(model: PipelineModel, frame: DataFrame) -> DataFrame:
     Each tree's leaf gives the prediction after that stage; the 10th and 90th percentile of those
     are the bounds, widened when they do not enclose the blend.
     """
-    spark = frame.sparkSession
-    values = leaf_values(model, spark)
-    table = spark.createDataFrame([(1, values)], "one int, leaves array<array<double>>")
     staged = model.copy()
     staged.stages[-1].setLeafCol("leaf")
-    df = staged.transform(frame).withColumn("one", F.lit(1)).join(F.broadcast(table), "one").drop("one")
-    step = F.zip_with(vector_to_array("leaf"), "leaves", lambda i, vs: F.get(vs, i.cast("int")))
-    sums = F.aggregate(step, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)))
-    df = df.withColumn("stages", sums).withColumn("sorted", F.array_sort("stages")).withColumn("rule", heuristic(df))
+    bounds = _staged_bounds(leaf_values(model, frame.sparkSession))
+    df = staged.transform(frame).withColumn("b", bounds(vector_to_array("leaf"))).withColumn("rule", heuristic(frame))
     mix = lambda c: c * 0.55 + F.col("rule") * 0.45
-    df = df.withColumns({"mid": mix(F.col("prediction")), "low": mix(_percentile(F.col("sorted"), 0.1)), "high": mix(_percentile(F.col("sorted"), 0.9)), "last_stage": F.element_at("stages", -1)})
+    df = df.withColumns({"mid": mix(F.col("prediction")), "low": mix(F.col("b.low")), "high": mix(F.col("b.high")), "last_stage": F.col("b.last")})
     off = (F.col("low") > F.col("mid")) | (F.col("high") < F.col("mid")) | (F.col("low") == F.col("high"))
     spread = F.greatest(F.abs(F.col("mid") - F.col("low")), F.abs(F.col("high") - F.col("mid")), F.col("mid") * 0.2, F.lit(1.0))
     df = df.withColumn("spread", F.when(off, spread))

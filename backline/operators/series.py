@@ -95,16 +95,31 @@ def _ema(prev: Column, x: Column, alpha: float) -> Column:
     return F.lit(alpha) * x + F.lit(1 - alpha) * prev
 
 
-def smooth(series: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Exponential smoothing: the first value as is, then ``alpha*x + (1-alpha)*s``."""
-    pts = F.col("pts")
-    zero = F.transform(F.slice(pts, 1, 1), lambda p: F.struct(p.date.alias("date"), p.x.alias("x"), p.x.alias("s")))
-    step = lambda acc, p: F.concat(
-        acc, F.array(F.struct(p.date.alias("date"), p.x.alias("x"), _ema(F.element_at(acc, -1).s, p.x, alpha).alias("s")))
+def smooth(series: DataFrame, alpha: float = 0.3, days: int = 128) -> DataFrame:
+    """Exponential smoothing: the first value as is, then ``alpha*x + (1-alpha)*s``.
+
+    A blocked scan: a step is an affine map of the level before, so a block of ``days`` calendar days is one as well.
+    Every block is scanned from level 0, its map (factor and last level) becomes one row, the maps of a series are chained, and
+    each block adds the decayed level it starts with.  Blocks are independent, so a long series spreads over tasks.
+    """
+    keep = 1.0 - alpha
+    block = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / days)
+    within = W.partitionBy(*SERIES, "block").orderBy("date")
+    nth = F.row_number().over(within).cast("double")
+    # a block has at most `days` rows, so the powers stay far from the limits of a double
+    rows = series.select(*SERIES, "date", "x", block.alias("block")).withColumn("nth", nth)
+    scanned = rows.withColumn("own", F.sum(alpha * F.col("x") * F.pow(F.lit(keep), -F.col("nth"))).over(within) * F.pow(F.lit(keep), "nth"))
+    blocks = scanned.groupBy(*SERIES, "block").agg(F.max_by("own", "date").alias("last"), F.count("*").alias("n"), F.min_by("x", "date").alias("x0"))
+    maps = blocks.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("block", "last", "n", "x0"))).alias("maps"))
+    # the level before the first value is that value, which leaves it as it is
+    zero = F.struct(F.col("maps")[0].x0.alias("level"), F.array().cast("array<struct<block:bigint,start:double>>").alias("out"))
+    step = lambda acc, m: F.struct(
+        (m.last + acc.level * F.pow(F.lit(keep), m.n.cast("double"))).alias("level"),
+        F.array_append(acc.out, F.struct(m.block.alias("block"), acc.level.alias("start"))).alias("out"),
     )
-    rest = F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0)))
-    folded = series_arrays(series).select(*SERIES, F.aggregate(rest, zero, step).alias("out"))
-    return folded.select(*SERIES, F.explode("out").alias("p")).select(*SERIES, "p.*")
+    starts = maps.select(*SERIES, F.explode(F.aggregate("maps", zero, step)["out"]).alias("b")).select(*SERIES, "b.block", "b.start")
+    level = F.col("own") + F.col("start") * F.pow(F.lit(keep), "nth")
+    return scanned.join(starts, [*SERIES, "block"]).select(*SERIES, "date", "x", level.alias("s"))
 
 
 def _fold(pts: Column, alpha: float) -> Column:
@@ -181,27 +196,60 @@ def forecast_holt(series: DataFrame, horizons=(30, 90, 180), alpha: float = 0.3)
     return series.groupBy(*SERIES).applyInPandas(fit, f"artist_id {key}, platform string, {cols}")
 
 
-def change_points(x: np.ndarray, penalty: float, min_size: int = 2, jump: int = 5) -> list[int]:
-    """Exact penalised segmentation with pruning under a Gaussian-kernel cost."""
+def median_square_gap(x: np.ndarray) -> float:
+    """Median of the squared differences of all pairs, in memory linear in the values.
+
+    The k-th smallest difference is found by bisection over the floats: counting the pairs below a bound takes one
+    search per value.
+    """
+    x = np.sort(x)
     n = len(x)
-    d = np.square(x[:, None] - x[None, :])
-    med = float(np.median(d[np.triu_indices(n, 1)]))
-    k = np.exp(-np.clip(d * (1.0 / med if med else 1.0), 1e-2, 1e2))
-    np.fill_diagonal(k, 1.0)
-    area = np.zeros((n + 1, n + 1))
-    area[1:, 1:] = k.cumsum(0).cumsum(1)
+    pairs = n * (n - 1) // 2
+    after = np.arange(1, n + 1)
+
+    def kth(k: int) -> float:
+        low, high = 0, int(np.array(x[-1] - x[0]).view(np.int64))  # non-negative floats are ordered like their bits
+        while low < high:
+            mid = (low + high) // 2
+            bound = np.array(mid, np.int64).view(np.float64)
+            if int((np.searchsorted(x, x + bound, "right") - after).sum()) > k:
+                high = mid
+            else:
+                low = mid + 1
+        return float(np.array(low, np.int64).view(np.float64)) ** 2
 
-    def cost(i: int, j: int) -> float:
-        return (j - i) - (area[j, j] - area[i, j] - area[j, i] + area[i, i]) / (j - i)
+    return (kth((pairs - 1) // 2) + kth(pairs // 2)) / 2
 
-    best, back, live = {0: 0.0}, {}, [0]
+
+def change_points(x: np.ndarray, penalty: float, min_size: int = 2, jump: int = 5) -> list[int]:
+    """Exact penalised segmentation with pruning under a Gaussian-kernel cost.
+
+    For every start that is still in play the sum of the kernel over its segment grows with the end, so the memory is
+    linear in the values; a start is dropped for good once it cannot win any more.
+    """
+    n = len(x)
+    med = median_square_gap(x)
+    scale = 1.0 / med if med else 1.0
+    starts, total = np.zeros(1, np.int64), np.zeros(1)  # the starts in play and the kernel sums from each to the end so far
+    best, back, reached = {0: 0.0}, {}, 0
     for end in [e for e in range(0, n, jump) if e >= min_size] + [n]:
-        trials = {t: best[t] + cost(t, end) + penalty for t in live if end - t >= min_size}
-        if not trials:
+        for p in range(reached, end):
+            seen = x[starts[0] : p] - x[p]
+            k = np.exp(-np.clip(seen * seen * scale, 1e-2, 1e2))
+            tail = np.append(np.cumsum(k[::-1])[::-1], 0.0)  # kernel with all values from each place to p
+            inside = starts <= p
+            total[inside] += 2 * tail[starts[inside] - starts[0]] + 1.0
+        reached = end
+        ready = end - starts >= min_size
+        length = (end - starts).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            trial = np.where(ready, np.array([best[t] for t in starts.tolist()]) + length - total / length + penalty, np.inf)
+        if not ready.any():
             continue
-        start = min(trials, key=trials.get)
-        best[end], back[end] = trials[start], start
-        live = [t for t in live if t not in trials or trials[t] <= best[end] + penalty] + [end]
+        win = int(np.argmin(trial))
+        best[end], back[end] = float(trial[win]), int(starts[win])
+        live = ~ready | (trial <= best[end] + penalty)
+        starts, total = np.append(starts[live], end), np.append(total[live], 0.0)
     cuts, at = [], n
     while back.get(at, 0) > 0:
         at = back[at]

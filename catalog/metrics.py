@@ -94,10 +94,11 @@ _EMA = """num as (select *, row_number() over (partition by artist_id, platform
     from ema e join num n on n.artist_id = e.artist_id and n.platform = e.platform and n.rn = e.rn + 1)"""
 
 
-@query("smooth_series", f"with recursive {_ser('dv_metrics_long')}, {_EMA} select artist_id, platform, date::varchar as date, x, {up('s', 4)} as s from ema")
+@query("smooth_series", f"with recursive {_ser('dv_metrics_long')}, {_EMA} select artist_id, platform, date::varchar as date, x, s::float::double as s from ema")
 def _(v):
     out = series.smooth(series.primary_metric(v.metrics_long))
-    return out.withColumn("s", F.floor(F.col("s") * 10000.0 + 0.5) / 10000.0)
+    # decimal rounding would meet exact halves; single precision does not
+    return out.withColumn("s", F.col("s").cast("float").cast("double"))
 
 
 _LASTS = "lasts as (select artist_id, platform, max(rn) n, arg_max(u, rn) u, arg_max(u, rn) filter (where rn <= m - 2) u2 from (select *, max(rn) over (partition by artist_id, platform) m from ema) group by 1, 2)"

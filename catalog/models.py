@@ -64,6 +64,30 @@ def _(v):
     return e.select("rows", F.round("mae", 2).alias("mae"), F.round("r2", 6).alias("r2"), F.round("mape", 3).alias("mape"), F.round("label_std", 2).alias("label_std"))
 
 
+# Stored predictions in folds by a number of the concert: one aggregation rates every fold and all rows.
+@query("fold_evaluation", """with p as (select (concert_id % 5)::int as fold, expected_revenue::double p, total_revenue::double y from dv_predictions join (select concert_id, total_revenue from dv_concerts) using (concert_id) where total_revenue > 0)
+  select fold, count(*) as rows, round(avg(abs(y - p)), 2) as mae, round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0), 6) as r2, round(stddev_pop(y), 2) as label_std from p group by rollup (fold)""")
+def _(v):
+    p = v.predictions.join(v.concerts.where("total_revenue > 0").select("concert_id", "total_revenue"), "concert_id").withColumn("fold", (F.col("concert_id") % 5).cast("int"))
+    e = revenue.evaluate_folds(p, "total_revenue", "expected_revenue")
+    return e.select("fold", "rows", F.round("mae", 2).alias("mae"), F.round("r2", 6).alias("r2"), F.round("label_std", 2).alias("label_std"))
+
+
+# Five folds of the revenue model, with fewer trees than the stored model.
+@query("cross_validate")
+def _(v):
+    return revenue.cross_validate(_frame(v), trees=20)
+
+
+# Training pairs of predictions whose concert has a revenue.
+@query("training_rows", f"""select concert_id, total_revenue as actual_revenue, expected_revenue as predicted_revenue, case when total_revenue > 0 then {up(clamp_sql('(1 - abs(total_revenue - expected_revenue) / total_revenue) * 100', 0, 100), 2)} else 0 end as accuracy, 'm1' as model_version
+  from dv_predictions join (select concert_id, total_revenue from dv_concerts) using (concert_id) where total_revenue <> 0""")
+def _(v):
+    numbered = v.predictions.withColumn("event_id", F.concat_ws("|", "prediction_id", "concert_id", "model_version"))
+    links = numbered.select("event_id", "concert_id")
+    return event_flow.training_rows(numbered, v.concerts, links.dropDuplicates(["event_id"]), "m1")
+
+
 @query("score_concerts")
 def _(v):
     frame = cut_lineage(_frame(v))

@@ -37,6 +37,16 @@ def _(v):
     return bad.select("demo_id", F.array_join("failed", ", ").alias("failed"))
 
 
+@query("constraint_rejects_places", """with c as (select concert_id, concert_id % 400 - 200 as latitude, case when concert_id % 5 <> 0 then concert_id % 800 - 400 end as longitude from dv_concerts)
+  select concert_id, concat_ws(', ', case when latitude not between -90 and 90 then 'latitude range' end, case when longitude not between -180 and 180 then 'longitude range' end) as failed
+  from c where latitude not between -90 and 90 or longitude not between -180 and 180""")
+def _(v):
+    k = F.col("concert_id")
+    placed = v.concerts.select(k, (k % 400 - 200).alias("latitude"), F.when(k % 5 != 0, k % 800 - 400).alias("longitude"))
+    _, bad = checks.check_constraints(placed, checks.place_rules())
+    return bad.select("concert_id", F.array_join("failed", ", ").alias("failed"))
+
+
 _HOSTS = "case when regexp_matches(source_url, '^https?://') then lower(regexp_extract(source_url, '^https?://([^/]+)', 1)) end"
 _OKHOST = "(" + " or ".join(f"{_HOSTS} = '{d}' or {_HOSTS} like '%.{d}'" for d in checks.TRUSTED_DOMAINS) + ")"
 _VAL = f"""{_NORM}, refs as (select canonical_key, count(*) n, min(event_id) head from nev group by 1),

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from backline.operators import capacity, popularity, reports
-from backline.schemas import KEYS
+from backline.schemas import KEYS, TABLES
 from backline.session import checkpoint_dir
+from backline.sources.imports import read_table
 from backline.sources.merging import latest_by_key
 from backline.sources.snapshots import StoredTable
 from backline.sources.tables import keep_newest, saved_popularity
@@ -96,3 +97,13 @@ def _(v):
     for part in (rows.where(late), rows.where(~late), rows):
         table.upsert(latest_by_key(part, key, order), keep_newest(*order))
     return table.read().select("concert_id", "model_version", "created_at", "prediction_id", "expected_revenue")
+
+
+# The concert table written with its declared types and read back typed: filter and columns reach the files.
+@query("table_scan_typed", """select concert_id::varchar as concert_id, city, capacity::int as capacity, total_revenue::decimal(14,2)::double as total_revenue from dv_concerts where capacity > 1000""")
+def _(v):
+    path = f"{checkpoint_dir(v.spark)}/concerts-{uuid.uuid4().hex}"
+    rows = v.concerts
+    typed = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["concerts"].fields]
+    rows.select(*typed).write.parquet(path)
+    return read_table(v.spark, "concerts", path).where("capacity > 1000").select("concert_id", "city", "capacity", "total_revenue")

@@ -1,21 +1,21 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text itself.  Each layer is scanned for secrets, then unwrapped in every way that applies:
-percent escapes, Unicode escapes, base64 words, and gzip, zlib, bzip2 or zstandard data inside base64.  What comes out
+percent escapes, Unicode escapes, base64 that begins anywhere in a run of its letters, and gzip, zlib, bzip2 or zstandard data
+inside base64.  What comes out
 is a new layer, until no layer is new (a layer seen before at the same place ends there, so data that unpacks to
 itself cannot loop).  Every character of a layer knows the characters of the text it came from, so a secret found
 five layers down is reported as a span of the text.
 
 Defined cases: null and empty texts have no spans; whole texts are read; repeated rows are scanned row by row;
-bytes that are not printable UTF-8 make no layer; base64 broken over lines is joined; all members of compressed data are
-read; a packed layer that unfolds to more than ``MAX_LAYER`` bytes is scanned to its end in overlapping windows and counted
+bytes that are not printable UTF-8 end a layer, and what stands between them is one of at least six characters; base64 broken
+over lines of any equal width from four is joined; all members of compressed data are read; a packed layer that unfolds to more than ``MAX_LAYER`` bytes is scanned to its end in overlapping windows and counted
 in ``n_oversize`` (a secret or word inside it longer than an eighth of a window may be seen in part); empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -40,7 +40,11 @@ _ESCAPE = re.compile(
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-_BROKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}")
+_BROKEN = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{4,})*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}")
+_SHORTEST = 16
+_RUN = re.compile("x{6,}")
+# Where compressed data may begin among decoded bytes.
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]", re.S)
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
 
 
@@ -189,12 +193,20 @@ def _windows(data: bytes) -> Iterator[bytes]:
     yield bytes(held)
 
 
-def _printable(data: bytes, cut: bool) -> str | None:
-    try:
-        text = data.decode(errors="ignore" if cut else "strict")
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 6 and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+def _stretches(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(text, first byte, byte after) by character of each printable part of at least six characters."""
+    text = data.decode(errors="surrogateescape")
+    shown = text.translate({9: 32, 10: 32, 13: 32})
+    if shown.isprintable():
+        cuts = [(0, len(text))] if len(text) >= 6 else []
+    else:
+        cuts = [m.span() for m in _RUN.finditer("".join(["x" if c.isprintable() else "-" for c in shown]))]
+    if not cuts:
+        return
+    widths = np.ones(len(text), np.int64) if len(text) == len(data) else np.array([1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text])
+    ends = np.cumsum(widths)
+    for a, b in cuts:
+        yield text[a:b], ends[a:b] - widths[a:b], ends[a:b]
 
 
 def _words(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -218,39 +230,47 @@ def _words(text: str) -> Iterator[list[tuple[int, int]]]:
                 yield lines[k : j + 2]
 
 
+def _unpacked(packed: bytes) -> tuple[Iterable[bytes], int, bool]:
+    """(content below all compression in one or more windows, number of compressions, is it oversize)."""
+    data, cut, seen, depth = packed, False, set(), 0
+    while not cut and (more := _unpack(data)) and more[0] not in seen:
+        seen.add(data)
+        packed = data
+        data, cut = more
+        depth += 1
+    return (_windows(packed) if cut else (data,)), depth, cut
+
+
 def _base64_layers(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
-    """A layer for each base64 word, through all compression inside it; True for the first window of an oversize one."""
+    """The printable layers of all base64 runs, through all compression inside; True for the first window of an oversize one.
+
+    Base64 may begin anywhere in a run of its letters (behind a path, a dash, a name), so every run is decoded at its four
+    alignments; what was before the beginning comes out as a few other bytes.
+    """
     for lines in _words(layer.text):
-        word = "".join(layer.text[a:b] for a, b in lines)
-        core = word.rstrip("=").encode().translate(_URL_SAFE)
-        if len(core) % 4 == 1:
+        word = "".join(layer.text[a:b] for a, b in lines).rstrip("=")
+        if len(word) < _SHORTEST:
             continue
-        try:
-            packed = data = base64.b64decode(core + b"=" * (-len(core) % 4))
-        except binascii.Error:
-            continue
-        name, cut, seen, plain = "base64", False, set(), True
-        while not cut and (more := _unpack(data)) and more[0] not in seen:
-            seen.add(data)
-            packed = data
-            data, cut = more
-            name, plain = name + ">packed", False
-        low, high = layer.span(lines[0][0], lines[-1][1])
-        counted = False
-        for window in _windows(packed) if cut else (data,):
-            text = _printable(window, cut)
-            if text is None:
-                continue
-            if plain:
-                place = np.concatenate([np.arange(a, b) for a, b in lines])
-                widths = np.array([len(c.encode()) for c in text])
-                ends = np.cumsum(widths)
-                first = layer.first[place[(ends - widths) * 4 // 3]]
-                after = layer.after[place[np.minimum((ends * 8 + 5) // 6, len(word)) - 1]]
-            else:
-                first, after = (np.broadcast_to(np.int64(x), (len(text),)) for x in (low, high))
-            yield _Layer(text, first, after, f"{layer.path}>{name}".lstrip(">")), cut and not counted
-            counted = True
+        core = word.encode().translate(_URL_SAFE)
+        place = np.concatenate([np.arange(a, b) for a, b in lines])[: len(word)]
+        for shift in range(4):
+            whole = core[shift : len(core) - ((len(core) - shift) % 4 == 1)]  # a single last letter holds no byte
+            data = base64.b64decode(whole + b"=" * (-len(whole) % 4))
+            at = place[shift:]
+            for text, first, after in _stretches(data):
+                low, high = layer.first[at[first * 4 // 3]], layer.after[at[np.minimum((after * 8 + 5) // 6, len(at)) - 1]]
+                yield _Layer(text, low, high, f"{layer.path}>base64".lstrip(">")), False
+            for m in _PACKED.finditer(data):
+                windows, depth, cut = _unpacked(data[m.start() :])
+                if not depth:
+                    continue
+                low, high = int(layer.first[at[m.start() * 4 // 3]]), int(layer.after[at[-1]])
+                counted = False
+                for window in windows:
+                    for text, *_ in _stretches(window):
+                        first, after = (np.broadcast_to(np.int64(x), (len(text),)) for x in (low, high))
+                        yield _Layer(text, first, after, f"{layer.path}>base64{'>packed' * depth}".lstrip(">")), cut and not counted
+                        counted = True
 
 
 def _children(layer: _Layer) -> Iterator[tuple[_Layer, bool]]:
@@ -266,7 +286,7 @@ def unwrap_scan(text: str) -> dict:
     every, paths = set(base), {}
     layers, oversize = 0, 0
     seen = {(hashlib.blake2b(text.encode(), digest_size=16).digest(), 0)}
-    if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
+    if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _BROKEN.search(text)):
         return {"base": base, "all": base, "paths": paths, "layers": 0, "oversize": 0}
     place = np.arange(len(text))
     # one layer, or one window of it, is held per depth

@@ -1,6 +1,7 @@
 import base64
 import bz2
 import gzip
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -126,3 +127,66 @@ def test_oversize_layers_are_read_to_the_end(monkeypatch):
     for data in (("é x " * 5000 + SECRET + " y" * 700).encode(), gzip.compress(("x " * 5000 + SECRET).encode())):
         got = U.unwrap_scan(b64(gzip.compress(data)))
         assert any(kind == 0 for _, kind, _ in got["all"]) and got["oversize"] == 1
+
+
+ACCESS = "AKIA" + "Q7Z2" * 5
+
+
+@pytest.mark.parametrize("before", ["see https://host.example/files/", "id-", "blob_", "key/", "a/b-c_d/", "x", "xy", "xyz", "name="])
+@pytest.mark.parametrize("after", ["", "==", "/more", ".", "-x"])
+def test_base64_behind_other_letters(before, after):
+    for secret in (ACCESS, "password=hunter22"):
+        code = b64(f"the {secret} here").rstrip("=")
+        found = U.unwrap_scan(f"{before}{code}{after}")["all"]
+        first, last = len("the ") * 4 // 3, -(-len(f"the {secret}") * 8 // 6)
+        assert (len(before) + first, 1 if secret is ACCESS else 0, len(before) + last) in found
+
+
+@pytest.mark.parametrize("width", [4, 5, 12, 16, 64])
+def test_base64_over_lines_of_any_width(width):
+    code = lines(b64(FILLER[:100] + " " + ACCESS + " " + FILLER[:40]), width)
+    found = [s for s in U.unwrap_scan("start\n" + code + "\n\nend")["all"] if s[1] == 1]
+    assert found and all(6 <= a < b <= 6 + len(code) for a, _, b in found)
+
+
+def test_bytes_that_are_not_text_end_a_layer_only():
+    for junk in (b"\x00", b"\xff", b"\x07\x80\x81", "\u200b".encode()):
+        code = b64(b"head " + junk + b" token=abcdefgh1 " + junk + b" " + ACCESS.encode() + junk)
+        assert {k for _, k, _ in U.unwrap_scan(code)["all"]} == {0, 1}, junk
+    packed = b64(gzip.compress(b"\x00\x01" + ACCESS.encode() + b"\xfe"))
+    assert {k for _, k, _ in U.unwrap_scan(packed)["all"]} == {1}
+
+
+def wrapped(rnd, text):
+    """(encoded text, name) by one random encoding."""
+    kind = rnd.randrange(8)
+    code = base64.b64encode(text.encode()).decode()
+    if kind == 0:
+        return code, "base64"
+    if kind == 1:
+        return rnd.choice(["", "a/", "dir-", "k_", "p/q/"]) + code.replace("+", "-").replace("/", "_").rstrip("="), "url-safe"
+    if kind == 2:
+        return lines(code, rnd.randrange(4, 80)), "lines"
+    if kind == 3:
+        pack = rnd.choice([gzip.compress, bz2.compress, zlib.compress, zstandard.compress])
+        return base64.b64encode(pack(text.encode())).decode(), "packed"
+    if kind == 4:
+        return "".join(f"%{b:02X}" for b in text.encode()), "percent"
+    if kind == 5:
+        return "".join(f"\\u{ord(c):04x}" for c in text), "unicode"
+    if kind == 6:
+        return base64.b64encode(bytes([rnd.randrange(128, 192)]) + text.encode() + b"\x00").decode(), "dirty"
+    return rnd.choice(["https://h.example/", "id-", "f="]) + code.rstrip("="), "path"
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_generated_nestings(seed):
+    rnd = random.Random(seed)
+    text, names = f"{FILLER[:rnd.randrange(30)]} {ACCESS} {FILLER[:rnd.randrange(30)]}", []
+    for _ in range(rnd.randrange(1, 5)):
+        text, name = wrapped(rnd, text)
+        names.append(name)
+    before = rnd.choice(["", "some words ", "line\n"])
+    found = [s for s in U.unwrap_scan(f"{before}{text} end")["all"] if s[1] == 1]
+    assert found, names
+    assert all(len(before) <= a < b <= len(before) + len(text) for a, _, b in found), names

@@ -10,8 +10,12 @@ rows cross the network once, by range.
 The default key puts equal texts side by side: the high bits hash the text, the low bits the id.  A group of
 copies is therefore cut only if it is heavier than the tolerance allows.
 
-Defined cases: a null text has 0 bytes, null keys sort first, wholly identical rows lie side by side and stay in
-one shard if their key cannot be divided, an empty table gives an empty table, extra columns are kept.
+Rows that share a key heavier than the tolerance are divided below it: their distinct rows are counted, and the copies of each are
+numbered by arithmetic, so that a million repeats of a row are one row and a count until they are dealt out evenly
+over the shards the key covers; no task, list or window holds them together.
+
+Defined cases: a null text has 0 bytes, null keys sort first, identical rows are exchangeable and dealt out like others, an
+empty table gives an empty table, extra columns are kept (in heavy keys they must be of types that can be grouped).
 Only DataFrame functions are used; the driver sees at most a few counts per range (bounded by ``max_ranges``).
 """
 
@@ -24,11 +28,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from backline.session import cut_lineage
 
 ROW_BYTES = 8
-_TEXT_BITS, _ID_BITS = 31, 20
+_TEXT_BITS, _ID_BITS = 28, 18
+# Bits that divide a heavy key, and copies of one row that a task deals out at a time.
+_COPY_BITS, _COPY_BLOCK = 16, 1 << 16
 
 
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Key of 51 bits: 31 from the text's hash, 20 from the id's."""
+    """Key of 46 bits: 28 from the text's hash, 18 from the id's."""
     return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text_col), 64 - _TEXT_BITS), _ID_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(id_col), 64 - _ID_BITS))
 
 
@@ -48,7 +54,8 @@ def _counts(rows: DataFrame, shift: int, inside: list[tuple[int, int]] | None) -
 def find_ranges(rows: DataFrame, shards: int, tolerance: float, range_bytes: int, max_ranges: int = 1 << 16) -> dict | None:
     """Splitters and final ranges of the stored (key, size) table; None if it is empty.
 
-    Returns {'origin', 'levels': [{'shift', 'open': [...]}], 'ranges': [(level, number, shard, base)], 'bytes': per shard}.
+    Returns {'origin', 'levels': [{'shift', 'open': [...]}], 'ranges': [(level, number, shard, base)], 'bytes': per shard,
+    'heavy': the single keys, of several rows, that are heavier than the tolerance or than a range may be}.
     """
     low, high, total = rows.agg(F.min("key"), F.max("key"), F.sum("size")).first()
     if low is None:
@@ -95,13 +102,33 @@ def find_ranges(rows: DataFrame, shards: int, tolerance: float, range_bytes: int
     for j in range(1, shards):
         splitters.setdefault(j, (high - low) + 1)
     edges = sorted(splitters.values())
-    ranges, rows_in, bytes_in = [], [0] * shards, [0] * shards
+    ranges, rows_in, bytes_in, single = [], [0] * shards, [0] * shards, []
     for level, b, s, n, size in sorted(leaves, key=lambda x: x[1] << x[2]):
         shard = sum(e <= b << s for e in edges)
         ranges.append((level, b, shard, rows_in[shard]))
         rows_in[shard] += n
         bytes_in[shard] += size
-    return {"origin": low, "levels": levels, "ranges": ranges, "bytes": bytes_in}
+        if s == 0 and n > 1 and size > min(slack, heavy):
+            single.append(low + b)
+    return {"origin": low, "levels": levels, "ranges": ranges, "bytes": bytes_in, "heavy": single}
+
+
+def _divided(docs: DataFrame, key: Column, found: dict) -> DataFrame:
+    """``docs`` with __key, ``key`` with more low bits: 0, but for the rows of heavy keys, which are dealt evenly over them.
+
+    A heavy key weighs more than a shard's tolerance, so there are at most shards / tolerance of them.
+    """
+    heavy = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in found["heavy"]], "key long"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    light = keyed.join(heavy, "key", "left_anti").select("row", F.shiftleft("key", _COPY_BITS).alias("key"))
+    rows = cut_lineage(keyed.join(heavy, "key", "left_semi").groupBy("key", "row").agg(F.count(F.lit(1)).alias("n")))
+    # copies in blocks, the blocks over tasks
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(_COPY_BLOCK).cast("long"))))
+    copies = blocks.repartition(F.xxhash64("row", "block")).withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + _COPY_BLOCK, "n") - 1)))
+    # evenly, from a place that the row's hash decides
+    low = F.pmod(F.xxhash64("row") + F.floor(F.col("copy") * F.lit(1 << _COPY_BITS) / F.col("n")), F.lit(1 << _COPY_BITS))
+    dealt = copies.select("row", F.shiftleft("key", _COPY_BITS).bitwiseOR(low).alias("key"))
+    return light.unionByName(dealt).select("row.*", F.col("key").alias("__key"))
 
 
 def histogram_shards(
@@ -120,6 +147,10 @@ def histogram_shards(
     found = find_ranges(slim, shards, tolerance, range_bytes)
     if found is None:
         return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).limit(0)
+    keyed = docs.withColumn("__key", key)
+    if found["heavy"]:
+        keyed = _divided(docs, key - F.lit(found["origin"]), found | {"heavy": [k - found["origin"] for k in found["heavy"]]})
+        found = find_ranges(cut_lineage(keyed.select(F.col("__key").alias("key"), size.alias("size"))), shards, tolerance, range_bytes)
     offset = F.col("__key") - F.lit(found["origin"])
     level, number = None, None
     for k, at in reversed(list(enumerate(found["levels"]))):
@@ -132,6 +163,6 @@ def histogram_shards(
             level, number = F.when(deeper, level).otherwise(here[0]), F.when(deeper, number).otherwise(here[1])
     text = json.dumps([{"__level": a, "__number": b, "shard": s, "__base": n} for a, b, s, n in found["ranges"]])
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<__level:int,__number:bigint,shard:int,__base:bigint>>")))
-    placed = docs.withColumn("__key", key).withColumns({"__level": level, "__number": number}).join(F.broadcast(table), ["__level", "__number"])
+    placed = keyed.withColumns({"__level": level, "__number": number}).join(F.broadcast(table), ["__level", "__number"])
     within = Window.partitionBy("__level", "__number", "shard", "__base").orderBy("__key", *[F.xxhash64(c) if c == "text" else F.col(c) for c in ties])
     return placed.withColumn("slot", F.col("__base") + F.row_number().over(within) - 1).select(*docs.columns, "shard", "slot")

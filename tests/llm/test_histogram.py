@@ -52,3 +52,34 @@ def test_odd_rows_and_empty_table(spark):
     assert empty.count() == 0 and empty.columns[-2:] == ["shard", "slot"]
     same = H.histogram_shards(docs(spark, [(1, "a")] * 50), shards=4, key=F.lit(None).cast("long")).collect()
     assert len(same) == 50
+
+
+def test_identical_rows_are_divided(spark):
+    rows = [(k, "x" * (k % 200)) for k in range(2000)] + [(7, "the same row " * 8)] * 2000
+    total = sum(len(t) + 8 for _, t in rows)
+    got = H.histogram_shards(docs(spark, rows, extra=("__n", "__copy")), shards=24).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    check(got, 24, 2 * 0.001 * total / 24 + 2 * 210)
+
+
+def test_one_row_many_times(spark):
+    got = H.histogram_shards(docs(spark, [(None, None)] * 3000), shards=24)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) <= 2
+    same = H.histogram_shards(docs(spark, [(k, "a") for k in range(960)]), shards=24, key=F.lit(5).cast("long")).collect()
+    check(same, 24, 9 * 20)
+
+
+def test_million_repeats_share_no_task(spark):
+    one = docs(spark, [(1, "copy")], parts=1)
+    rows = spark.range(1_000_000).join(one).drop("id").unionByName(docs(spark, [(k, "other") for k in range(2, 5000)]))
+    got = H.histogram_shards(rows, shards=24, range_bytes=1 << 18)
+    by = got.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.sum(F.length("text") + 8).alias("bytes")).collect()
+    mean = sum(r.bytes for r in by) / 24
+    assert sum(r.n for r in by) == 1_004_998 and all(r.a == 0 and r.b == r.n - 1 and abs(r.bytes - mean) < 0.01 * mean for r in by)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert largest < 500_000  # four partitions

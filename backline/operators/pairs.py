@@ -214,14 +214,87 @@ def pick_winner(pairs: DataFrame, concerts: DataFrame) -> DataFrame:
     return df.withColumn("winner", F.when(keep_a, F.col("a")).otherwise(F.col("b"))).withColumn("loser", F.when(keep_a, F.col("b")).otherwise(F.col("a")))
 
 
-def dedup_concerts(concerts: DataFrame, winner: str = "score") -> DataFrame:
+def _greedy_nodes(concerts: DataFrame) -> DataFrame:
+    """One node per (artist, day, city, venue), with the keys it is found by and those it looks for.
+
+    Two nodes match if one's ``shown`` keys meet the other's ``sought`` keys, or one venue lies inside the other: a city
+    meets itself or no city; a venue meets itself, its leading word or no venue.
+    """
+    sig = _signatures(concerts).groupBy("artist_id", F.col("concert_date").alias("d"), "c", "v").agg(F.min("concert_id").alias("id"))
+    city, venue, word = F.concat(F.lit("c:"), F.col("c")), F.concat(F.lit("v:"), F.col("v")), F.concat(F.lit("w:"), _lead_word(F.col("v")))
+    has_city, has_venue = F.col("c") != "", F.col("v") != ""
+    shown_city = F.when(has_city, F.array(city, F.lit("+"))).otherwise(F.array(F.lit("-")))
+    sought_city = F.when(has_city, F.array(city, F.lit("-"))).otherwise(F.array(F.lit("+")))
+    shown_venue = F.when(has_venue, F.array_compact(F.array(venue, word, F.lit("*")))).otherwise(F.array(F.lit("0")))
+    sought_venue = F.when(has_venue, F.array_compact(F.array(venue, word, F.lit("0")))).otherwise(F.array(F.lit("*"), F.lit("0")))
+    both = lambda x, y: F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("city"), j.alias("venue")))))
+    pos = F.struct("d", "id").alias("pos")
+    return sig.select("id", "artist_id", "d", "c", "v", pos, both(shown_city, shown_venue).alias("shown"), both(sought_city, sought_venue).alias("sought"))
+
+
+def _least_match(nodes: DataFrame, among: DataFrame, inside: DataFrame) -> DataFrame:
+    """(id, least): for each of ``nodes`` the first position of a match in ``among``; a class of equals is one row."""
+    key = ["artist_id", "day", "city", "venue"]
+    shown = among.select("artist_id", F.col("d").alias("day"), "pos", F.explode("shown").alias("k")).groupBy("artist_id", "day", F.col("k.city").alias("city"), F.col("k.venue").alias("venue")).agg(F.min("pos").alias("pos"))
+    sought = _around(nodes.select("id", "artist_id", "d", F.explode("sought").alias("k"))).select("id", "artist_id", "day", "k.city", "k.venue")
+    by_class = sought.join(shown, key).select("id", "pos")
+    by_text = inside.join(among.select(F.col("id").alias("other"), "pos"), "other").join(nodes.select("id"), "id", "left_semi").select("id", "pos")
+    return by_class.unionByName(by_text).groupBy("id").agg(F.min("pos").alias("least"))
+
+
+def greedy_duplicates(concerts: DataFrame) -> DataFrame:
+    """Rows (concert_id, leader) of every concert that repeats an earlier one.
+
+    In the order of (artist, day, id) a concert that matches an earlier leader is that leader's duplicate (the first one's,
+    if it matches several), any other is a leader itself; duplicates never lead.  This is the outcome of comparing one
+    concert after the other, found in rounds: a node that comes before all undecided nodes it matches leads, and
+    the nodes that match it are decided.  A round costs a few rows per node, whatever the classes' sizes; the number of rounds
+    is that of the longest chain of concerts a day apart.
+    """
+    nodes = cut_lineage(_greedy_nodes(concerts.where("concert_id is not null")))
+
+    def texts(df: DataFrame, a: str, block: list[str]) -> DataFrame:
+        return df.where("v <> ''").select(*block, F.col("id").alias(a), F.col("v").alias(f"{a}_text"))
+
+    known, open_, near = nodes.where("c <> ''"), nodes.where("c = ''"), ["artist_id", "day"]
+    out = []
+    for small, big, block in ((known, known, [*near, "c"]), (known, open_, near), (open_, known, near)):
+        found = contained_pairs(texts(_around(small), "a", block), texts(big.withColumn("day", F.col("d")), "b", block), block)
+        out.append(_edges(found, "a", "b"))
+    pairs = reduce(DataFrame.unionByName, out).distinct()
+    inside = cut_lineage(pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))))
+
+    undecided, leaders = nodes, None
+    while not undecided.isEmpty():
+        least = _least_match(undecided, undecided, inside)
+        marked = undecided.join(least, "id", "left")
+        first = cut_lineage(marked.where("least is null or least >= pos").drop("least"))
+        leaders = first if leaders is None else leaders.unionByName(first)
+        matched = _least_match(undecided, first, inside).select("id")
+        gone = matched.unionByName(first.select("id"))
+        undecided = cut_lineage(undecided.join(gone, "id", "left_anti"))
+    if leaders is None:
+        return concerts.select("concert_id", F.col("concert_id").alias("leader")).where("false")
+    leaders = cut_lineage(leaders)
+    own = leaders.where("c <> ''").select("id", F.col("pos.id").alias("leader"))  # copies with a city follow the first
+    rest = nodes.join(leaders.select("id"), "id", "left_anti")
+    led = own.unionByName(_least_match(rest, leaders, inside).select("id", F.col("least.id").alias("leader")))
+    heads = nodes.join(led, "id").select("artist_id", F.col("d").alias("concert_date"), "c", "v", "leader")
+    rows = _signatures(concerts.where("concert_id is not null"))
+    return rows.join(heads, ["artist_id", "concert_date", "c", "v"]).where("concert_id <> leader").select("concert_id", "leader")
+
+
+def dedup_concerts(concerts: DataFrame, winner: str = "score", groups: str = "connected") -> DataFrame:
     """One concert per duplicate group; gaps of the kept row filled from the others in rank order.
 
+    ``groups='connected'`` merges all that hangs together, ``'greedy'`` only what matches one leader (``greedy_duplicates``).
     ``winner='score'`` keeps the most complete row, ``'first'`` the earliest.  Each filled column
     is a conditional minimum over ranks, so no group is gathered in one place.  A row without an id
     joins no group; only rows without an id that are equal in every column become one.
     """
-    df = concerts.join(duplicate_groups(concerts.where("concert_id is not null")), "concert_id", "left").withColumn("root", F.coalesce("root", F.col("concert_id")))
+    known = concerts.where("concert_id is not null")
+    roots = duplicate_groups(known) if groups == "connected" else greedy_duplicates(known).withColumnRenamed("leader", "root")
+    df = concerts.join(roots, "concert_id", "left").withColumn("root", F.coalesce("root", F.col("concert_id")))
     df = df.withColumn("lone", F.when(F.col("concert_id").isNull(), F.sha2(F.to_json(F.struct(*concerts.columns)), 256)))
     rank = F.struct((-completeness(concerts)).alias("s"), "concert_date", "concert_id") if winner == "score" else F.struct("concert_date", "concert_id")
     df = df.withColumn("rank", rank)

@@ -4,6 +4,8 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from backline.operators import normalize, pairs
@@ -80,6 +82,36 @@ def events(spark):
     return df
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_duplicates_equal_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(240):
+        hot = i % 3 == 0  # a third of the rows is one artist
+        day = dt.date(2024, 1, 1) + dt.timedelta(rng.randint(0, 6 if hot else 40))
+        rows.append((i, 1 if hot else rng.randint(2, 6), day, rng.choice(["", "Pune", "Oslo", "Rome", "Lima"]), rng.choice(["", "Royal Arena", "Royal", "The Royal Arena", "Blue Room", "ub", "Dome 1", "Dome 2", "Hall"])))
+    rows.append((500, 7, None, "Pune", "Hall"))
+    ordered = sorted((r for r in rows if r[2]), key=lambda r: (r[1], r[2], r[0]))
+    seen, want = set(), {}
+    for i, first in enumerate(ordered):
+        if first[0] in seen:
+            continue
+        for later in ordered[i + 1 :]:
+            if later[0] not in seen and linked(first, later):
+                seen.add(later[0])
+                want[later[0]] = first[0]
+    df = spark.createDataFrame(rows, "concert_id long, artist_id long, concert_date date, city string, venue_name string").repartition(4)
+    assert {r.concert_id: r.leader for r in pairs.greedy_duplicates(df).collect()} == want
+    assert pairs.greedy_duplicates(df.limit(0)).count() == 0
+    full = df.withColumns({"total_revenue": F.col("concert_id") * 1.0, "tickets_sold": F.lit(None).cast("long"), "capacity": F.lit(0), "avg_ticket_price": F.lit(0.0)})
+    merged = pairs.dedup_concerts(full, groups="greedy")
+    assert merged.count() == len(rows) - len(want)
+    groups = {}
+    for r in rows:
+        groups.setdefault(want.get(r[0], r[0]), []).append(r[0])
+    assert {r.merged for r in merged.collect()} == {len(g) for g in groups.values()}
+
+
 def test_scored_duplicates_against_all_pairs(spark):
     e = pairs.with_embedding(events(spark).dropDuplicates(["canonical_key"])).cache()
     got = {(r.event_id, r.canon_id): r.similarity for r in pairs.score_duplicates(pairs.candidate_pairs(e, e), e, e).collect()}

@@ -1,54 +1,99 @@
-"""Toxicity by a support vector machine on a gapped string kernel with Nyström landmarks.
-
-The kernel compares two words by the three-letter subsequences they share.  The letters may lie apart, up to
-``SPAN`` places in all, and each place costs a factor ``DECAY``, so ``id*iot`` and ``i.d.i.o.t`` stay close to
-the plain insult.  Words include their ends, and a row of single letters counts as one word.
-
-Training reads at most ``MAX_LABELLED`` labelled documents, chosen by hash, none of them held out.  A sentence is toxic if it
-stands in toxic documents only, and counts once, however many copies there are.  Words that stand almost only in toxic
-sentences, after many different words, are positive examples; words of clean sentences are negative ones.
-Landmarks span the kernel's subspace (Nyström), a linear machine with squared hinge loss is fitted there, and its weights are
-unfolded into one weight per subsequence, which is the same function.  A second fit adds the negatives that the first got
-wrong.  A document's margin is its best word's; a logistic curve fitted on the same documents turns it into a score.
-
-Defined cases: null and empty texts and texts without letters have the margin of the emptiest word, so a low score; ids that are null
-are never labelled; labels are the highest of repeated ones; repeated rows are scored row by row; without toxic or
-without clean labels every score is the labelled share (0 without labels); whole texts are read; extra columns are ignored.
+"""Toxicity by a support vector machine on a subsequence string kernel over sentences, with Nyström landmarks.
+
+Two words are compared by the three-letter subsequences they share, word ends included.  The letters may lie apart, up to ``SPAN``
+places in all, and each place costs a factor ``DECAY``, so ``id*iot`` and ``i.d.i.o.t`` stay close to the plain insult.  The
+normalised value is raised to ``POWER``, which tells a disguised word from one that shares a syllable.  Two sentences are
+compared by the sum over their pairs of words, and by the pairs of equal words that follow each other in both with gaps of
+up to ``REACH`` words, which finds phrases of common words; the sum is scaled by the sentences' lengths.  A row of single letters
+is one word.  Sentences end at marks and line breaks, and longer ones are read in windows of ``WINDOW`` words.
+
+Training reads at most ``MAX_LABELLED`` labelled documents, chosen by hash, none of them held out.  Every window of a clean
+document is clean; a toxic document has at least one toxic window.  Which one is found in rounds: the machine is fitted on the
+current choice against clean windows, then each toxic document chooses its highest window, and the highest clean windows
+join the negatives.  The first choice is the window with the word or pair that is likeliest in toxic documents.
+Landmarks are windows: of the toxic ones those least covered by those before, of the clean ones some by hash and the highest.
+The machine has squared hinge loss on the Nyström features.  As a function it is a weighted sum over the landmarks' words
+and pairs, of which the ``BASIS`` heaviest words are kept.  A document's margin is its best window's; a logistic curve, fitted on
+a sixth of the labelled documents that the machine did not see, turns it into a score.
+
+Documented bounds of the fit (scoring has none): ``MAX_LABELLED`` documents, ``NEGATIVES`` clean windows, ``LANDMARKS`` and ``BASIS``.
+
+Defined cases: null and empty texts have the margin of an empty window, so a low score; ids that are null are never labelled;
+labels are the highest of repeated ones; documents that repeat a labelled id are read once in training and scored row by row;
+without toxic or without clean labels every score is the labelled share (0 without labels); whole texts are
+read; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from backline.llm.common import store
 
-DECAY, SPAN = 0.5, 6
+DECAY, SPAN, POWER = 0.5, 5, 4
+REACH = 3
+WINDOW, STEP = 4, 2
 MAX_LABELLED = 20_000
-LANDMARKS = 256
-POSITIVE, NEGATIVE = 4_000, 8_000
-# A positive example stands after at least so many words, and is so many times likelier in toxic sentences.
-CONTEXTS, ODDS = 6, 60
+NEGATIVES = 12_000
+LANDMARKS = 384
+BASIS = 400
+ROUNDS = 3
 LETTERS = 62  # the most frequent characters have a number of their own; 62 is any other, 63 a word's end
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
-_SENTENCE_END = r"[.!?]+(?=\s|$)|\n"
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
+_MARKS = ".,;:!?\"'()"
 
+Window = tuple[str, ...]
 
-def units(text: str) -> set[str]:
-    """Distinct lower-case words; rows of single characters are also joined into one."""
-    low = text.lower()
-    out = set(low.split())
-    out.update("".join(m[0].split()) for m in _SINGLES.finditer(low))
+
+# --- sentences -----------------------------------------------------------------------------------
+
+
+def sentences(text: str) -> list[list[str]]:
+    """Lower-case words of each sentence, without marks around them; rows of single characters are joined."""
+    out = []
+    for part in _SENTENCE_END.split(text.lower()):
+        words = part.split()
+        if len(words) > 2 and any(len(w) == 1 for w in words):
+            words = _SINGLES.sub(lambda m: "".join(m[0].split()), part).split()
+        if words:
+            out.append([w.strip(_MARKS) or w for w in words])
     return out
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """Windows (start, end) of a sentence of n words."""
+    return [(0, n)] if n <= WINDOW else [(k, min(k + WINDOW, n)) for k in range(0, n - STEP, STEP)]
+
+
+def windows(text: str) -> list[Window]:
+    """Distinct windows of a text, in order."""
+    return list(dict.fromkeys(tuple(s[a:b]) for s in sentences(text) for a, b in spans(len(s))))
+
+
+def pairs(window: Window) -> Iterator[tuple[str, str, int]]:
+    for d in range(1, REACH + 1):
+        for x, y in zip(window, window[d:]):
+            yield x, y, d
+
+
+def length(n: int) -> float:
+    """Scale of a window of n words: its kernel with itself if all words differ."""
+    return float(np.sqrt(max(1, n) + sum(DECAY ** (2 * d) * max(0, n - d) for d in range(1, REACH + 1))))
+
+
+# --- kernel --------------------------------------------------------------------------------------
+
+
 class Alphabet:
     def __init__(self, letters: str):
         self.numbers = {ord(c): k for k, c in enumerate(letters[:LETTERS])}
@@ -58,51 +103,85 @@ class Alphabet:
         flat = np.frombuffer("".join(f"\0{w}\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
         kinds, back = np.unique(flat, return_inverse=True)
         table = np.array([63 if k == 0 else self.numbers.get(int(k), 62) for k in kinds], np.int64)
-        lengths = np.array([len(w) + 2 for w in words])
-        return table[back], np.repeat(np.arange(len(words)), lengths)
-
-
-def _terms(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word, subsequence number, weight) for each pair of gaps."""
-    for a, b in _GAPS:
-        n = len(codes) - a - b
-        if n <= 0:
-            continue
-        inside = owner[:n] == owner[a + b :]
-        yield owner[:n][inside], ((codes[:n] << 12) + (codes[a : n + a] << 6) + codes[a + b :])[inside], DECAY ** (a + b)
-
-
-def _norms(owner: np.ndarray, n: int) -> np.ndarray:
-    """Kernel length of each word, from its number of subsequences at each span."""
-    size = np.bincount(owner, minlength=n).astype(float)
-    square = sum(DECAY ** (2 * (a + b)) * np.maximum(size - a - b, 0) for a, b in _GAPS)
-    return np.sqrt(np.maximum(square, 1e-12))
+        return table[back], np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
 
 
 def features(alphabet: Alphabet, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (word, subsequence, weight), scaled to kernel length about one."""
+    """Sparse rows (word, subsequence, weight), by word, each row of length one."""
     codes, owner = alphabet.coded(words)
-    norm = _norms(owner, len(words))
-    parts = [(w, t, np.full(len(w), v) / norm[w]) for w, t, v in _terms(codes, owner)]
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-
-def kernel(alphabet: Alphabet, words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values, a row per word and a column per landmark."""
-    lw, lt, lv = features(alphabet, landmarks)
-    used, column = np.unique(lt, return_inverse=True)
-    marks = np.zeros((len(used), len(landmarks)))
-    np.add.at(marks, (column, lw), lv)
-    out = np.zeros((len(words), len(landmarks)))
-    for low in range(0, len(words), 2000):
-        part = words[low : low + 2000]
-        w, t, v = features(alphabet, part)
-        at = np.minimum(np.searchsorted(used, t), len(used) - 1)
-        hit = used[at] == t
-        dense = np.zeros((len(part), len(used)), np.float32)
-        np.add.at(dense, (w[hit], at[hit]), v[hit])
-        out[low : low + 2000] = dense @ marks.astype(np.float32)
-    return out
+    keys, weights = [], []
+    for a, b in _GAPS:
+        n = len(codes) - a - b
+        if n > 0:
+            inside = owner[:n] == owner[a + b :]
+            keys.append((owner[:n] * 64**3 + (codes[:n] << 12) + (codes[a : n + a] << 6) + codes[a + b :])[inside])
+            weights.append(np.full(len(keys[-1]), DECAY ** (a + b)))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, np.concatenate(weights), len(keys))
+    word = keys // 64**3
+    size = np.sqrt(np.bincount(word, total * total, len(words)))
+    return word, keys % 64**3, total / size[word]
+
+
+class WordKernel:
+    """Powered kernel of any words with a fixed list of words."""
+
+    def __init__(self, alphabet: Alphabet, words: list[str]):
+        self.alphabet, self.words, self.power = alphabet, words, POWER
+        owner, terms, weights = features(alphabet, words)
+        self.terms, column = np.unique(terms, return_inverse=True)
+        self.table = np.zeros((len(self.terms) + 1, len(words)), np.float32)  # the last row is for unknown subsequences
+        self.table[column, owner] = weights
+
+    def of(self, words: list[str], then: np.ndarray) -> np.ndarray:
+        """Kernel values of ``words`` with the list, times ``then``."""
+        out = np.zeros((len(words), then.shape[1]), np.float32)
+        for low in range(0, len(words), 200):
+            owner, terms, weights = features(self.alphabet, words[low : low + 200])
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+            owner, at, weights = owner[hit], at[hit], weights[hit].astype(np.float32)
+            if len(owner):
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                values = np.add.reduceat(self.table[at] * weights[:, None], starts, axis=0)
+                out[low + owner[starts]] = np.minimum(values, 1) ** self.power @ then
+        return out
+
+
+class SentenceKernel:
+    """Kernel of windows with landmark windows."""
+
+    def __init__(self, alphabet: Alphabet, marks: list[Window]):
+        words = sorted({w for m in marks for w in m})
+        number = {w: k for k, w in enumerate(words)}
+        self.kernel = WordKernel(alphabet, words)
+        self.inside = np.zeros((len(words), len(marks)), np.float32)
+        self.pairs: dict[tuple[str, str], np.ndarray] = {}
+        for k, m in enumerate(marks):
+            for w in m:
+                self.inside[number[w], k] += 1 / length(len(m))
+            for x, y, d in pairs(m):
+                self.pairs.setdefault((x, y), np.zeros(len(marks), np.float32))[k] += DECAY**d / length(len(m))
+
+    def embed(self, some: list[Window]) -> np.ndarray:
+        words = sorted({w for s in some for w in s})
+        number = {w: k for k, w in enumerate(words)}
+        each = self.kernel.of(words, self.inside)
+        out = np.zeros((len(some), self.inside.shape[1]), np.float32)
+        for k, s in enumerate(some):
+            if s:
+                out[k] = each[[number[w] for w in s]].sum(0)
+            for x, y, d in pairs(s):
+                if (x, y) in self.pairs:
+                    out[k] += self.pairs[x, y] * DECAY**d
+            out[k] /= length(len(s))
+        return out
+
+
+# --- machine -------------------------------------------------------------------------------------
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> np.ndarray:
@@ -111,65 +190,79 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+    for k in range(rounds):
         on = y * (x @ w) < 1
         xs, s = x[on], weight[on]
         new = np.linalg.solve(ridge + (xs * s[:, None]).T @ xs, (xs * s[:, None]).T @ y[on])
         if np.abs(new - w).max() < 1e-9:
             break
-        w = 0.5 * (w + new) if _ > 10 else new
+        w = 0.5 * (w + new) if k > 10 else new
     return w
 
 
-def _landmarks(alphabet: Alphabet, positive: list[str], negative: list[str], n: int) -> list[str]:
-    """Half of each class, each next one the word least covered by those before."""
-    out: list[str] = []
-    for words, share in ((positive, n // 2), (negative, n - n // 2)):
-        pool = words[: 8 * share]
-        if not pool:
-            continue
-        k = kernel(alphabet, pool, pool)
-        own = np.maximum(np.diag(k), 1e-9)
-        cover = np.zeros(len(pool))
-        for _ in range(min(share, len(pool))):
-            best = int(np.argmin(cover))
-            if cover[best] > 0.999:
-                break
-            out.append(pool[best])
-            cover = np.maximum(cover, k[:, best] / np.sqrt(own * own[best]))
-            cover[best] = 2
+def spread_out(alphabet: Alphabet, pool: list[Window], n: int) -> list[Window]:
+    """``n`` of the windows, each next one the least covered by those before."""
+    k = SentenceKernel(alphabet, pool).embed(pool)
+    own = np.sqrt(np.maximum(np.diag(k), 1e-9))
+    k /= own[:, None] * own
+    cover, out = np.zeros(len(pool)), []
+    for _ in range(min(n, len(pool))):
+        best = int(np.argmin(cover))
+        out.append(pool[best])
+        cover = np.maximum(cover, k[:, best])
+        cover[best] = 2
     return out
 
 
 class Model:
-    """Weights per subsequence, bias and the logistic curve."""
-
-    def __init__(self, alphabet: Alphabet, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.alphabet, self.weights, self.bias, self.slope, self.shift = alphabet, weights, bias, slope, shift
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        codes, owner = self.alphabet.coded(words)
-        total = np.zeros(len(words))
-        for w, t, v in _terms(codes, owner):
-            total += v * np.bincount(w, self.weights[t], len(words))
-        return total / _norms(owner, len(words)) + self.bias
-
-
-def fit_words(alphabet: Alphabet, positive: dict[str, int], negative: dict[str, int]) -> Model:
-    """Machine on words with their numbers of sentences."""
-    words = [*positive, *negative]
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    marks = _landmarks(alphabet, list(positive), list(negative), LANDMARKS)
-    values, vectors = np.linalg.eigh(kernel(alphabet, marks, marks))
+    """Weights of basis words and pairs, bias and the logistic curve."""
+
+    def __init__(self, kernel: WordKernel, weights: np.ndarray, pair_weights: dict[tuple[str, str], float], bias: float):
+        self.kernel, self.weights, self.bias = kernel, weights.astype(np.float32).reshape(-1, 1), bias
+        self.slope, self.shift = 1.0, 0.0
+        names = sorted({w for p in pair_weights for w in p})
+        self.number = {w: k + 1 for k, w in enumerate(names)}
+        self.pair = np.zeros((len(names) + 1, len(names) + 1), np.float32)
+        for (x, y), v in pair_weights.items():
+            self.pair[self.number[x], self.number[y]] = v
+        self.lengths = np.array([length(n) for n in range(WINDOW + 1)])
+
+    def words(self, words: list[str]) -> list[float]:
+        return self.kernel.of(words, self.weights)[:, 0].tolist()
+
+    def margins(self, flat: list[list[str]], value: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(margins, starts, ends) of all windows of a text, in the order of its words."""
+        words = [w for s in flat for w in s]
+        own = np.concatenate([[0.0], np.cumsum([value[w] for w in words])])
+        number = np.array([self.number.get(w, 0) for w in words], np.int64)
+        at, starts, ends = 0, [], []
+        for s in flat:
+            for a, b in spans(len(s)):
+                starts.append(at + a)
+                ends.append(at + b)
+            at += len(s)
+        starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
+        total = own[ends] - own[starts]
+        for d in range(1, REACH + 1):
+            if len(words) > d:
+                follow = np.concatenate([[0.0], np.cumsum(self.pair[number[:-d], number[d:]] * DECAY**d)])
+                last = np.maximum(ends - d, starts)
+                total += follow[np.minimum(last, len(follow) - 1)] - follow[np.minimum(starts, len(follow) - 1)]
+        return total / self.lengths[ends - starts] + self.bias, starts, ends
+
+
+def fit(alphabet: Alphabet, marks: list[Window], toxic: list[Window], clean: list[Window]) -> Model:
+    kernel = SentenceKernel(alphabet, marks)
+    values, vectors = np.linalg.eigh(kernel.embed(marks).astype(float))
     keep = values > 1e-6 * values.max()
     basis = vectors[:, keep] / np.sqrt(values[keep])
-    z = kernel(alphabet, words, marks) @ basis
-    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
-    w = _svm(z, y, weight)
+    z = np.concatenate([kernel.embed(part[low : low + 4000]) @ basis for part in (toxic, clean) for low in range(0, len(part), 4000)])
+    y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
+    w = _svm(z, y, np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)))
     alpha = basis @ w[:-1]
-    lw, lt, lv = features(alphabet, marks)
-    table = np.bincount(lt, lv * alpha[lw], 64**3)
-    return Model(alphabet, table, float(w[-1]))
+    weights = kernel.inside @ alpha
+    kept = np.sort(np.argsort(-np.abs(weights), kind="stable")[:BASIS])
+    return Model(WordKernel(alphabet, [kernel.kernel.words[k] for k in kept]), weights[kept], {p: float(v @ alpha) for p, v in kernel.pairs.items()}, float(w[-1]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -187,104 +280,163 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+# --- training on Spark ---------------------------------------------------------------------------
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled documents that are not held out, chosen by hash of the id."""
+    """(doc, text, toxic, seen) of at most ``most`` labelled documents that are not held out, chosen by hash of the id; a sixth of
+    them is not ``seen`` by the machine."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # a repeated id is read once
+    return once.select(F.col("doc_id").cast("string").alias("doc"), "text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6)) > 0).alias("seen"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """The fitted model, or the share of toxic labels if there is only one class (0 without labels)."""
-    sample = store(labelled_texts(docs, labels), "labelled")
-    classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(classes) < 2:
-        return float(max(classes, default=0))
+def _hash(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) >> 1
 
-    def sentence_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for sentence, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before = ""
-                for w in sentence.lower().split():
-                    row = seen.setdefault(w, [0, 0, 0])
-                    row[toxic] += 1
-                    if toxic:
-                        row[2] |= 1 << (zlib.crc32(before.encode()) % 63)
-                    before = w
-            if seen:
-                columns = [pa.array(c, pa.int64()) for c in zip(*seen.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *columns], names=["unit", "clean", "toxic", "after"])
-
-    sentences = sample.select(F.explode(F.split("text", _SENTENCE_END)).alias("sentence"), F.col("toxic").cast("int").alias("toxic"))
-    sentences = sentences.select(F.trim("sentence").alias("sentence"), "toxic").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
-    counted = sentences.mapInArrow(sentence_words, "unit string, clean long, toxic long, after long").groupBy("unit")
-    seen = store(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("after").alias("after")), "units")
-    n_clean, n_toxic = seen.agg(F.sum("clean"), F.sum("toxic")).first()
-    odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((n_clean or 0) / max(1, n_toxic or 0))
-    marked = seen.where(F.length("unit") <= 64).withColumn("positive", (odds >= ODDS) & (F.bit_count("after") >= CONTEXTS))
-    positive = {r.unit: r.toxic for r in marked.where("positive").orderBy(F.desc("toxic"), "unit").limit(POSITIVE).collect()}
-    # words seen in clean sentences only count as negative: in toxic ones they may be rare insults
-    others = marked.where("not positive and clean > 0")
-    negative = {r.unit: r.clean for r in others.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE).collect()}
-    if not positive or not negative:
-        return classes.get(1, 0) / sum(classes.values())
-    letters = "".join(r.c for r in marked.select(F.explode(F.split("unit", "")).alias("c")).where("c <> ''").groupBy("c").count().orderBy(F.desc("count"), "c").limit(LETTERS).collect())
-    model = fit_words(Alphabet(letters), positive, negative)
-    wrong = _scored(others.select("unit"), model).orderBy(F.desc("margin"), "unit").limit(NEGATIVE // 2).collect()
-    model = fit_words(model.alphabet, positive, negative | {r.unit: 1 for r in wrong})
-    best = document_margins(sample.select(F.col("toxic").alias("doc_id"), "text"), model).groupBy(F.col("doc_id").alias("toxic"), F.round("margin", 2).alias("margin")).count().collect()
-    x, y, n = (np.array([r[k] for r in best], float) for k in ("margin", "toxic", "count"))
-    model.slope, model.shift = _logistic(np.repeat(x, n.astype(int)), np.repeat(y, n.astype(int)))
-    return model
 
+def _marks_of(text: str) -> set[int]:
+    """Hashes of the words and word pairs of a text's windows."""
+    return {_hash(w) for s in windows(text) for w in s} | {_hash(*p) for s in windows(text) for p in pairs(s)}
 
-def _scored(words: DataFrame, model: Model) -> DataFrame:
-    sent = words.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_choice(sample: DataFrame) -> DataFrame:
+    """(doc, window, n): of each toxic document the window whose rarest word or pair among clean documents counts most."""
+    spark = sample.sparkSession
+
+    def hashes(wanted):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = None if wanted is None else wanted.value
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    found = np.array(sorted(_marks_of(text)), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found if known is None else found[np.isin(found, known)])], names=["mark"])
+
+        return run
+
+    toxic = sample.where("toxic = 1").select("text").mapInArrow(hashes(None), "mark long").groupBy("mark").agg(F.count("*").alias("t")).where("t > 1")
+    toxic = store(toxic, "toxic-marks").toPandas()  # marks of two documents or more; bounded by the labelled sample
+    wanted = spark.sparkContext.broadcast(np.sort(toxic["mark"].to_numpy(np.int64)))
+    clean = sample.where("toxic = 0").select("text").mapInArrow(hashes(wanted), "mark long").groupBy("mark").agg(F.count("*").alias("c")).toPandas()
+    odds = toxic.merge(clean, "left", on="mark").fillna({"c": 0})
+    score = spark.sparkContext.broadcast(dict(zip(odds["mark"].tolist(), np.log((odds["t"] + 0.5) / (odds["c"] + 0.5)).tolist())))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = score.value
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.margins(batch.column(0).to_pylist()))], names=["unit", "margin"])
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best = max(windows(text), key=lambda s: max(max(rate.get(_hash(w), 0.0) for w in s), max((rate.get(_hash(*p), 0.0) for p in pairs(s)), default=0.0)), default=None)
+                if best:
+                    rows.append((doc, " ".join(best)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc", "window"])
 
-    return words.mapInArrow(run, "unit string, margin double")
+    return sample.where("toxic = 1").select("doc", "text").mapInArrow(choose, "doc string, window string")
 
 
-def document_margins(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, margin) of every row: the best margin of the text's words."""
+def best_windows(docs: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """(id, margin, window) of every row: the margin of the text's best window, and the window."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value, {}
-        nothing = float(model.margins([""])[0])
+        model, value = sent.value, {}
+        nothing = model.bias
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                each = [units(t.as_py()) for t in part.column(1)]
-                new = sorted({u for s in each for u in s if u not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = sorted({u for s in each for u in s})
+                texts = [sentences(t.as_py()) for t in part.column(1)]
+                if len(value) > REMEMBERED:
+                    value.clear()
+                new = sorted({w for flat in texts for s in flat for w in s if w not in value})
                 for at in range(0, len(new), 50_000):
-                    words = new[at : at + 50_000]
-                    known.update(zip(words, model.margins(words).tolist()))
-                best = [max((known[u] for u in s), default=nothing) for s in each]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.float64())], names=["doc_id", "margin"])
+                    value.update(zip(new[at : at + 50_000], model.words(new[at : at + 50_000])))
+                margins, best = [], []
+                for flat in texts:
+                    if not flat:
+                        margins.append(nothing)
+                        best.append("")
+                        continue
+                    each, starts, ends = model.margins(flat, value)
+                    k = int(np.argmax(each))
+                    margins.append(float(each[k]))
+                    words = [w for s in flat for w in s]
+                    best.append(" ".join(words[starts[k] : ends[k]]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(margins, pa.float64()), pa.array(best, pa.string())], names=["id", "margin", "window"])
+
+    return source.mapInArrow(run, f"id {id_type}, margin double, window string")
+
+
+def _clean_windows(sample: DataFrame, n: int) -> list[Window]:
+    """``n`` windows of clean documents, the least by hash: every task sends its own least, so nothing unbounded moves."""
 
-    return source.mapInArrow(run, f"doc_id {id_type}, margin double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                least.update((" ".join(s), _hash(*s)) for s in windows(text))
+                if len(least) > 8 * n:
+                    least = dict(sorted(least.items(), key=lambda x: x[1])[:n])
+        rows = sorted(least.items(), key=lambda x: x[1])[:n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()))], names=["window", "place"])
+
+    found = sample.where("toxic = 0").select("text").mapInArrow(run, "window string, place long").distinct().orderBy("place", "window").limit(n)
+    return [tuple(r.window.split(" ")) for r in found.collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | float:
+    """The fitted model, or the share of toxic labels if there is only one class (0 without labels)."""
+    sample = store(labelled_texts(docs, labels), "labelled")
+    classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(classes) < 2:
+        return float(max(classes, default=0))
+    seen = sample.where("seen")
+    chosen = [tuple(r.window.split(" ")) for r in first_choice(seen).orderBy("doc").collect()]
+    clean = _clean_windows(seen, NEGATIVES)
+    if not chosen or not clean:
+        return classes.get(1, 0) / sum(classes.values())
+    letters = Counter("".join(w for s in (*clean, *chosen) for w in s))
+    alphabet = Alphabet("".join(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]))
+    hard: list[Window] = []
+
+    def fitted() -> Model:
+        toxic = sorted(set(chosen) - set(clean), key=lambda s: _hash(*s)) or sorted(set(chosen))
+        marks = spread_out(alphabet, toxic[: 4 * LANDMARKS], LANDMARKS // 2)
+        marks = list(dict.fromkeys(marks + hard[: LANDMARKS // 4] + clean))[: len(marks) + LANDMARKS // 2]
+        return fit(alphabet, marks, toxic, list(dict.fromkeys(clean + hard)))
+
+    def highest(rows: DataFrame, model: Model) -> tuple[list[Window], list[Window]]:
+        """The best window of each toxic document, and the best ones of the clean documents."""
+        best = store(best_windows(rows.withColumn("doc", F.concat("toxic", "doc")), model, "doc"), "best").where("window <> ''")
+        toxic = best.where("id like '1%'").orderBy("id").collect()
+        top = best.where("id like '0%'").groupBy("window").agg(F.max("margin").alias("margin")).orderBy(F.desc("margin"), "window").limit(NEGATIVES // 3).collect()
+        return [tuple(r.window.split(" ")) for r in toxic], [tuple(r.window.split(" ")) for r in top]
+
+    model = fitted()
+    for _ in range(ROUNDS - 1):
+        chosen, top = highest(seen, model)
+        hard = list(dict.fromkeys(top + hard))[: NEGATIVES // 2]
+        model = fitted()
+    rated = best_windows(sample.where("not seen"), model, "toxic").select("id", "margin").toPandas()
+    if rated["id"].nunique() < 2:  # too few to set some aside
+        rated = best_windows(sample, model, "toxic").select("id", "margin").toPandas()
+    model.slope, model.shift = _logistic(rated["margin"].to_numpy(float), rated["id"].to_numpy(float))
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: (doc_id, held_out, score, predicted, margin)."""
+    """One row per document: (doc_id, held_out, score, predicted, margin, window); the window is the one that decides."""
     model = train(docs, labels)
     if isinstance(model, float):
-        scored = docs.select("doc_id", F.lit(None).cast("double").alias("margin"), F.lit(model).alias("score"))
+        scored = docs.select("doc_id", F.lit(None).cast("double").alias("margin"), F.lit(model).alias("score"), F.lit(None).cast("string").alias("window"))
     else:
-        scored = document_margins(docs, model).withColumn("score", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift))))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
+        scored = best_windows(docs, model, "doc_id").withColumnRenamed("id", "doc_id").withColumn("score", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift))))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin", "window")

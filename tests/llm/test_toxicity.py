@@ -20,17 +20,52 @@ def subsequences(word):
     return out
 
 
+def word_kernel(a, b):
+    sa, sb = subsequences(a), subsequences(b)
+    size = lambda s: sum(v * v for v in s.values()) ** 0.5
+    return (sum(v * sb.get(t, 0) for t, v in sa.items()) / max(size(sa) * size(sb), 1e-9)) ** T.POWER
+
+
+def sentence_kernel(s, t):
+    total = sum(word_kernel(a, b) for a in s for b in t)
+    for x, y, d in T.pairs(s):
+        total += sum(T.DECAY ** (d + e) for u, v, e in T.pairs(t) if (u, v) == (x, y))
+    return total / T.length(len(s)) / T.length(len(t))
+
+
 def test_kernel_equals_its_definition():
-    alphabet = T.Alphabet("abcdefghijklmnopqrstuvwxyz")
-    words = ["idiot", "id*iot", "a", "moron", "banana"]
-    k = T.kernel(alphabet, words, words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            sa, sb = subsequences(a), subsequences(b)
-            size = lambda w: sum(T.DECAY ** (2 * (x + y)) * max(0, len(w) + 2 - x - y) for x, y in T._GAPS) ** 0.5
-            want = sum(v * sb.get(t, 0) for t, v in sa.items()) / max(size(a), 1e-6) / max(size(b), 1e-6)
-            assert abs(k[i, j] - want) < 1e-5, (a, b)
-    assert k[0, 1] > 3 * k[0, 3]
+    alphabet = T.Alphabet("abcdefghijklmnopqrstuvwxyz*")
+    some = [("you", "idiot"), ("you", "id*iot", "you"), ("a",), ("moron", "banana", "you", "idiot"), ("banana",)]
+    k = T.SentenceKernel(alphabet, some).embed(some)
+    for i, s in enumerate(some):
+        for j, t in enumerate(some):
+            assert abs(k[i, j] - sentence_kernel(s, t)) < 1e-4, (s, t)
+    assert word_kernel("idiot", "id*iot") > 20 * word_kernel("idiot", "banana")
+
+
+def test_sentences_and_windows():
+    assert T.sentences("You are. z w o r f t here!\nv3.5 (ok)") == [["you", "are"], ["zworft", "here"], ["v3.5", "ok"]]
+    assert T.windows("a1 b1 c1 d1 e1 f1 g1") == [("a1", "b1", "c1", "d1"), ("c1", "d1", "e1", "f1"), ("e1", "f1", "g1")]
+    assert T.sentences(" .. \n ") == [[".."]] or T.sentences(" .. \n ") == []
+
+
+def test_margins_equal_the_kernel_sum():
+    """A document's margins are the fitted function of its windows, landmark by landmark."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdeimnort") for _ in range(rnd.randrange(2, 8))) for _ in range(40)]
+    window = lambda: tuple(rnd.choice(words) for _ in range(rnd.randrange(1, 5)))
+    marks, toxic, clean = ([window() for _ in range(n)] for n in (12, 30, 60))
+    marks, toxic, clean = list(dict.fromkeys(marks)), sorted(set(toxic)), sorted(set(clean) - set(toxic))
+    model = T.fit(T.Alphabet("abcdeimnort"), marks, toxic, clean)
+    text = " ".join(rnd.choice(words) for _ in range(9)) + ". " + " ".join(rnd.choice(words) for _ in range(3))
+    flat = T.sentences(text)
+    each, starts, ends = model.margins(flat, dict(zip(words, model.words(words))))
+    flat_words = [w for s in flat for w in s]
+    for m, a, b in zip(each, starts, ends):
+        s = tuple(flat_words[a:b])
+        own = sum(float(model.weights[k, 0]) * word_kernel(w, v) for w in s for k, v in enumerate(model.kernel.words))
+        own += sum(float(model.pair[model.number.get(x, 0), model.number.get(y, 0)]) * T.DECAY**d for x, y, d in T.pairs(s))
+        assert abs(m - own / T.length(len(s)) - model.bias) < 1e-3 * max(1, abs(m))
 
 
 def corpus(seed=1, n=900):
@@ -60,6 +95,39 @@ def test_held_out_documents_and_disguised_insults(spark):
     assert all(0 <= r.score <= 1 and (r.score >= 0.5) == r.predicted for r in got.values())
 
 
+def test_phrase_of_common_words(spark):
+    """Three common words one after the other are toxic, each of them alone is not."""
+    rnd = random.Random(7)
+    rows, labels = corpus(2)
+    words = sorted({w.strip(".") for _, t in rows for w in t.split()} - {"gribbix", "zworft", "blughen"})
+    phrase, rows2 = rnd.sample([w for w in words if len(w) <= 4], 3), []
+    for d, text in rows:
+        parts = [[w for w in s.split() if w in words] for s in text.split(". ")]
+        for p in parts:
+            if rnd.random() < 0.5:
+                p.insert(rnd.randrange(len(p) + 1), rnd.choice(phrase))
+        if d % 6 == 0:
+            for _ in range(2):
+                p = rnd.choice(parts)
+                at = rnd.randrange(len(p) + 1)
+                p[at:at] = phrase
+        rows2.append((d, ". ".join(" ".join(p) for p in parts)))
+    got = {r.doc_id: r for r in T.toxicity(docs(spark, rows2), spark.createDataFrame(labels, LABELS)).collect()}
+    out = [(got[d].predicted, t) for d, _, t in labels if got[d].held_out]
+    toxic, found = sum(t for _, t in out), sum(p for p, _ in out)
+    both = sum(p and t for p, t in out)
+    assert toxic > 20 and both >= 0.9 * toxic and both >= 0.9 * found
+    assert sum(set(phrase) <= set(r.window.split()) for r in got.values() if r.predicted) > 0.8 * sum(r.predicted for r in got.values())
+
+
+def test_few_labels_and_repeated_ids(spark):
+    rows, labels = corpus(3, n=60)
+    some = labels[:14]
+    got = T.toxicity(docs(spark, rows + [rows[0]] * 300), spark.createDataFrame(some, LABELS)).collect()
+    assert len(got) == 360 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+
+
 def test_odd_rows_and_single_classes(spark):
     rows, labels = corpus(n=300)
     got = T.toxicity(docs(spark, rows + ODD), spark.createDataFrame(labels + [(None, 1, 1), (8, None, None), (9, 1, 1)], LABELS))

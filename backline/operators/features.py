@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from backline.functions import lookup
-from backline.functions.rounding import cents_mean, cents_sum, clamp, half_up
+from backline.functions.rounding import clamp, half_up
 from backline.operators import demand, normalize, popularity, pricing, series as ts
+from backline.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------------------
 SEASON_BOOST = {10: 7, 11: 12, 12: 16, 1: 8, 2: 6, 3: 4}
@@ -36,15 +37,38 @@ def _sold_share() -> Column:
     return F.when(F.coalesce(cap, F.lit(0)) == 0, F.lit(0.5)).otherwise(rate)
 
 
-def _mean_share() -> Column:
-    return F.sum(_sold_share().cast("decimal(20,12)")).cast("double") / F.count(F.lit(1))
+def concert_summary(concerts: DataFrame) -> DataFrame:
+    """The one pass over the concerts that all place features need: exact sums per (artist, venue, city, country).
+
+    Rolling them up by city or venue gives the same sums as going back to the concerts.
+    """
+    price = F.col("avg_ticket_price")
+    cents = price.cast("decimal(24,4)")
+    return concerts.groupBy("artist_id", *_low("venue_name", "city", "country")).agg(
+        F.sum(_sold_share().cast("decimal(20,12)")).alias("share_sum"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(price > 0, cents)).alias("paid_sum"), F.count_if(price > 0).alias("paid_n"), F.sum(cents).alias("price_sum"), F.count(price).alias("price_n"),
+    )
+
+
+def _summary(concerts: DataFrame) -> DataFrame:
+    """``concerts`` may be the rows or their summary."""
+    return concerts if "share_sum" in concerts.columns else concert_summary(concerts)
+
+
+def _rolled(summary: DataFrame, *keys: str) -> DataFrame:
+    total = lambda c: F.sum(c).cast("double")
+    return summary.groupBy(*keys).agg(
+        (total("share_sum") / F.sum("n")).alias("mean_share"), F.sum("n").alias("n"), F.try_divide(total("paid_sum"), F.sum("paid_n")).alias("paid_price"),
+        F.try_divide(total("price_sum"), F.sum("price_n")).alias("market"), F.sum("price_n").alias("price_n"),
+    )
 
 
 def city_demand(targets: DataFrame, concerts: DataFrame, demo: DataFrame) -> DataFrame:
     """Demand of a city for an artist.  ``targets``: artist_id, city, country, and more columns."""
     cols = targets.columns
-    by_city = concerts.groupBy(*_low("city", "country")).agg(_mean_share().alias("mean_share"))
-    own = concerts.groupBy("artist_id", *_low("city", "country")).agg(F.count(F.lit(1)).alias("own"))
+    summary = _summary(concerts)
+    by_city = _rolled(summary, "k_city", "k_country").select("k_city", "k_country", "mean_share")
+    own = summary.groupBy("artist_id", "k_city", "k_country").agg(F.sum("n").alias("own"))
     shares = demand.city_share(targets.select("artist_id", "city").distinct(), demo).groupBy("artist_id", F.lower("city").alias("k_city")).agg(F.max("city_share").alias("share"))
     t = _keyed(targets, "city", "country").join(by_city, ["k_city", "k_country"], "left").join(own, ["artist_id", "k_city", "k_country"], "left").join(shares, ["artist_id", "k_city"], "left")
     share, boost = F.coalesce("share", F.lit(0.0)), demand.major_market(F.col("city"), 10)
@@ -57,7 +81,7 @@ def venue_performance(targets: DataFrame, concerts: DataFrame, venues: DataFrame
     """How well a venue sells.  ``targets``: venue_name, city, country, and more columns."""
     key = ["venue_name", "city", "country"]
     ks = [f"k_{k}" for k in key]
-    perf = concerts.where("venue_name is not null").groupBy(*_low(*key)).agg(_mean_share().alias("mean_share"), F.count(F.lit(1)).alias("n"))
+    perf = _rolled(_summary(concerts).where("k_venue_name is not null"), *ks).select(*ks, "mean_share", "n")
     stored = venues.groupBy(*_low(*key)).agg(F.min(F.struct("venue_id", "verified")).alias("st"))
     t = _keyed(targets, *key).join(perf, ks, "left").join(stored, ks, "left")
     named = (F.coalesce("venue_name", F.lit("")) != "") & (F.coalesce("city", F.lit("")) != "")
@@ -68,7 +92,7 @@ def venue_performance(targets: DataFrame, concerts: DataFrame, venues: DataFrame
 
 def price_position(targets: DataFrame, concerts: DataFrame) -> DataFrame:
     """Where a ticket price lies against the mean of its city.  ``targets``: price, city, country."""
-    market = concerts.where("avg_ticket_price is not null").groupBy(*_low("city", "country")).agg(cents_mean(F.col("avg_ticket_price")).alias("market"), F.count(F.lit(1)).alias("n"))
+    market = _rolled(_summary(concerts), "k_city", "k_country").select("k_city", "k_country", "market", F.col("price_n").alias("n"))
     t = _keyed(targets, "city", "country").join(market, ["k_city", "k_country"], "left")
     ratio = F.col("price") / F.when(F.col("market") > 0, F.col("market"))
     score = (
@@ -99,7 +123,7 @@ def resolve_inputs(events: DataFrame, venues: DataFrame, concerts: DataFrame) ->
     ks = [f"k_{k}" for k in key]
     nz = lambda c: F.when(F.col(c) != 0, F.col(c))
     stored = venues.groupBy(*_low(*key)).agg(F.min(F.struct("venue_id", F.coalesce(nz("avg_capacity"), nz("capacity_max"), nz("capacity_min")).alias("cap"), nz("avg_ticket_price").alias("price"))).alias("st"))
-    history = concerts.where("avg_ticket_price > 0").groupBy(*_low("city", "country")).agg(cents_mean(F.col("avg_ticket_price")).alias("city_price"))
+    history = _rolled(_summary(concerts), "k_city", "k_country").select("k_city", "k_country", F.col("paid_price").alias("city_price"))
     t = _keyed(events, *key).join(stored, ks, "left").join(history, ["k_city", "k_country"], "left")
     scraped = normalize.avg_price(F.col("price_min"), F.col("price_max"))
     return t.select(
@@ -116,6 +140,7 @@ def build_features(events: DataFrame, artists: DataFrame, metrics: DataFrame, co
     ``events``: event_id, artist_id, venue_name, city, country, event_date, price_min, price_max.
     Each source is reduced to one row per artist, city or venue before it meets the events.
     """
+    concerts = cut_lineage(concert_summary(concerts))
     t = resolve_inputs(events, venues, concerts)
     t = price_position(venue_performance(city_demand(t, concerts, demo), concerts, venues), concerts)
     t = (

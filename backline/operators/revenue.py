@@ -64,7 +64,9 @@ def training_frame(concerts: DataFrame, metrics: DataFrame, artists: DataFrame,
     all concerts.  ``cross_score='velocity'`` keeps the older training-only definition.
     """
     rows = price_range(concerts.where("total_revenue > 0 and capacity > 0")).withColumnsRenamed({"demand_score": "stored_demand", "capacity": "venue_capacity"})
-    df = demand.concert_features(rows.drop("avg_ticket_price")).join(artist_summary(training_metrics(metrics, artists, as_of)), "artist_id")
+    # the history is put together once and read by each part of the summary
+    history = cut_lineage(training_metrics(metrics, artists, as_of))
+    df = demand.concert_features(rows.drop("avg_ticket_price")).join(artist_summary(history), "artist_id")
     stored = F.col("stored_demand")
     df = df.withColumn("demand_score", F.when(stored > 0, stored.cast("double")).otherwise(clamp(F.col("social_velocity") * 100.0, 5, 95)))
     if cross_score == "velocity":

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from backline.llm.common import store
@@ -43,7 +44,7 @@ WINDOW, STEP = 4, 2
 MAX_LABELLED = 20_000
 NEGATIVES = 12_000
 LANDMARKS = 384
-BASIS = 400
+BASIS = 1_000
 ROUNDS = 3
 LETTERS = 62  # the most frequent characters have a number of their own; 62 is any other, 63 a word's end
 REMEMBERED = 500_000
@@ -125,29 +126,39 @@ def features(alphabet: Alphabet, words: list[str]) -> tuple[np.ndarray, np.ndarr
     return word, keys % 64**3, total / size[word]
 
 
+def _power(x: np.ndarray, n: int) -> np.ndarray:
+    out = x
+    for _ in range(n - 1):
+        out = out * x
+    return out
+
+
 class WordKernel:
-    """Powered kernel of any words with a fixed list of words."""
+    """Powered kernel of any words with a fixed list of words, kept as the list's words by subsequence."""
 
     def __init__(self, alphabet: Alphabet, words: list[str]):
         self.alphabet, self.words, self.power = alphabet, words, POWER
         owner, terms, weights = features(alphabet, words)
-        self.terms, column = np.unique(terms, return_inverse=True)
-        self.table = np.zeros((len(self.terms) + 1, len(words)), np.float32)  # the last row is for unknown subsequences
-        self.table[column, owner] = weights
+        order = np.argsort(terms, kind="stable")
+        self.terms, first = np.unique(terms[order], return_index=True)
+        self.bounds = np.append(first, len(terms))
+        self.owner, self.weights = owner[order].astype(np.int32), weights[order].astype(np.float32)
 
     def of(self, words: list[str], then: np.ndarray) -> np.ndarray:
         """Kernel values of ``words`` with the list, times ``then``."""
         out = np.zeros((len(words), then.shape[1]), np.float32)
+        n = len(self.words)
         for low in range(0, len(words), 200):
-            owner, terms, weights = features(self.alphabet, words[low : low + 200])
+            part = words[low : low + 200]
+            owner, terms, weights = features(self.alphabet, part)
             at = np.searchsorted(self.terms, terms)
             at[at == len(self.terms)] = 0
             hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-            owner, at, weights = owner[hit], at[hit], weights[hit].astype(np.float32)
-            if len(owner):
-                starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                values = np.add.reduceat(self.table[at] * weights[:, None], starts, axis=0)
-                out[low + owner[starts]] = np.minimum(values, 1) ** self.power @ then
+            owner, at, weights = owner[hit], at[hit], weights[hit]
+            many = self.bounds[at + 1] - self.bounds[at]
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.bounds[at], many)
+            values = np.bincount(np.repeat(owner * n, many) + self.owner[inside], np.repeat(weights, many) * self.weights[inside], len(part) * n)
+            out[low : low + 200] = _power(np.minimum(values, 1).astype(np.float32).reshape(len(part), n), self.power) @ then
         return out
 
 
@@ -302,12 +313,16 @@ def _hash(*parts: object) -> int:
 
 
 def _marks_of(text: str) -> set[int]:
-    """Hashes of the words and word pairs of a text's windows."""
-    return {_hash(w) for s in windows(text) for w in s} | {_hash(*p) for s in windows(text) for p in pairs(s)}
+    """Hashes of the words of a text and of the pairs of words that follow each other."""
+    return {m for s in sentences(text) for m in _marks(s)}
+
+
+def _marks(words: list[str] | Window) -> list[int]:
+    return [*(_hash(w) for w in words), *(_hash(x, y) for x, y in zip(words, words[1:]))]
 
 
 def first_choice(sample: DataFrame) -> DataFrame:
-    """(doc, window, n): of each toxic document the window whose rarest word or pair among clean documents counts most."""
+    """(doc, window, n): of each toxic document the window with the word or pair that is likeliest in toxic documents."""
     spark = sample.sparkSession
 
     def hashes(wanted):
@@ -324,15 +339,16 @@ def first_choice(sample: DataFrame) -> DataFrame:
     toxic = store(toxic, "toxic-marks").toPandas()  # marks of two documents or more; bounded by the labelled sample
     wanted = spark.sparkContext.broadcast(np.sort(toxic["mark"].to_numpy(np.int64)))
     clean = sample.where("toxic = 0").select("text").mapInArrow(hashes(wanted), "mark long").groupBy("mark").agg(F.count("*").alias("c")).toPandas()
-    odds = toxic.merge(clean, "left", on="mark").fillna({"c": 0})
-    score = spark.sparkContext.broadcast(dict(zip(odds["mark"].tolist(), np.log((odds["t"] + 0.5) / (odds["c"] + 0.5)).tolist())))
+    odds = toxic.merge(clean, "left", on="mark").fillna({"c": 0}).sort_values("mark")
+    rate = np.log((odds["t"] + 0.5) / (odds["c"] + 0.5)).to_numpy()
+    score = spark.sparkContext.broadcast((odds["mark"].to_numpy(np.int64)[rate > 0], rate[rate > 0].astype(np.float32)))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = score.value
+        rate = dict(zip(*(x.tolist() for x in score.value)))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = max(windows(text), key=lambda s: max(max(rate.get(_hash(w), 0.0) for w in s), max((rate.get(_hash(*p), 0.0) for p in pairs(s)), default=0.0)), default=None)
+                best = max(windows(text), key=lambda s: max(rate.get(m, 0.0) for m in _marks(s)), default=None)
                 if best:
                     rows.append((doc, " ".join(best)))
             if rows:
@@ -341,9 +357,8 @@ def first_choice(sample: DataFrame) -> DataFrame:
     return sample.where("toxic = 1").select("doc", "text").mapInArrow(choose, "doc string, window string")
 
 
-def best_windows(docs: DataFrame, model: Model, id_col: str) -> DataFrame:
-    """(id, margin, window) of every row: the margin of the text's best window, and the window."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def best_windows(docs: DataFrame, sent: Broadcast, id_col: str) -> DataFrame:
+    """(id, margin, window) of every row: the margin of the text's best window under the broadcast model, and the window."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
@@ -394,7 +409,7 @@ def _clean_windows(sample: DataFrame, n: int) -> list[Window]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The fitted model, or the share of toxic labels if there is only one class (0 without labels)."""
-    sample = store(labelled_texts(docs, labels), "labelled")
+    sample = store(labelled_texts(docs, labels), "labelled", compression="zstd")
     classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return float(max(classes, default=0))
@@ -413,9 +428,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         marks = list(dict.fromkeys(marks + hard[: LANDMARKS // 4] + clean))[: len(marks) + LANDMARKS // 2]
         return fit(alphabet, marks, toxic, list(dict.fromkeys(clean + hard)))
 
+    def rated(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(model)
+        out = store(best_windows(rows, sent, id_col), "best")
+        sent.destroy()
+        return out
+
     def highest(rows: DataFrame, model: Model) -> tuple[list[Window], list[Window]]:
         """The best window of each toxic document, and the best ones of the clean documents."""
-        best = store(best_windows(rows.withColumn("doc", F.concat("toxic", "doc")), model, "doc"), "best").where("window <> ''")
+        best = rated(rows.withColumn("doc", F.concat("toxic", "doc")), model, "doc").where("window <> ''")
         toxic = best.where("id like '1%'").orderBy("id").collect()
         top = best.where("id like '0%'").groupBy("window").agg(F.max("margin").alias("margin")).orderBy(F.desc("margin"), "window").limit(NEGATIVES // 3).collect()
         return [tuple(r.window.split(" ")) for r in toxic], [tuple(r.window.split(" ")) for r in top]
@@ -425,10 +446,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         chosen, top = highest(seen, model)
         hard = list(dict.fromkeys(top + hard))[: NEGATIVES // 2]
         model = fitted()
-    rated = best_windows(sample.where("not seen"), model, "toxic").select("id", "margin").toPandas()
-    if rated["id"].nunique() < 2:  # too few to set some aside
-        rated = best_windows(sample, model, "toxic").select("id", "margin").toPandas()
-    model.slope, model.shift = _logistic(rated["margin"].to_numpy(float), rated["id"].to_numpy(float))
+    apart = rated(sample.where("not seen"), model, "toxic").select("id", "margin").toPandas()
+    if apart["id"].nunique() < 2:  # too few to set some aside
+        apart = rated(sample, model, "toxic").select("id", "margin").toPandas()
+    model.slope, model.shift = _logistic(apart["margin"].to_numpy(float), apart["id"].to_numpy(float))
     return model
 
 
@@ -438,5 +459,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if isinstance(model, float):
         scored = docs.select("doc_id", F.lit(None).cast("double").alias("margin"), F.lit(model).alias("score"), F.lit(None).cast("string").alias("window"))
     else:
-        scored = best_windows(docs, model, "doc_id").withColumnRenamed("id", "doc_id").withColumn("score", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift))))
+        scored = best_windows(docs, docs.sparkSession.sparkContext.broadcast(model), "doc_id").withColumnRenamed("id", "doc_id").withColumn("score", 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift))))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin", "window")

@@ -27,6 +27,7 @@ read; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +48,9 @@ LANDMARKS = 384
 BASIS = 1_000
 ROUNDS = 3
 LETTERS = 62  # the most frequent characters have a number of their own; 62 is any other, 63 a word's end
-REMEMBERED = 500_000
+# Words whose value a worker remembers across its tasks (about 150 MB); the memory starts anew beyond it.
+REMEMBERED = 1_000_000
+_values: dict[str, dict[str, float]] = {}
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -357,13 +360,21 @@ def first_choice(sample: DataFrame) -> DataFrame:
     return sample.where("toxic = 1").select("doc", "text").mapInArrow(choose, "doc string, window string")
 
 
+def _remembered(model: str) -> dict[str, float]:
+    """The values of words under a model; those of other models are forgotten."""
+    if model not in _values:
+        _values.clear()
+        _values[model] = {}
+    return _values[model]
+
+
 def best_windows(docs: DataFrame, sent: Broadcast, id_col: str) -> DataFrame:
     """(id, margin, window) of every row: the margin of the text's best window under the broadcast model, and the window."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
+    id_type, name = source.schema["id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, value = sent.value, {}
+        model, value = sent.value, _remembered(name)
         nothing = model.bias
         for batch in batches:
             for low in range(0, batch.num_rows, 200):

@@ -230,7 +230,7 @@ _MATCH = "segment long, ord int, item string, kind string, starts array<int>, le
 
 
 def find_matches(
-    index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, item_col: str = "item_id", text_col: str = "text", slice_bytes: int = 8 << 20
+    index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, item_col: str = "item_id", text_col: str = "text", slice_bytes: int = 1 << 20
 ) -> DataFrame | None:
     """Rows (segment, ord, item, kind, starts, length): where phrases of an item occur in a document.
 
@@ -276,7 +276,7 @@ def _sorted_items(items: Column) -> Column:
     return F.sort_array(F.array_distinct(items))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", slice_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: (id, n_words, n_hit, items, near_items).
 
     n_hit counts the words inside any occurrence of a phrase; ``items`` are the ids, as sorted strings, of

@@ -45,6 +45,16 @@ def contained_pairs(small: DataFrame, big: DataFrame, block: list[str] | None =
     return rare.join(pool, key).where(F.contains("b_text", "a_text")).select(*block, "a", "b")
 
 
+def contained_in_blocks(small: DataFrame, big: DataFrame, block: list[str]) -> DataFrame:
+    """``contained_pairs`` for many blocks: texts of a block of few are compared as they are, those of a large one by grams."""
+    few = 64
+    size = big.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
+    direct = small.join(big.join(size.where(F.col("size") <= few).drop("size"), block), block).where(F.contains("b_text", "a_text"))
+    large = size.where(F.col("size") > few).drop("size")
+    by_gram = contained_pairs(small.join(large, block, "left_semi"), big.join(large, block, "left_semi"), block)
+    return direct.select(*block, "a", "b").unionByName(by_gram)
+
+
 def match_artist(events: DataFrame, artists: DataFrame, name: str = "artist_name") -> DataFrame:
     """Each distinct event name with its artist: equal, or one name contains the other.
 
@@ -135,6 +145,14 @@ def _around(df: DataFrame, day: str = "d") -> DataFrame:
     return df.withColumn("day", F.explode(F.array(F.date_add(day, -1), F.col(day), F.date_add(day, 1))))
 
 
+def _with_neighbours(concerts: DataFrame) -> DataFrame:
+    """The concerts that have another one of their artist at most a day away; no other can be a duplicate."""
+    slim = cut_lineage(concerts.where("concert_date is not null").select("concert_id", "artist_id", "concert_date", "city", "venue_name"))
+    days = slim.groupBy("artist_id", F.col("concert_date").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    met = _around(days).groupBy("artist_id", F.col("day").alias("concert_date")).agg(F.sum("n").alias("n")).where("n > 1")
+    return slim.join(met, ["artist_id", "concert_date"], "left_semi")
+
+
 def duplicate_edges(concerts: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, whose connected groups are the concerts likely to be the same show.
 
@@ -144,7 +162,7 @@ def duplicate_edges(concerts: DataFrame) -> DataFrame:
     class (equal venue, equal leading word, empty venue), every member is tied to one member of
     the other class instead of to all, so edges grow with the rows and the groups stay the same.
     """
-    rows = cut_lineage(_signatures(concerts))  # read by every branch below
+    rows = cut_lineage(_signatures(_with_neighbours(concerts)))  # read by every branch below
     sig = rows.groupBy("artist_id", F.col("concert_date").alias("d"), "c", "v").agg(F.min("concert_id").alias("id"))
     sig = cut_lineage(sig)
     known, open_ = sig.where("c <> ''"), sig.where("c = ''")
@@ -179,7 +197,7 @@ def duplicate_edges(concerts: DataFrame) -> DataFrame:
     def inside(small: DataFrame, big: DataFrame, block: list[str]) -> DataFrame:
         s = _around(small.where("v <> ''")).select(*block, F.col("id").alias("a"), F.col("v").alias("a_text"))
         g = big.where("v <> ''").withColumnRenamed("d", "day").select(*block, F.col("id").alias("b"), F.col("v").alias("b_text"))
-        return _edges(contained_pairs(s, g, block), "a", "b")
+        return _edges(contained_in_blocks(s, g, block), "a", "b")
 
     out += [inside(known, known, ["artist_id", "day", "c"]), inside(known, open_, ["artist_id", "day"]), inside(open_, known, ["artist_id", "day"])]
     pairs = cut_lineage(reduce(DataFrame.unionByName, out).distinct())
@@ -259,7 +277,7 @@ def greedy_duplicates(concerts: DataFrame) -> DataFrame:
     known, open_, near = nodes.where("c <> ''"), nodes.where("c = ''"), ["artist_id", "day"]
     out = []
     for small, big, block in ((known, known, [*near, "c"]), (known, open_, near), (open_, known, near)):
-        found = contained_pairs(texts(_around(small), "a", block), texts(big.withColumn("day", F.col("d")), "b", block), block)
+        found = contained_in_blocks(texts(_around(small), "a", block), texts(big.withColumn("day", F.col("d")), "b", block), block)
         out.append(_edges(found, "a", "b"))
     pairs = reduce(DataFrame.unionByName, out).distinct()
     inside = cut_lineage(pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))))

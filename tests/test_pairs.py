@@ -22,6 +22,24 @@ def test_contained_pairs_against_all_pairs(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t}
 
 
+def test_contained_in_blocks_small_and_large(spark):
+    rng = random.Random(3)
+    words = ["arena", "royal", "hall", "ub", "a", "metro", "the o2", "club", "garden", "x"]
+    texts = list({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(120)})
+    rows = [(0, i, t) for i, t in enumerate(texts)] + [(1 + i % 30, 1000 + i, t) for i, t in enumerate(texts)]
+    assert sum(r[0] == 0 for r in rows) > 64  # beyond the bound of a block that is compared as it is
+    small = spark.createDataFrame(rows, "day long, a long, a_text string")
+    got = [(r.day, r.a, r.b) for r in pairs.contained_in_blocks(small, small.toDF("day", "b", "b_text"), ["day"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, i, j) for k, i, s in rows for h, j, t in rows if k == h and s in t}
+
+
+def test_only_concerts_with_a_neighbour_are_paired(spark):
+    d = dt.date(2024, 1, 1)
+    rows = [(1, 1, d), (2, 1, d + dt.timedelta(1)), (3, 1, d + dt.timedelta(3)), (4, 2, d), (5, 3, d), (6, 3, d), (7, 1, None), (8, None, d), (9, None, d)]
+    df = spark.createDataFrame([(*r, "Pune", "Dome") for r in rows], "concert_id long, artist_id long, concert_date date, city string, venue_name string")
+    assert {r.concert_id for r in pairs._with_neighbours(df).collect()} == {1, 2, 5, 6}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 52)], "a long, b long")
     got = {r.node: r.root for r in pairs.components(e).collect()}

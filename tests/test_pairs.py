@@ -141,6 +141,13 @@ def test_scored_duplicates_against_all_pairs(spark):
     assert want and got == want
 
 
+def test_common_words_pair_nothing(spark):
+    rows = [(f"e{i:03d}", "SONGKICK", None, f"Customer {1000 + i}", "Live", f"Royal Arena {i % 5}", "Pune", "India", "2024-01-01", 0.5) for i in range(40)]
+    e = normalize.normalize_events(spark.createDataFrame(rows, EVENT)).withColumn("event_id", F.col("source_event_id")).cache()
+    # two artists of two words that share one cannot reach the score, however equal the rest
+    assert pairs.candidate_pairs(e, e).count() == 0
+
+
 def test_resolution_does_not_depend_on_row_order(spark):
     e = events(spark)
     one = {(r.event_id, r.target, r.action) for r in pairs.resolve_events(e).select("event_id", "target", "action").collect()}

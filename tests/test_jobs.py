@@ -150,6 +150,20 @@ def test_plans_keep_rules(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
 
 
+def test_summary_needs_four_days_of_a_made_history(spark):
+    from backline.operators import revenue
+
+    seeds = [0, 1, 7, 49, 130, 999, 10_001, 100_003, 540_000, 2_170_000, 3_000_001]
+    rows = [(i, True, s, seeds[-1 - i], None, s * 3, 1) for i, s in enumerate(seeds)] + [(50, True, None, 0, None, None, 0), (51, False, 5, 5, 5, 5, 5)]
+    artists = spark.createDataFrame(rows, "artist_id long, active boolean, spotify_listeners long, youtube_subscribers long, instagram_followers long, facebook_followers long, twitter_followers long")
+    ddl = "artist_id long, platform string, date date, followers long, streams long, views long, likes long, comments long, shares long"
+    none = spark.createDataFrame([], ddl)
+    made = revenue.training_metrics(none, artists, "2024-03-01", revenue.SUMMARY_DAYS)
+    assert made.groupBy("artist_id", "platform").count().agg({"count": "max"}).first()[0] == 4
+    got = {tuple(r) for r in revenue.artist_summary(made).collect()}
+    assert got == {tuple(r) for r in revenue.artist_summary(revenue.training_metrics(none, artists, "2024-03-01")).collect()} and len(got) == 12
+
+
 def test_growth_report_agrees_with_its_parts(spark):
     pm = Views(spark, SF).metrics_long
     report = series.growth_report(pm, with_breakpoints=False)

@@ -149,3 +149,38 @@ def test_artists_by_hand(spark, title, artist):
 @pytest.mark.parametrize("venue,key", [("NSCI Dome, Mumbai", "NSCI Dome"), ("Dome - INDIA", "Dome"), ("Mumbai", "Mumbai"), ("Hall  of   Fame", "Hall of Fame"), ("Delhi Hall, Pune", "Delhi Hall, Pune"), (None, "")])
 def test_venues_by_hand(spark, venue, key):
     assert spark.range(1).select(normalize.venue_key(F.lit(venue).cast("string"))).first()[0] == key
+
+
+def test_series_of_any_length_share_a_task(spark):
+    """Holt, break dates and the report: the series of a task go to Python as arrays, and each keeps its own result."""
+    rng = np.random.default_rng(5)
+    start = dt.date(2020, 1, 1)
+    rows = [(a, "spotify", start + dt.timedelta(days=d), float(x)) for a, n in enumerate([1, 2, 3, 13, 14, 40, 200, 600, 0]) for d, x in enumerate(np.cumsum(rng.normal(size=n)) * 50 + 1000 * (np.arange(n) > n // 2))]
+    df = spark.createDataFrame(rows, "artist_id long, platform string, date date, x double")
+    holt, cuts = series.forecast_holt(df), series.breakpoints(df)
+    for plan in (holt, cuts):
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+    together = {r.artist_id: tuple(r)[2:] for r in holt.collect()}
+    found = {(r.artist_id, r.date) for r in cuts.collect()}
+    for a in (0, 1, 2, 3, 6, 7):
+        alone = df.where(df.artist_id == a)
+        assert together[a] == tuple(series.forecast_holt(alone).first())[2:]
+        s = pd.Series([r[3] for r in rows if r[0] == a]).ewm(alpha=0.3, adjust=False).mean().to_numpy()
+        want = [start + dt.timedelta(days=c) for c in (series.change_points(s, 5.0) if len(s) >= 14 else [])]
+        assert sorted(d for i, d in found if i == a) == want
+    metrics = df.selectExpr("artist_id", "platform", "date", "case when artist_id <> 2 then x end as streams", "0.0 as views", "0.0 as followers")
+    report = series.growth_report(metrics)
+    assert report._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = {r.artist_id: r for r in report.collect()}
+    assert set(got) == set(range(8)) and got[2].platforms is None and got[2].cross_platform_score == 50.0 and got[2].breakpoints == []
+    assert {(a, dt.date.fromisoformat(d)) for a, r in got.items() for d in r.breakpoints} == found
+
+
+def test_short_and_long_segmentation_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n in (14, 15, 63, 300, 512):
+        x = np.repeat(rng.normal(size=n // 7 + 1) * 9, 7)[:n] + rng.normal(size=n)
+        with monkeypatch.context() as m:
+            m.setattr(series, "_SHORT", 0)
+            want = series.change_points(x, 1.0)
+        assert series.change_points(x, 1.0) == want

@@ -6,6 +6,8 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+from backline.functions.lookup import once
+
 # --- fixed values: words dropped from names, by use ---------------------------------------
 EVENT_STOP_WORDS = ["the", "official", "live", "concert", "tour", "show", "band", "presents"]
 ARTIST_STOP_WORDS = ["the", "official", "live", "band"]
@@ -83,17 +85,16 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return overlap(tokens(a), tokens(b))
+    return once(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda t: overlap(t.a, t.b))
 
 
 def artist_match(expected: Column, actual: Column) -> Column:
     """1 for equal names, 0.86 when one contains the other, else token overlap."""
-    a, b = artist_name_key(expected), artist_name_key(actual)
     toks = lambda k: F.filter(F.array_distinct(F.split(k, " ")), lambda t: t != "")
-    return (
-        F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0)
-        .when(a.contains(b) | b.contains(a), 0.86).otherwise(overlap(toks(a), toks(b)))
-    )
+    shared = lambda k: once(F.struct(toks(k.a).alias("a"), toks(k.b).alias("b")), lambda t: overlap(t.a, t.b))
+    empty = lambda k: F.coalesce(k, F.lit("")) == ""
+    keys = F.struct(artist_name_key(expected).alias("a"), artist_name_key(actual).alias("b"))
+    return once(keys, lambda k: F.when(empty(k.a) | empty(k.b), 0.0).when(k.a == k.b, 1.0).when(k.a.contains(k.b) | k.b.contains(k.a), 0.86).otherwise(shared(k)))
 
 
 def date_similarity(a: Column, b: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from backline.functions.lookup import once
+
 # --- fixed values: patterns ---------------------------------------------------------------
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DAY_MONTH_YEAR = rf"(?i)(\d{{1,2}})\s+({MONTHS})\w*[\s,]+(\d{{4}})"
@@ -14,10 +16,9 @@ CLOCK = r"(\d{1,2}:\d{2}\s*(?:AM|PM|am|pm))"
 
 
 def _date(text: Column, pattern: str, d: int, m: int, year: Column | int) -> Column:
-    day, mon = F.regexp_extract(text, pattern, d), F.regexp_extract(text, pattern, m)
-    y = F.regexp_extract(text, pattern, year) if isinstance(year, int) else year
-    joined = F.concat_ws(" ", day, F.initcap(mon), y)
-    return F.try_to_timestamp(F.when(mon != "", joined), F.lit("d MMM yyyy")).cast("date")
+    rest = lambda mon: F.concat_ws(" ", F.regexp_extract(text, pattern, d), F.initcap(mon), F.regexp_extract(text, pattern, year) if isinstance(year, int) else year)
+    joined = once(F.regexp_extract(text, pattern, m), lambda mon: F.when(mon != "", rest(mon)))
+    return F.try_to_timestamp(joined, F.lit("d MMM yyyy")).cast("date")
 
 
 def date_from_text(text: Column, as_of: str, min_year: int = 2025, yearless: bool = True) -> Column:
@@ -26,14 +27,18 @@ def date_from_text(text: Column, as_of: str, min_year: int = 2025, yearless: boo
     Dates with a year must be ``min_year`` or later.  Without a year the year of ``as_of`` is
     taken, moved one year on unless that day is still to come.
     """
-    full = [_date(text, DAY_MONTH_YEAR, 1, 2, 3), _date(text, MONTH_DAY_YEAR, 2, 1, 3)]
-    found = [F.when(F.year(d) >= min_year, d) for d in full]
-    if yearless:
-        day = F.lit(as_of).cast("date")
-        year = F.year(day).cast("string")
-        for d in (_date(text, DAY_MONTH, 1, 2, year), _date(text, MONTH_DAY, 2, 1, year)):
-            found.append(F.when(d <= day, F.add_months(d, 12)).otherwise(d))
-    return F.coalesce(*found)
+
+    def first(text: Column) -> Column:
+        full = [_date(text, DAY_MONTH_YEAR, 1, 2, 3), _date(text, MONTH_DAY_YEAR, 2, 1, 3)]
+        found = [once(x, lambda d: F.when(F.year(d) >= min_year, d)) for x in full]
+        if yearless:
+            day = F.lit(as_of).cast("date")
+            year = F.year(day).cast("string")
+            for x in (_date(text, DAY_MONTH, 1, 2, year), _date(text, MONTH_DAY, 2, 1, year)):
+                found.append(once(x, lambda d: F.when(d <= day, F.add_months(d, 12)).otherwise(d)))
+        return F.coalesce(*found)
+
+    return once(text, first)
 
 
 def price_from_text(text: Column, marks: str = "₹$£€") -> Column:

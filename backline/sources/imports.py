@@ -185,7 +185,9 @@ def search_results_to_events(payloads: DataFrame, source: str, as_of: str, colum
         *keep, F.trim(name).alias("event_name"), place["venue_name"].alias("venue_name"), place["city"].alias("city"), land.alias("country"),
         day(both).alias("concert_date"), dates.price_from_text(both, marks).alias("price_min"), link.alias("source_url"),
     )
-    out = events.unionByName(organic).where("concert_date is not null").withColumn("source", F.lit(source))
+    # as plain columns the filter would read each date a second time
+    found = lambda df: df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*").where("concert_date is not null")
+    out = found(events).unionByName(found(organic)).withColumn("source", F.lit(source))
     if source == "songkick":
         return out.withColumn("currency", F.when(F.lower("country").contains("india"), "INR").otherwise("USD"))
     return out.withColumn("currency", F.lit("INR"))

@@ -178,3 +178,24 @@ def test_upsert_twice_is_once(spark):
     twice = tables.upsert(once, delta, ["k"], merge)
     want = {(1, 10, "a"), (2, 20, "b"), (3, 30, None)}
     assert {tuple(r) for r in once.collect()} == want == {tuple(r) for r in twice.collect()}
+
+
+def test_vectors_are_fetched_only_for_pairs_that_can_reach_the_threshold(spark):
+    """Names are compared before the vectors are joined; words are made per event, not per pair; the scores stay."""
+    rows = [(i, f"Artist {i % 3} Group", f"Hall {i % 5} North", "Pune" if i % 7 else "Delhi", dt.date(2024, 1, 1 + i % 3), {1: 0.6, 2 + i % 2: 0.8}) for i in range(24)]
+    ev = spark.createDataFrame(rows, "event_id long, artist_name string, venue_name string, city string, event_date date, embedding map<int,double>")
+    both = ev.select("event_id").crossJoin(ev.select(F.col("event_id").alias("canon_id"))).where("event_id <> canon_id")
+    scored = pairs.score_duplicates(both, ev, ev)
+    joins = [line for line in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert sum("Inner" in line for line in joins) == 4
+    got = {(r.event_id, r.canon_id): r.similarity for r in scored.collect()}
+    jac = lambda a, b: len(set(a.lower().split()) & set(b.lower().split())) / len(set(a.lower().split()) | set(b.lower().split()))
+    want = {}
+    for a in rows:
+        for b in rows:
+            gap = abs((a[4] - b[4]).days)
+            cos = sum(w * b[5].get(k, 0.0) for k, w in a[5].items())
+            s = 0.42 * cos + 0.22 * jac(a[1], b[1]) + 0.18 * jac(a[2], b[2]) + 0.1 * jac(a[3], b[3]) + 0.08 * (1.0, 0.9, 0.65)[gap]
+            if a[0] != b[0] and s >= 0.86 - 4e-5:
+                want[a[0], b[0]] = round(s, 3)
+    assert got.keys() == want.keys() and len(want) > 10 and all(abs(got[k] - want[k]) < 1e-3 for k in want)

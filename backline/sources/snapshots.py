@@ -16,16 +16,19 @@ There is one writer at a time: a second one that adds the same version number fa
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from backline.session import cut_lineage
-from backline.sources.merging import upsert
+from backline.session import checkpoint_dir
+from backline.sources.merging import upsert, upsert_placed
 
 BUCKETS = 64
+SLOT = 8 << 20  # bytes of Parquet; a larger part is divided over tasks when an upsert writes it again
 
 
 @dataclass(frozen=True)
@@ -91,24 +94,63 @@ class StoredTable:
         Columns that the delta lacks keep their values, columns that are new are null in the other rows;
         ``merge[c](new, old)`` decides between two values, otherwise the new one counts.
         """
-        delta = cut_lineage(delta)
-        touched = self.parts_of(delta)
-        now = self.version()
-        if not touched:
-            return now.number if now else 0
-        merged, schema = delta, delta.schema
-        if now is not None:
-            more = [f for f in delta.schema.fields if f.name not in now.schema.fieldNames()]
-            schema = T.StructType([*now.schema.fields, *more])
-            old = self._rows(now, touched).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
-            merged = upsert(old, delta, self.key, merge)
-        write = uuid.uuid4().hex
+        now, write = self.version(), uuid.uuid4().hex
+        if now is None:
+            self._write(delta, write)
+            touched = [p.getName().removeprefix("__part=") for p in self._paths(f"data/{write}") if p.getName().startswith("__part=")]
+            if touched:
+                self._commit(1, delta.schema, {p: write for p in touched})
+            return 1 if touched else 0
+        # read for the parts it touches and again for its rows: compressed files, not a checkpoint of uncompressed rows
+        staged = f"{checkpoint_dir(self.spark)}/delta-{write}"
+        delta.write.parquet(staged)
+        try:
+            return self._lay_over(now, self.spark.read.schema(delta.schema).parquet(staged), staged, write, merge)
+        finally:
+            self._remove(staged)
+
+    def _lay_over(self, now: Version, delta: DataFrame, staged: str, write: str, merge: Mapping | None) -> int:
+        counts = {r["p"]: r["count"] for r in delta.groupBy(self.part.alias("p")).count().collect()}
+        if not counts:
+            return now.number
+        more = [f for f in delta.schema.fields if f.name not in now.schema.fieldNames()]
+        schema = T.StructType([*now.schema.fields, *more])
+        old = self._rows(now, list(counts)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
+        if self._keyed(delta):
+            placed = upsert_placed(old, delta, self.key, {"__part": self.part, "__slot": self._slot(now, counts, staged)}, merge)
+            placed.drop("__slot").write.partitionBy("__part").parquet(f"{self.path}/data/{write}")
+        else:
+            self._write(upsert(old, delta, self.key, merge), write)
+        self._commit(now.number + 1, schema, now.parts | {p: write for p in counts})
+        return now.number + 1
+
+    def _write(self, rows: DataFrame, write: str) -> None:
         # parts of any size: large ones are divided over tasks, small ones share a task
-        placed = merged.withColumn("__part", self.part).hint("rebalance", "__part")
-        placed.write.partitionBy("__part").parquet(f"{self.path}/data/{write}")
-        number = now.number + 1 if now else 1
-        self._commit(number, schema, (now.parts if now else {}) | {p: write for p in touched})
-        return number
+        rows.withColumn("__part", self.part).hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{self.path}/data/{write}")
+
+    def _keyed(self, delta: DataFrame) -> bool:
+        """Whether the part follows from the key, so that a row stays in its part whatever is laid over it."""
+        try:
+            return bool(delta.select(*self.key).select(self.part).schema)
+        except AnalysisException:
+            return False
+
+    def _slot(self, now: Version, counts: Mapping[str, int], staged: str) -> Column:
+        """The key's slot in its part: a part has one for every ``SLOT`` bytes of its old files and its share of the new ones."""
+        each = self._bytes(staged) / sum(counts.values())
+        size = {p: n * each + (self._bytes(f"{self.path}/data/{now.parts[p]}/__part={p}") if p in now.parts else 0) for p, n in counts.items()}
+        slots = [x for p, b in sorted(size.items()) if b > SLOT for x in (F.lit(p), F.lit(math.ceil(b / SLOT)))]
+        if not slots:
+            return F.lit(0)
+        return F.pmod(F.hash(*self.key), F.coalesce(F.try_element_at(F.create_map(*slots), self.part), F.lit(1)))
+
+    def _bytes(self, folder: str) -> int:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+    def _remove(self, folder: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def forget(self, parts: Sequence[str]) -> None:
         """A new version without the given parts."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from backline.operators import series
-from backline.sources import tables
+from backline.sources import merging, snapshots, tables
 from backline.sources.snapshots import StoredTable, by_month
 from backline.streaming import metrics as stream
 
@@ -186,3 +186,24 @@ def test_running_anomalies_equal_the_batch(spark, tmp_path):
             batch, r = series.anomalies(frame).first(), got[artist, mine[upto - 1][0]]
             assert (r.points, r.anomaly) == (batch.points, batch.anomaly) and math.isclose(r.residual, batch.last_residual, abs_tol=1e-4)
     assert {k for k, r in got.items() if r.anomaly} >= {(1, 40), (2, 25)}
+
+
+def test_upsert_moves_rows_once_and_divides_large_parts(spark, tmp_path, monkeypatch):
+    old = frame(spark, [(f"k{i}" if i else None, None if i % 7 == 0 else "g", i) for i in range(300)])
+    new = frame(spark, [(f"k{i}" if i else None, None if i % 7 == 0 else "g", f"n{i}") for i in range(0, 400, 3)], "k string, g string, note string")
+    base = old.withColumn("note", F.lit(None).cast("string"))
+    place = {"__part": F.pmod(F.xxhash64("k", "g"), F.lit(2)).cast("string")}
+    placed = merging.upsert_placed(base, new, ["k", "g"], place)
+    assert rows_of(placed.drop("__part")) == rows_of(merging.upsert(base, new, ["k", "g"]))
+    assert placed._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert placed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    # every part has many slots, staged deltas are gone, no row is lost or doubled
+    monkeypatch.setattr(snapshots, "SLOT", 100)
+    monkeypatch.setattr(snapshots, "checkpoint_dir", lambda _: str(tmp_path / "staged"))
+    table = StoredTable(spark, str(tmp_path / "t"), ["k", "g"], buckets=2)
+    table.upsert(old)
+    table.upsert(new)
+    table.upsert(new.where("k < 'k2'").withColumn("note", F.lit("last")))
+    want = merging.upsert(merging.upsert(base, new, ["k", "g"]), new.where("k < 'k2'").withColumn("note", F.lit("last")), ["k", "g"])
+    assert rows_of(table.read()) == rows_of(want)
+    assert not any((tmp_path / "staged").iterdir())

@@ -8,6 +8,7 @@ costs its size, not its square.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,18 +27,24 @@ def _sized(text: str, n: int) -> Column:
     return F.transform(X.grams(F.col(text), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
 
-def contained_pairs(small: DataFrame, big: DataFrame, block: list[str] | None = None) -> DataFrame:
+def gram_sizes(texts: DataFrame, text: str) -> list[int]:
+    """The gram sizes by which the texts are looked up, at most four."""
+    size = F.coalesce(*[F.when(F.length(text) >= n, n) for n in _GRAMS])
+    return [r.n for r in texts.select(size.alias("n")).where("n is not null").distinct().collect()]
+
+
+def contained_pairs(small: DataFrame, big: DataFrame, block: list[str] | None = None, sizes: Sequence[int] = _GRAMS) -> DataFrame:
     """Pairs (a, b) with ``a``'s text inside ``b``'s, within equal ``block`` columns.
 
     ``small``: a, a_text; ``big``: b, b_text; both with the block columns.  Texts are non-empty.
     A text is looked up by its rarest gram of the largest size that fits it; all sizes go through
-    one join, with the size as part of the key.
+    one join, with the size as part of the key.  ``sizes`` may leave out sizes that no small text uses.
     """
-    block = block or []
+    block, sizes = block or [], list(sizes) or _GRAMS
     size = F.length("a_text")
     own = F.coalesce(*[F.when(size >= n, _sized("a_text", n)) for n in _GRAMS])
     mine = small.select(*block, "a", "a_text", F.explode(own).alias("k"))
-    pool = big.select(*block, "b", "b_text", F.explode(F.concat(*[_sized("b_text", n) for n in _GRAMS])).alias("k"))
+    pool = big.select(*block, "b", "b_text", F.explode(F.concat(*[_sized("b_text", n) for n in sizes])).alias("k"))
     key = [*block, "k"]
     pool = pool.join(mine.select(*key).distinct(), key, "left_semi")
     freq = pool.groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
@@ -63,11 +70,12 @@ def match_artist(events: DataFrame, artists: DataFrame, name: str = "artist_name
     """
     squash = lambda c: F.replace(X.event_name_key(c), F.lit(" "), F.lit(""))
     # both lists of distinct names are read several times below
-    ev = cut_lineage(events.select(name).distinct().withColumn("key", squash(F.col(name))).where("key <> ''"))
-    art = cut_lineage(artists.withColumn("art_key", squash(F.col("artist_name"))).where("art_key <> ''").groupBy("art_key").agg(F.min("artist_id").alias("artist_id")))
+    # the key is a generated row: a filter on it would otherwise go below the distinct and clean every event's name
+    ev = cut_lineage(events.select(name).distinct().select(name, F.explode(F.array(squash(F.col(name)))).alias("key")).where("key <> ''"))
+    art = cut_lineage(artists.select("artist_id", F.explode(F.array(squash(F.col("artist_name")))).alias("art_key")).where("art_key <> ''").groupBy("art_key").agg(F.min("artist_id").alias("artist_id")))
     keys = ev.select("key").distinct()
-    a_in_e = contained_pairs(art.select(F.col("art_key").alias("a"), F.col("art_key").alias("a_text")), keys.select(F.col("key").alias("b"), F.col("key").alias("b_text")))
-    e_in_a = contained_pairs(keys.select(F.col("key").alias("a"), F.col("key").alias("a_text")), art.select(F.col("art_key").alias("b"), F.col("art_key").alias("b_text")))
+    a_in_e = contained_pairs(art.select(F.col("art_key").alias("a"), F.col("art_key").alias("a_text")), keys.select(F.col("key").alias("b"), F.col("key").alias("b_text")), sizes=gram_sizes(art, "art_key"))
+    e_in_a = contained_pairs(keys.select(F.col("key").alias("a"), F.col("key").alias("a_text")), art.select(F.col("art_key").alias("b"), F.col("art_key").alias("b_text")), sizes=gram_sizes(ev, "key"))
     pairs = a_in_e.select(F.col("b").alias("key"), F.col("a").alias("art_key")).unionByName(e_in_a.select(F.col("a").alias("key"), F.col("b").alias("art_key")))
     best = pairs.join(art, "art_key").groupBy("key").agg(
         F.min_by("artist_id", F.struct((F.col("key") != F.col("art_key")).alias("o"), (-F.length("art_key")).alias("l"), "artist_id")).alias("artist_id")

@@ -199,3 +199,24 @@ def test_vectors_are_fetched_only_for_pairs_that_can_reach_the_threshold(spark):
             if a[0] != b[0] and s >= 0.86 - 4e-5:
                 want[a[0], b[0]] = round(s, 3)
     assert got.keys() == want.keys() and len(want) > 10 and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_names_are_cleaned_once_and_looked_up_by_the_sizes_in_use(spark, monkeypatch):
+    plans, cut = [], pairs.cut_lineage
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(pairs, "cut_lineage", keep)
+    names = ["Ann Bell", "Q", "Ana", "Zo", "Ann Bell Trio", "Coldwater Kings", "Kings"]
+    events = spark.createDataFrame([(n,) for n in [*names, "Queen Zola", "Ann Bell Trio", "&", ""] * 3], "artist_name string")
+    artists = spark.createDataFrame(list(enumerate(names)), "artist_id long, artist_name string")
+    got = {(r.artist_name, r.artist_id) for r in pairs.match_artist(events, artists).collect()}
+    # nothing below the distinct cleans a name
+    assert "regexp_replace" not in plans[0][plans[0].index("Aggregate"):]
+    assert got == {*((n, i) for i, n in enumerate(names)), ("Queen Zola", 3)}
+    long = spark.createDataFrame([("abcdefgh",)], "t string")
+    assert pairs.gram_sizes(long, "t") == [6] and sorted(pairs.gram_sizes(artists, "artist_name")) == [1, 2, 3, 6]
+    small, big = long.select(F.col("t").alias("a"), F.col("t").alias("a_text")), long.select(F.col("t").alias("b"), F.concat(F.lit("x"), "t").alias("b_text"))
+    assert [tuple(r) for r in pairs.contained_pairs(small, big, sizes=[6]).collect()] == [("abcdefgh", "abcdefgh")]

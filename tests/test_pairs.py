@@ -220,3 +220,25 @@ def test_names_are_cleaned_once_and_looked_up_by_the_sizes_in_use(spark, monkeyp
     assert pairs.gram_sizes(long, "t") == [6] and sorted(pairs.gram_sizes(artists, "artist_name")) == [1, 2, 3, 6]
     small, big = long.select(F.col("t").alias("a"), F.col("t").alias("a_text")), long.select(F.col("t").alias("b"), F.concat(F.lit("x"), "t").alias("b_text"))
     assert [tuple(r) for r in pairs.contained_pairs(small, big, sizes=[6]).collect()] == [("abcdefgh", "abcdefgh")]
+
+
+def test_new_concerts_are_looked_up_in_one_join(spark, monkeypatch):
+    day, plans, cut = dt.date(2024, 1, 5), [], tables.cut_lineage
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(tables, "cut_lineage", keep)
+    ddl = "artist_name string, event_name string, venue_name string, city string, country string, concert_date date, price_min double, price_max double, currency string, source string, source_url string"
+    rest = ("IN", day, 1.0, 2.0, "INR", "s", "")
+    scraped = [("Ann Bell", "show", v, c, *rest) for v in ("Hall", "Club", "", None) for c in ("Pune", "Delhi", None)]
+    artists = spark.createDataFrame([(1, "Ann Bell")], "artist_id long, artist_name string")
+    concerts = spark.createDataFrame(
+        [(5, 1, "Ann Bell", day, "Hall", "Pune"), (6, 1, "Ann Bell", day, None, "Delhi"), (7, 1, "Ann Bell", day, "Hall", None)],
+        "concert_id long, artist_id long, artist_name string, concert_date date, venue_name string, city string")
+    out = tables.insert_new_concerts(spark.createDataFrame(scraped, ddl), concerts, artists)
+    # no row without a venue where the city has a concert, no stored venue; an unknown city equals none
+    want = sorted([("Pune", "Club"), ("Delhi", "Hall"), ("Delhi", "Club"), ("TBA", "Hall"), ("TBA", "Club"), ("TBA", "")])
+    assert sorted((r.city, r.venue_name or "") for r in out.where("concert_id < 0").collect()) == want
+    assert plans[0].count("Join") == 1

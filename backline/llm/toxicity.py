@@ -30,6 +30,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,9 @@ LANDMARKS = 384
 BASIS = 1_000
 ROUNDS = 3
 LETTERS = 62  # the most frequent characters have a number of their own; 62 is any other, 63 a word's end
-# Words whose value a worker remembers across its tasks (about 150 MB); the memory starts anew beyond it.
+# Words, as they are spelled, whose value a worker remembers across its tasks (about 150 MB); the memory starts anew beyond it.
 REMEMBERED = 1_000_000
-_values: dict[str, dict[str, float]] = {}
+_known: dict[str, Known] = {}
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -68,17 +69,35 @@ def sentences(text: str) -> list[list[str]]:
     for part in _SENTENCE_END.split(text.lower()):
         words = part.split()
         if len(words) > 2 and any(len(w) == 1 for w in words):
-            words = _SINGLES.sub(lambda m: "".join(m[0].split()), part).split()
+            words = joined(part)
         if words:
-            out.append([w.strip(_MARKS) or w for w in words])
+            out.append([bare(w) for w in words])
     return out
 
 
+def bare(word: str) -> str:
+    """The word without marks around it; one of marks only stays."""
+    return word.strip(_MARKS) or word
+
+
+def joined(sentence: str) -> list[str]:
+    """The words of a sentence, rows of single characters joined."""
+    return _SINGLES.sub(lambda m: "".join(m[0].split()), sentence).split()
+
+
 def spans(n: int) -> list[tuple[int, int]]:
     """Windows (start, end) of a sentence of n words."""
     return [(0, n)] if n <= WINDOW else [(k, min(k + WINDOW, n)) for k in range(0, n - STEP, STEP)]
 
 
+def all_spans(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, windows a sentence) of ``spans`` for sentences that lie one after the other, by their numbers of words."""
+    first = np.cumsum(lens) - lens
+    many = np.where(lens <= WINDOW, 1, -(-(lens - STEP) // STEP))
+    starts = np.repeat(first, many) + STEP * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    return starts, np.minimum(starts + WINDOW, np.repeat(first + lens, many)), many
+
+
 def windows(text: str) -> list[Window]:
     """Distinct windows of a text, in order."""
     return list(dict.fromkeys(tuple(s[a:b]) for s in sentences(text) for a, b in spans(len(s))))
@@ -122,18 +141,22 @@ def features(alphabet: Alphabet, words: list[str]) -> tuple[np.ndarray, np.ndarr
             weights.append(np.full(len(keys[-1]), DECAY ** (a + b)))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate(weights), len(keys))
-    word = keys // 64**3
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(weights[order], first)
+    keys = keys[first]
+    word = keys >> 18
     size = np.sqrt(np.bincount(word, total * total, len(words)))
-    return word, keys % 64**3, total / size[word]
+    return word, keys & 64**3 - 1, total / size[word]
 
 
 def _power(x: np.ndarray, n: int) -> np.ndarray:
-    out = x
-    for _ in range(n - 1):
-        out = out * x
-    return out
+    if n == 1:
+        return x
+    half = _power(x * x, n // 2)
+    return half * x if n % 2 else half
 
 
 class WordKernel:
@@ -143,25 +166,34 @@ class WordKernel:
         self.alphabet, self.words, self.power = alphabet, words, POWER
         owner, terms, weights = features(alphabet, words)
         order = np.argsort(terms, kind="stable")
-        self.terms, first = np.unique(terms[order], return_index=True)
-        self.bounds = np.append(first, len(terms))
-        self.owner, self.weights = owner[order].astype(np.int32), weights[order].astype(np.float32)
+        known, first = np.unique(terms[order], return_index=True)
+        self.at = np.full(64**3, -1, np.int32)  # the place of a subsequence in ``first``, -1 if no word of the list has it
+        self.at[known] = np.arange(len(known))
+        self.first, self.many = first, np.diff(np.append(first, len(terms)))
+        self.owner, self.weights = owner[order], weights[order].astype(np.float32).astype(float)
 
     def of(self, words: list[str], then: np.ndarray) -> np.ndarray:
         """Kernel values of ``words`` with the list, times ``then``."""
         out = np.zeros((len(words), then.shape[1]), np.float32)
         n = len(self.words)
-        for low in range(0, len(words), 200):
-            part = words[low : low + 200]
+        for low in range(0, len(words), 400):
+            part = words[low : low + 400]
             owner, terms, weights = features(self.alphabet, part)
-            at = np.searchsorted(self.terms, terms)
-            at[at == len(self.terms)] = 0
-            hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-            owner, at, weights = owner[hit], at[hit], weights[hit]
-            many = self.bounds[at + 1] - self.bounds[at]
-            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.bounds[at], many)
-            values = np.bincount(np.repeat(owner * n, many) + self.owner[inside], np.repeat(weights, many) * self.weights[inside], len(part) * n)
-            out[low : low + 200] = _power(np.minimum(values, 1).astype(np.float32).reshape(len(part), n), self.power) @ then
+            at = self.at[terms]
+            hit = np.flatnonzero(at >= 0)
+            owner, weights, many, first = owner[hit], weights[hit], self.many[at[hit]], self.first[at[hit]]
+            for k in range(0, len(part), 100):  # so many words by the list are a table at a time
+                rows = min(100, len(part) - k)
+                a, b = np.searchsorted(owner, (k, k + rows))
+                some = many[a:b]
+                inside = np.repeat(first[a:b] - np.cumsum(some) + some, some)
+                inside += np.arange(len(inside))
+                cells = np.repeat((owner[a:b] - k) * n, some)
+                cells += self.owner.take(inside)
+                each = np.repeat(weights[a:b], some)
+                each *= self.weights.take(inside)
+                values = np.bincount(cells, each, rows * n).astype(np.float32).reshape(rows, n)
+                out[low + k : low + k + rows] = _power(np.minimum(values, 1, out=values), self.power) @ then
         return out
 
 
@@ -247,22 +279,87 @@ class Model:
     def margins(self, flat: list[list[str]], value: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(margins, starts, ends) of all windows of a text, in the order of its words."""
         words = [w for s in flat for w in s]
-        own = np.concatenate([[0.0], np.cumsum([value[w] for w in words])])
-        number = np.array([self.number.get(w, 0) for w in words], np.int64)
-        at, starts, ends = 0, [], []
-        for s in flat:
-            for a, b in spans(len(s)):
-                starts.append(at + a)
-                ends.append(at + b)
-            at += len(s)
-        starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
-        total = own[ends] - own[starts]
+        numbers = np.array([self.number.get(w, 0) for w in words], np.int64)
+        return self.rated(np.array([value[w] for w in words]), numbers, np.array([len(s) for s in flat], np.int64))[:3]
+
+    def rated(self, values: np.ndarray, numbers: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(margins, starts, ends, windows a sentence) of sentences that lie one after the other: the value and the pair number of
+        every word, and the words a sentence.  A window's margin depends on its own words only, so equal texts get equal ones."""
+        starts, ends, many = all_spans(lens)
+        total = values[starts]
+        paired = np.flatnonzero(numbers)
+        for d in range(1, WINDOW):
+            inside = starts + d < ends
+            total[inside] += values[starts[inside] + d]
         for d in range(1, REACH + 1):
-            if len(words) > d:
-                follow = np.concatenate([[0.0], np.cumsum(self.pair[number[:-d], number[d:]] * DECAY**d)])
-                last = np.maximum(ends - d, starts)
-                total += follow[np.minimum(last, len(follow) - 1)] - follow[np.minimum(starts, len(follow) - 1)]
-        return total / self.lengths[ends - starts] + self.bias, starts, ends
+            first = paired[: np.searchsorted(paired, len(numbers) - d)]
+            follow = np.zeros(len(values))
+            follow[first] = self.pair[numbers[first], numbers[first + d]] * DECAY**d
+            for j in range(WINDOW - d):
+                inside = starts + j + d < ends
+                total[inside] += follow[starts[inside] + j]
+        return total / self.lengths[ends - starts] + self.bias, starts, ends, many
+
+
+class Known:
+    """What a worker remembers of words as they are spelled, marks included: value, pair number, and whether it is one character."""
+
+    def __init__(self, model: Model):
+        self.model, self.place = model, {}
+        self.value, self.number, self.single = np.zeros(1024), np.zeros(1024, np.int32), np.zeros(1024, bool)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The place of every word in ``value``, ``number`` and ``single``."""
+        distinct = list(dict.fromkeys(words))
+        self._learn(sorted(w for w in distinct if w not in self.place))
+        here = dict(zip(distinct, map(self.place.__getitem__, distinct)))  # a few words, looked up many times
+        return np.fromiter(map(here.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, words: list[str]) -> None:
+        new = sorted({w for w in map(bare, words) if w not in self.place})
+        for low in range(0, len(new), 50_000):
+            part = new[low : low + 50_000]
+            self._add(part, self.model.words(part), [self.model.number.get(w, 0) for w in part])
+        rest = [w for w in words if w not in self.place]
+        same = [self.place[bare(w)] for w in rest]
+        self._add(rest, self.value[same], self.number[same])
+
+    def _add(self, words: list[str], values, numbers) -> None:
+        low, high = len(self.place), len(self.place) + len(words)
+        if high > len(self.value):
+            self.value, self.number, self.single = (np.concatenate([x, np.zeros(high, x.dtype)]) for x in (self.value, self.number, self.single))
+        self.value[low:high], self.number[low:high], self.single[low:high] = values, numbers, [len(w) == 1 for w in words]
+        self.place.update(zip(words, range(low, high)))
+
+    def best(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(margins, windows): the highest window of every text; without words the margin of an empty window and no window."""
+        parts = [_SENTENCE_END.split(t.lower()) for t in texts]
+        split = [p.split() for some in parts for p in some]
+        lens = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        at = self.of(words)
+        one = self.single[at]
+        row = np.flatnonzero(one[2:] & one[1:-1] & one[:-2])  # three single characters one after the other
+        ends = np.cumsum(lens)
+        row = row[np.searchsorted(ends, row, "right") == np.searchsorted(ends, row + 2, "right")]
+        if len(row):
+            flat = list(chain.from_iterable(parts))
+            for k in np.unique(np.searchsorted(ends, row, "right")).tolist():
+                split[k] = joined(flat[k])
+                lens[k] = len(split[k])
+            words = list(chain.from_iterable(split))
+            at = self.of(words)
+        margins, out = np.full(len(texts), self.model.bias), [""] * len(texts)
+        if words:
+            text = np.repeat(np.arange(len(texts)), [len(p) for p in parts])[lens > 0]
+            each, starts, ends, many = self.model.rated(self.value[at], self.number[at], lens[lens > 0])
+            text = np.repeat(text, many)
+            some, first = np.unique(text, return_index=True)
+            margins[some] = np.maximum.reduceat(each, first)
+            top = np.flatnonzero(each == margins[text])
+            for k in top[np.unique(text[top], return_index=True)[1]].tolist():
+                out[text[k]] = " ".join(map(bare, words[starts[k] : ends[k]]))
+        return margins, out
 
 
 def fit(alphabet: Alphabet, marks: list[Window], toxic: list[Window], clean: list[Window]) -> Model:
@@ -367,12 +464,12 @@ def first_choice(sample: DataFrame) -> DataFrame:
     return sample.where("toxic = 1").select("doc", "text").mapInArrow(choose, "doc string, window string")
 
 
-def _remembered(model: str) -> dict[str, float]:
-    """The values of words under a model; those of other models are forgotten."""
-    if model not in _values:
-        _values.clear()
-        _values[model] = {}
-    return _values[model]
+def _remembered(name: str, model: Model) -> Known:
+    """What is known of words under a model; that of other models, or beyond the bound, is forgotten."""
+    if name not in _known or len(_known[name].place) > REMEMBERED:
+        _known.clear()
+        _known[name] = Known(model)
+    return _known[name]
 
 
 def best_windows(docs: DataFrame, sent: Broadcast, id_col: str) -> DataFrame:
@@ -381,28 +478,10 @@ def best_windows(docs: DataFrame, sent: Broadcast, id_col: str) -> DataFrame:
     id_type, name = source.schema["id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, value = sent.value, _remembered(name)
-        nothing = model.bias
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                texts = [sentences(t.as_py()) for t in part.column(1)]
-                if len(value) > REMEMBERED:
-                    value.clear()
-                new = sorted({w for flat in texts for s in flat for w in s if w not in value})
-                for at in range(0, len(new), 50_000):
-                    value.update(zip(new[at : at + 50_000], model.words(new[at : at + 50_000])))
-                margins, best = [], []
-                for flat in texts:
-                    if not flat:
-                        margins.append(nothing)
-                        best.append("")
-                        continue
-                    each, starts, ends = model.margins(flat, value)
-                    k = int(np.argmax(each))
-                    margins.append(float(each[k]))
-                    words = [w for s in flat for w in s]
-                    best.append(" ".join(words[starts[k] : ends[k]]))
+                margins, best = _remembered(name, sent.value).best(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(margins, pa.float64()), pa.array(best, pa.string())], names=["id", "margin", "window"])
 
     return source.mapInArrow(run, f"id {id_type}, margin double, window string")

@@ -68,6 +68,30 @@ def test_margins_equal_the_kernel_sum():
         assert abs(m - own / T.length(len(s)) - model.bias) < 1e-3 * max(1, abs(m))
 
 
+def test_many_texts_at_once_equal_each_text_alone():
+    """The best windows of a batch are those of the texts one by one; places, neighbours and what is remembered change nothing."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeimnort") for _ in range(rnd.randrange(1, 7))) for _ in range(40)]
+    window = lambda: tuple(rnd.choice(words) for _ in range(rnd.randrange(1, 5)))
+    toxic, clean = sorted({window() for _ in range(30)}), sorted({window() for _ in range(60)})
+    model = T.fit(T.Alphabet("abcdeimnort"), list(dict.fromkeys(toxic[:8] + clean[:8])), toxic, sorted(set(clean) - set(toxic)))
+    some = [" ".join(rnd.choice(words) + rnd.choice(["", "", ",", ".", "\n", " m o r o n"]) for _ in range(rnd.randrange(0, 30))) for _ in range(300)]
+    texts = ["", "m o r", "m o. r o n", "...", " \n", "M o r o n!", *some, *some]
+    known = T.Known(model)
+    for _ in range(2):
+        margins, windows = known.best(texts)
+        for t, m, w in zip(texts, margins.tolist(), windows):
+            flat = T.sentences(t)
+            if not flat:
+                assert (m, w) == (model.bias, ""), t
+                continue
+            own = [x for s in flat for x in s]
+            each, starts, ends = model.margins(flat, dict(zip(own, model.words(own))))
+            assert abs(m - each.max()) < 1e-5 and any(w == " ".join(own[starts[k] : ends[k]]) for k in np.flatnonzero(each > each.max() - 1e-5)), t
+        assert margins[6:306].tolist() == margins[306:].tolist()
+    assert all(T.all_spans(np.array([n]))[0].tolist() == [a for a, _ in T.spans(n)] and T.all_spans(np.array([n]))[1].tolist() == [b for _, b in T.spans(n)] for n in range(1, 40))
+
+
 def corpus(seed=1, n=900):
     rnd = random.Random(seed)
     syllables = ["ta", "ro", "mi", "ne", "lu", "ka", "so", "ve", "di", "pa"]

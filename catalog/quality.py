@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from backline.functions import refdata as R
 from backline.operators import checks, demand, features, reports
-from backline.session import cut_lineage
 from catalog.base import DAY_LONG, any_in, clamp_sql, even, money, query, up
 from catalog.listings import _NORM, _events
 from catalog.metrics import _ENG, _MAJOR, _MOM, _weights, _FIVE
@@ -60,9 +59,10 @@ _VAL = f"""{_NORM}, refs as (select canonical_key, count(*) n, min(event_id) hea
 
 
 def _to_validate(v):
-    e = cut_lineage(_events(v))
-    refs = e.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("confirmations"), F.min("event_id").alias("head"))
-    return e.join(refs, "canonical_key").withColumn("duplicate", F.col("head") != F.col("event_id"))
+    # the listings of one event (one artist, venue and day) meet once, with the columns that are read only
+    same = W.partitionBy("canonical_key")
+    e = _events(v).withColumns({"confirmations": F.count(F.lit(1)).over(same), "head": F.min("event_id").over(same)})
+    return e.withColumn("duplicate", F.col("head") != F.col("event_id"))
 
 
 @query("validate_events", f"with {_VAL} select event_id, confidence, fraud_risk, status from validated")

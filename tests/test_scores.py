@@ -205,3 +205,16 @@ def test_normalized_event_golden_row(spark):
     a, b = got
     assert (a.venue_name, a.city, a.country, a.event_date) == ("Forum Melbourne", "Melbourne", "Australia", DAY(2026, 8, 6))
     assert (b.artist_name, b.city, b.country, b.normalized_artist_name) == ("DJ Beyoncé & Co", "Mumbai", "India", "dj beyonce and co")
+
+
+def test_normalizing_moves_no_listing(spark, monkeypatch):
+    """Only the distinct places are shuffled, not the listings; places too many to be sent give the same rows."""
+    ddl = "artist_name string, event_name string, venue_name string, city string, country string, event_date string, confidence_score double"
+    rows = [(f"the act {i} | Band", "x", f"Hall {i % 3} Pvt Ltd", None if i % 2 else "bombay", "in", "2026-01-02" if i % 5 else "soon", None) for i in range(40)]
+    rows += [(None, "x", "Hall", "Pune", "India", "2026-01-02", 0.5), (" | ", "x", "Hall", "Pune", "India", "2026-01-02", 0.5), ("Ann", "x", "Hall, Pune", None, "India", "2026-01-02", 0.5)]
+    raw = spark.createDataFrame(rows, ddl)
+    got = normalize.normalize_events(raw)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan, plan
+    monkeypatch.setattr(normalize, "PLACES_SENT", 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, normalize.normalize_events(raw).collect())) and got.count() > 16

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-from backline.functions.lookup import once
+from backline.functions.lookup import any_contained, once
 
 # --- fixed values: words dropped from names, by use ---------------------------------------
 EVENT_STOP_WORDS = ["the", "official", "live", "concert", "tour", "show", "band", "presents"]
@@ -34,7 +34,7 @@ def decompose(c: Column) -> Column:
     """Compatibility decomposition of Latin letters; each accent becomes a space after its letter."""
     spaced = F.regexp_replace(c, "([\u00c0-\u024f\u1e00-\u1eff])", "$1 ")
     folded = F.translate(spaced, MARKED + PLAIN, MARKED_BASE + PLAIN_BASE)
-    return F.when(c.rlike("[^\\x00-\\x7f]"), folded).otherwise(c)
+    return F.when(F.octet_length(c) > F.length(c), folded).otherwise(c)  # ASCII has one byte a character
 
 
 def _squeeze(c: Column) -> Column:
@@ -43,20 +43,20 @@ def _squeeze(c: Column) -> Column:
 
 def event_name_key(c: Column) -> Column:
     """Comparable form for events: accents split off, ``&`` as a word, long stop list."""
-    x = F.regexp_replace(F.lower(decompose(c)), "&", " and ")
+    x = F.replace(F.lower(decompose(c)), F.lit("&"), F.lit(" and "))
     x = F.regexp_replace(x, "[^a-z0-9]+", " ")
     return _squeeze(F.regexp_replace(x, r"\b(" + "|".join(EVENT_STOP_WORDS) + r")\b", " "))
 
 
 def artist_name_key(c: Column) -> Column:
     """Comparable form for artist matching: short stop list, accents dropped."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(c), "&", "and"), "[^a-z0-9]+", " ")
+    x = F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]+", " ")
     return _squeeze(F.regexp_replace(x, r"\b(" + "|".join(ARTIST_STOP_WORDS) + r")\b", " "))
 
 
 def token_key(c: Column) -> Column:
     """Comparable form for token overlap: no stop list."""
-    return _squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), "&", "and"), "[^a-z0-9]+", " "))
+    return _squeeze(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]+", " "))
 
 
 def display(c: Column) -> Column:
@@ -70,7 +70,7 @@ def title(c: Column) -> Column:
     upper = x
     for w in UPPER_WORDS:
         upper = F.regexp_replace(upper, f"(?<=^| ){w.capitalize()}(?= |$)", w.upper())
-    listed = x.rlike("(^| )(" + "|".join(w.capitalize() for w in UPPER_WORDS) + ")( |$)")
+    listed = any_contained(x, [w.capitalize() for w in UPPER_WORDS]) & x.rlike("(^| )(" + "|".join(w.capitalize() for w in UPPER_WORDS) + ")( |$)")
     return F.when(listed, upper).otherwise(x)
 
 

@@ -131,6 +131,26 @@ def test_model_stages_and_blend(spark, tmp_path):
     assert revenue.by_size(29) == (100, 3, 2) and revenue.by_size(99) == (200, 4, 3) and revenue.by_size(100) == revenue.SETTINGS
 
 
+def test_cross_validate_fits_the_stored_models_settings(spark, monkeypatch):
+    """The query fits every fold with as many trees as the stored model; the folds' rows and order stay."""
+    from catalog import models
+
+    rows = [(i, 1, *[float(i % (k + 3)) for k in range(len(revenue.NUMERIC))], *[f"c{i % 3}"] * len(revenue.CATEGORICAL), 100.0 * (i % 9)) for i in range(60)]
+    columns = ["concert_id long", "artist_id long", *[f"{c} double" for c in revenue.NUMERIC], *[f"{c} string" for c in revenue.CATEGORICAL], "actual_revenue double"]
+    frame = spark.createDataFrame(rows, ", ".join(columns))
+    fits, train = [], revenue.train_revenue
+
+    def few(rest, trees, depth, leaf):
+        fits.append((trees, depth, leaf, rest.count()))
+        return train(rest, 2, 2, 1)
+
+    monkeypatch.setattr(revenue, "train_revenue", few)
+    monkeypatch.setattr(models, "_frame", lambda v: frame)
+    got = {r.fold: r.rows for r in entry.queries()["cross_validate"](spark, SF).collect()}
+    assert len(fits) == 5 and {f[:3] for f in fits} == {revenue.SETTINGS}
+    assert got[None] == 60 and sorted(60 - f[3] for f in fits) == sorted(n for k, n in got.items() if k is not None)
+
+
 def test_ledger_and_csv(spark, tmp_path):
     path = str(tmp_path / "jobs")
     assert tables.log_job(spark, "sync", lambda: 7, path)["status"] == "COMPLETED"

@@ -8,7 +8,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from backline.functions import vectors as V
 from backline.operators import normalize, pairs
+from backline.session import cut_lineage
 from backline.sources import tables
 
 
@@ -141,6 +143,44 @@ def test_scored_duplicates_against_all_pairs(spark):
     assert want and got == want
 
 
+@pytest.mark.parametrize("few", [pairs._FEW, 2])
+@pytest.mark.parametrize("own", [True, False])
+def test_texts_are_scored_where_they_meet(spark, monkeypatch, few, own):
+    """Without vectors: one join for all pairs, rows that grow with the events, and the scores that vectors give."""
+    monkeypatch.setattr(pairs, "_FEW", few)  # 2: every word is frequent
+    e = cut_lineage(events(spark).dropDuplicates(["canonical_key"]))
+    c = e if own else e.where("event_date > '2024-01-02'")
+    vectors = pairs.with_embedding(e)
+    every = e.select("event_id").crossJoin(c.select(F.col("event_id").alias("canon_id"))).where("event_id <> canon_id")
+    days = {r.event_id: r for r in e.collect()}
+
+    def near(r):
+        a, b = days[r.event_id], days[r.canon_id]
+        close = a.normalized_artist_name in b.normalized_artist_name or a.normalized_venue_name in b.normalized_venue_name or a.normalized_city == b.normalized_city
+        return close and abs((a.event_date - b.event_date).days) <= 2
+
+    want = {(r.event_id, r.canon_id): r.similarity for r in pairs.score_duplicates(every, vectors, vectors).collect() if near(r)}
+    found = pairs.candidate_pairs(e, c)
+    scored = pairs.score_duplicates(found, e, c)
+    got = [(r.event_id, r.canon_id, r.similarity) for r in scored.collect()]
+    assert want and {x[:2]: x[2] for x in got} == pytest.approx(want, abs=1e-9) and len(got) == len(want)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 1 and "map<" not in found._jdf.schema().simpleString()
+
+
+def test_text_cosine_equals_the_stored_vectors(spark):
+    texts = ["anuv jain live royal arena pune India 2024-01-01", "anuv jain  anuv\tjain", "  ", "caf\u00e9 \U0001F3B5 x\u00a0y", "a", "royal arena", " ".join(f"w{i % 700}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    made = {r.id: r.embedding for r in V.hash_embed(df, "id", "t").collect()}
+    both = df.crossJoin(df.toDF("other", "u")).select("id", "other", V.text_cosine(F.col("t"), F.col("u")).alias("cos"))
+    for r in both.collect():
+        a, b = made.get(r.id, {}), made.get(r.other, {})
+        norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+        assert r.cos == pytest.approx(sum(x * b.get(i, 0.0) for i, x in a.items()) / norm if norm else 0.0, abs=1e-12)
+    vector = V.text_vectors()
+    assert {i: vector(t)[0] for i, t in enumerate(texts) if i in made} == made
+
+
 def test_common_words_pair_nothing(spark):
     rows = [(f"e{i:03d}", "SONGKICK", None, f"Customer {1000 + i}", "Live", f"Royal Arena {i % 5}", "Pune", "India", "2024-01-01", 0.5) for i in range(40)]
     e = normalize.normalize_events(spark.createDataFrame(rows, EVENT)).withColumn("event_id", F.col("source_event_id")).cache()

@@ -116,6 +116,35 @@ def test_listing_batches_equal_one_batch(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(batch" in plan and "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_packed_rows_leave_no_shuffles(spark):
+    """Rows of every kind come back as they were, from Parquet; the shuffle that made them is gone at once."""
+    from backline.session import _DROP_SHUFFLES, cut_packed
+
+    def shuffled():
+        return str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")).count("shuffle_")
+
+    rows = [(k, None if k == 3 else f"v{k}", dt.date(2024, 1, k), {"a": k / 2}, [k, None]) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "k long, v string, d date, m map<string,double>, a array<int>").repartition(3, "k")
+    before, conf = shuffled(), spark.conf.get(_DROP_SHUFFLES)
+    packed = cut_packed(df)
+    assert shuffled() == before and spark.conf.get(_DROP_SHUFFLES) == conf
+    assert sorted(map(tuple, packed.collect()), key=str) == sorted(rows, key=str) and packed.schema == df.schema
+    assert "FileScan parquet" in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_flow_keeps_its_events_packed(spark):
+    from backline.plans import event_flow
+
+    v = Views(spark, SF)
+    raw = v.raw.where("artist_id in (1, 2)").drop("artist_id", "show_date")
+    flow = event_flow.run_event_flow(raw, v.artists, v.metrics, v.concerts, v.venues, v.demographics, "2000-01-01")
+    for df in (flow.events, flow.predictions):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    summary = flow.summary.first()
+    assert summary.normalized == flow.events.count() > 0 and summary.created + summary.duplicates + summary.updated == summary.normalized
+
+
 def test_model_stages_and_blend(spark, tmp_path):
     v = Views(spark, SF)
     frame = revenue.training_frame(v.concerts, v.metrics_long, v.artists, "2001-08-01").cache()
